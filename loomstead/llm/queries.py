@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstead.llm import packing, syntax, tokens
+from loomstead.llm import credentials, packing, syntax, tokens
 from loomstead.session import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, root, "file_search"))
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.scan(table(spark, root, "file_search"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return syntax.invalid_files(table(spark, root, "file_search"))
 
@@ -28,5 +36,5 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill(p7_windows(spark, root), table(spark, root, "pack_targets"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
