@@ -23,13 +23,23 @@ from pyspark.sql import functions as F
 
 from loomstead.session import materialise
 
-FEATURES = 1 << 16
+BLOCK = 1 << 15
 ROUNDS = 4
 SHARE = 0.25
 INFORMATIVE = 0.4
 ALPHA = 0.2
 LABELLED = 20000
 
+# Frequent words that tell the language of a statement's text; features are kept apart by language.
+FREQUENT = {
+    "en": "the a is of to and for with that when not we in it this one are by from must be after should".split(),
+    "de": "der die das ist und für von mit nach wenn nicht zu den bei ein muss neu wird vor sich im zeigt es".split(),
+    "es": "el la los las es de y para con que cuando no en un una se si por falla está hay antes debe".split(),
+}
+LANGUAGES = list(FREQUENT)
+FEATURES = BLOCK * len(LANGUAGES)
+_FREQUENT = {word: k for k, words in enumerate(FREQUENT.values()) for word in words}
+
 _CODE = re.compile(r"^\s*(?:export |import |const |let |var |interface |class |def |async |function |return |@|[A-Z_]{3,}\s*=|[{}]\s*$)", re.M)
 _TRACE = re.compile(r"^\s*(?:at |File \"|Traceback|Caused by|\.\.\. \d+ more|(?:[A-Z]\w*)?(?:Error|Exception)\b[^\n]*:).*$", re.M)
 _HEADING = re.compile(r"^\s*#{1,6}\s[^\n]*$|^[^\n]+\n(?:={3,}|-{3,})\s*$", re.M)
@@ -77,18 +87,23 @@ class Places(dict):
     def __missing__(self, name: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[name] = found = zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+        self[name] = found = zlib.crc32(name.encode("utf-8", "surrogatepass")) % BLOCK
         return found
 
 
 _PLACES = Places()
 
 
-def features(statement: str) -> list[int]:
-    """Hashed words and pairs of neighbouring words."""
-    words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", statement.replace("_", " ")))]
+def words_of(statement: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", statement.replace("_", " ")))]
+
+
+def features(each: list[list[str]]) -> list[list[int]]:
+    """Hashed words and pairs of neighbouring words of a document's statements, in the block of its language."""
+    votes = np.bincount([_FREQUENT[w] for words in each for w in words if w in _FREQUENT], minlength=len(LANGUAGES))
+    base = int(votes.argmax()) * BLOCK
     place = _PLACES.__getitem__
-    return [*map(place, words), *map(place, map(" ".join, zip(words, words[1:])))]
+    return [[base + p for p in [*map(place, words), *map(place, map(" ".join, zip(words, words[1:])))]] for words in each if words]
 
 
 def prepare(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -97,7 +112,7 @@ def prepare(docs: DataFrame, id: str, text: str) -> DataFrame:
         for batch in batches:
             tokens, sizes = [], []
             for value in batch["text"]:
-                each = [f for f in map(features, statements(value)) if f]
+                each = features([words_of(s) for s in statements(value)])
                 tokens.append([x for f in each for x in f])
                 sizes.append([len(f) for f in each])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": tokens, "sizes": sizes})
@@ -108,11 +123,14 @@ def prepare(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def weights_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Complement naive Bayes scores of each feature and subject, and how much a feature tells of any subject."""
-    per_subject = counts.sum(0)
-    even = counts / np.maximum(per_subject, 1e-9) * per_subject.mean()  # subjects of unequal size count alike
+    even, weight = np.zeros_like(counts), np.zeros_like(counts)
+    for k in range(len(LANGUAGES)):  # subjects of unequal size within a language count alike
+        block = slice(k * BLOCK, (k + 1) * BLOCK)
+        per_subject = counts[block].sum(0)
+        even[block] = counts[block] / np.maximum(per_subject, 1.0) * per_subject.mean()
+        rest = even[block].sum(1, keepdims=True) - even[block] + ALPHA
+        weight[block] = -np.log(rest / rest.sum(0))
     total = even.sum(1, keepdims=True)
-    rest = total - even + ALPHA
-    weight = -np.log(rest / rest.sum(0))
     weight -= weight.mean(1, keepdims=True)
     likely = (even + ALPHA) / (total + ALPHA * counts.shape[1])
     return weight.astype(np.float32), likely.max(1).astype(np.float32)
