@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomstead.plans import data_quality
+from loomstead.plans import data_quality, reference_queries
 
-FLAGSHIP = "p4_found"
-QUERIES = {**data_quality.QUERIES}
-SQL = {**data_quality.SQL}
+FLAGSHIP = "search_documents"
+QUERIES = {**data_quality.QUERIES, **reference_queries.QUERIES}
+SQL = {**data_quality.SQL, **reference_queries.SQL}
