@@ -141,5 +141,5 @@ def feed(activity: DataFrame, since: int, limit: int = 100) -> DataFrame:
 
 def prune(activity: DataFrame, keep: int = 2000) -> DataFrame:
     """The last ``keep`` ids."""
-    top = activity.agg((F.max("id") - keep).alias("_floor"))
-    return activity.join(F.broadcast(top), F.col("id") > F.col("_floor")).drop("_floor")
+    last = activity.agg(F.max("id")).first()[0]
+    return activity if last is None else activity.where(F.col("id") > last - keep)

@@ -1,12 +1,13 @@
 """Ranked full-text search: BM25 over weighted columns.
 
 No inverted index is shuffled: one scan computes, per document, its length and the frequency of each query term (at most
-24, each exact and as a prefix), a combined aggregate gives document frequencies and average lengths, and only those
-figures (a row) meet the documents again before the top k.
+24, each exact and as a prefix); a combined aggregate gives document frequencies and average lengths, one row of figures
+that the scoring scan carries as literals; the top k are taken per task before they meet.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,11 +44,11 @@ def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 2
     rows = tokens.select(*keep, size.alias("_size"), *[x.alias(f"_f{i}") for i, x in enumerate(weighted)])
     figures = rows.agg(
         F.count("*").alias("_n"), F.avg("_size").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))]
-    )
+    ).first()
     hit = reduce(lambda a, b: a | b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])
-    saturation = lambda i: F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_size") / F.col("_avg")))
-    rarity = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)))
-    scored = rows.where(hit).join(F.broadcast(figures)).select(*keep, F.round(reduce(lambda a, b: a + b, [rarity(i) * saturation(i) for i in range(len(terms))]), 6).alias("score"))
+    saturation = lambda i: F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_size") / F.lit(float(figures["_avg"] or 1.0))))
+    rarity = lambda i: F.greatest(F.lit(1e-6), F.lit(math.log((figures["_n"] - figures[f"_d{i}"] + 0.5) / (figures[f"_d{i}"] + 0.5))))
+    scored = rows.where(hit).select(*keep, F.round(reduce(lambda a, b: a + b, [rarity(i) * saturation(i) for i in range(len(terms))]), 6).alias("score"))
     if within:
         order = Window.partitionBy(*within).orderBy(F.col("score").desc(), key)
         best = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

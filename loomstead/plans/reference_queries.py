@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
-from loomstead.operators import contracts, graph, ingest, knowledge, orphans, search
-from loomstead.session import table
+from loomstead.operators import context, contracts, extract, graph, ingest, knowledge, orphans, search
+from loomstead.session import normal_path, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -144,8 +144,8 @@ def find_symbol(spark, root):
     rows = table(spark, root, "symbols").distinct().join(own, "file_id", "left_semi")
     exact = (F.lower("name") == "dispatch") | (F.lower("qualified_name") == "dispatch")
     hits = rows.where(F.col("name").ilike("%dispatch%") | F.col("qualified_name").ilike("%dispatch%")).withColumn("tier", F.when(exact, 0).otherwise(1))
-    best = hits.agg(F.min("tier").alias("_best"))
-    kept = hits.join(F.broadcast(best), F.col("tier") == F.col("_best"))
+    best = hits.agg(F.min("tier")).first()[0]
+    kept = hits.where(F.col("tier") == F.lit(best))
     return kept.orderBy(F.col("exported").desc(), F.length("name"), "name", "id").limit(25).select(F.col("id").alias("symbol_id"), "tier")
 
 
@@ -404,3 +404,85 @@ def recall_scored(spark, root):
     rows = table(spark, root, "documents").where("created_at IS NOT NULL")
     score = F.round(knowledge.recall_score(F.lit(1.0), weight, age, F.lit(1.0), F.lit(0)), 4)
     return rows.select("doc_id", score.alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
+
+
+@query()
+def extracted_symbols(spark, root):
+    """Symbols read from the present text of every file."""
+    rows = table(spark, root, "file_search").select("file_id", "path", "content").distinct()
+    return extract.extract_symbols(rows).select("file_id", "ordinal", "name", "qualified_name", "type", "line_start", "line_end", "exported")
+
+
+@query()
+def resolved_imports(spark, root):
+    """Imports read from the present text, resolved against the files that are active."""
+    rows = table(spark, root, "file_search").select("file_id", "project_id", "path", "content").distinct()
+    found = extract.extract_imports(rows)
+    return extract.resolve_imports(found, live(spark, root).select("project_id", "relative_path", "file_id")).select("file_id", "specifier", "kind", "line", "is_external", "package_name", "resolved_path")
+
+
+_EVIDENCE = f"""{_STATE}, asks AS (SELECT DISTINCT id AS request_id, project_id, task FROM context_cache WHERE task IS NOT NULL),
+words AS (SELECT request_id, project_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(task), '[a-z0-9_$]{{2,}}'), lambda w: length(w) >= 4))) AS word FROM asks),
+path_words AS (SELECT DISTINCT project_id, relative_path AS path, last_modified, unnest(string_split(trim(regexp_replace(lower(relative_path), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM live),
+hits AS (SELECT w.request_id, p.path, count(DISTINCT w.word) AS n FROM words w JOIN path_words p ON p.project_id = w.project_id AND p.word = w.word GROUP BY ALL)
+SELECT request_id, path, round(0.85 * least(1.0, n / 3.0), 6) AS score, round(least(1.0, n / 3.0) / max(least(1.0, n / 3.0)) OVER (PARTITION BY request_id), 3) AS relevance FROM hits"""
+
+
+def _evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Path evidence of every cached request at once: files whose path holds words of the request."""
+    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
+    wanted = asks.select("request_id", "project_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("task"), F.lit("([a-z0-9_$]{2,})"), 1), lambda w: F.length(w) >= 4))).alias("word"))
+    parts = F.split(F.trim(F.regexp_replace(F.lower("relative_path"), "[^a-z0-9]+", " ")), " ")
+    held = live(spark, root).select("project_id", F.col("relative_path").alias("path"), F.explode(parts).alias("word")).distinct()
+    hits = wanted.join(held, ["project_id", "word"]).groupBy("request_id", "path").agg(F.countDistinct("word").alias("n"))
+    return hits.select("request_id", "path", F.lit("pathMatch").alias("component"), F.least(F.lit(1.0), F.col("n") / 3.0).alias("strength"), F.lit("words of the request in the path").alias("reason"))
+
+
+@query("WITH " + _EVIDENCE)
+def context_evidence_scores(spark, root):
+    return context.rank(context.combine(_evidence(spark, root))).select("request_id", "path", "score", "relevance")
+
+
+@query()
+def context_budget_fill(spark, root):
+    """Context of every cached request: evidence, neighbours in the import graph, ranking, budget."""
+    scored = context.combine(_evidence(spark, root))
+    paths = live(spark, root).select("file_id", F.col("relative_path").alias("path"), "size", "symbol_count")
+    edges = _edges(spark, root).join(paths.select(F.col("file_id").alias("source"), F.col("path").alias("_s")), "source").join(paths.select(F.col("file_id").alias("target"), F.col("path").alias("_t")), "target").select(F.col("_s").alias("source"), F.col("_t").alias("target"))
+    both = context.combine(_evidence(spark, root).unionByName(context.expand(scored, edges)))
+    sizes = paths.groupBy("path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
+    return context.fill_budget(context.rank(both).join(sizes, "path").select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
+
+
+@query("""WITH s AS (SELECT project_id, agent, min("at") AS started FROM (SELECT DISTINCT id, project_id, lower(trim(agent)) AS agent, "at" FROM activity WHERE agent IS NOT NULL AND project_id IS NOT NULL AND "at" IS NOT NULL) GROUP BY ALL)
+SELECT project_id, agent, epoch_us(started) AS started_us, epoch_us(lead(started) OVER (PARTITION BY project_id ORDER BY started, agent)) AS ended_us FROM s""")
+def work_sessions(spark, root):
+    rows = table(spark, root, "activity").where("agent IS NOT NULL AND project_id IS NOT NULL AND at IS NOT NULL").select("project_id", F.lower(F.trim("agent")).alias("session_id"), orphans.utc_micros(F.col("at")).alias("us"))
+    starts = rows.groupBy("project_id", "session_id").agg(F.min("us").alias("started_at")).withColumn("ended_at", F.lit(None).cast("long"))
+    return knowledge.close_sessions(starts).select("project_id", F.col("session_id").alias("agent"), F.col("started_at").alias("started_us"), F.col("ended_at").alias("ended_us"))
+
+
+@query("SELECT project_id, outcome, count(DISTINCT id) AS events, count(DISTINCT CASE WHEN duration_ms > 1000 THEN id END) AS slow FROM activity WHERE project_id IS NOT NULL GROUP BY ALL")
+def activity_outcomes(spark, root):
+    return table(spark, root, "activity").where("project_id IS NOT NULL").groupBy("project_id", "outcome").agg(F.countDistinct("id").alias("events"), F.countDistinct(F.when(F.col("duration_ms") > 1000, F.col("id"))).alias("slow"))
+
+
+@query(f"WITH {_STATE}, lost AS (SELECT DISTINCT file_id FROM symbols WHERE file_id NOT IN (SELECT id FROM live)) SELECT s.project_id, count(DISTINCT s.id) AS symbols FROM symbols s JOIN lost USING (file_id) GROUP BY ALL")
+def leftover_symbols(spark, root):
+    rows = table(spark, root, "symbols").select("id", "project_id", "file_id").distinct().join(live(spark, root).select("file_id"), "file_id", "left_anti")
+    return rows.groupBy("project_id").agg(F.count("*").alias("symbols"))
+
+
+@query(f"""WITH {_STATE}, t AS (SELECT project_id, relative_path, min(id) AS target FROM live GROUP BY ALL), i AS (SELECT DISTINCT id, project_id, regexp_replace(replace(resolved_path, '\\', '/'), '^\\./', '') AS p, resolved_file_id FROM imports WHERE resolved_path IS NOT NULL)
+SELECT i.id AS import_id, t.target AS linked, i.resolved_file_id AS before FROM i LEFT JOIN t ON t.project_id = i.project_id AND t.relative_path = i.p WHERE t.target IS DISTINCT FROM i.resolved_file_id""")
+def relinked_imports(spark, root):
+    rows = table(spark, root, "imports").where("resolved_path IS NOT NULL").select("id", "project_id", normal_path(F.col("resolved_path")).alias("resolved_path"), "resolved_file_id", F.col("resolved_file_id").alias("before")).distinct()
+    linked = ingest.relink(rows, live(spark, root))
+    return linked.where(~F.col("resolved_file_id").eqNullSafe(F.col("before"))).select(F.col("id").alias("import_id"), F.col("resolved_file_id").alias("linked"), "before")
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_extract(text, '^(?:# )?([^\n]{3,80})\n', 1) AS title, text FROM documents)
+SELECT doc_id, title, substr(sha256('readme|' || trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))), 1, 32) AS content_hash FROM d WHERE title <> '' AND length(text) = octet_length(encode(text))""")
+def record_hashes(spark, root):
+    rows = table(spark, root, "documents").where(F.length("text") == F.octet_length("text")).withColumn("title", F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1)).where("title <> ''")
+    return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))
