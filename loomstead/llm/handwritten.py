@@ -233,7 +233,7 @@ def fit(files: DataFrame, *, id: str = "file_id", project: str = "project_id", p
     share = min(1.0, 6.0 * sample / size)
     drawn = base.where(F.pmod(F.col("o"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("label", label("path", "text"))
     for wanted in (True, False):
-        rows += [(r.project, r.path or "", r.text, wanted) for r in drawn.where(F.col("label") == wanted).limit(sample).collect()]
+        rows += [(r.project, r.path or "", r.text, wanted) for r in drawn.where(F.col("label") == wanted).orderBy("o").limit(sample).collect()]
     rows.sort(key=lambda r: (zlib.crc32(r[1].encode()), r[1]))
     return train(rows)
 
