@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import collapse, content_hash, redact
 
-# Default importance by kind of record, task statuses in board order with what may follow each, priorities.
-IMPORTANCE = {"DECISION": 0.9, "CONSTRAINT": 0.85, "BUG": 0.7, "ARCHITECTURE": 0.8, "PREFERENCE": 0.6, "FACT": 0.5, "HISTORY": 0.3}
-STATUSES = ["IN_PROGRESS", "TESTING", "REVIEW", "BLOCKED", "PLANNED", "BACKLOG", "COMPLETED", "CANCELLED"]
+# Default importance by kind of record, days that a kind lasts, task statuses and what may follow each.
+IMPORTANCE = {"DECISION": 0.9, "CONSTRAINT": 0.85, "BUG": 0.7, "PATTERN": 0.7, "DISCOVERY": 0.6, "FACT": 0.5, "HISTORY": 0.3}
+LASTS_DAYS = {"HISTORY": 30}
 TRANSITIONS = {
-    "BACKLOG": {"PLANNED", "IN_PROGRESS", "CANCELLED"}, "PLANNED": {"IN_PROGRESS", "BLOCKED", "BACKLOG", "CANCELLED"},
-    "IN_PROGRESS": {"TESTING", "REVIEW", "BLOCKED", "PLANNED", "COMPLETED", "CANCELLED"}, "BLOCKED": {"IN_PROGRESS", "PLANNED", "CANCELLED"},
-    "TESTING": {"IN_PROGRESS", "REVIEW", "BLOCKED", "COMPLETED", "CANCELLED"}, "REVIEW": {"IN_PROGRESS", "TESTING", "COMPLETED", "CANCELLED"},
-    "COMPLETED": {"IN_PROGRESS"}, "CANCELLED": {"BACKLOG", "PLANNED"},
+    "IDEA": ["PLANNING", "READY", "IN_PROGRESS"], "PLANNING": ["IDEA", "READY", "IN_PROGRESS"], "READY": ["PLANNING", "IN_PROGRESS", "BLOCKED"],
+    "IN_PROGRESS": ["BLOCKED", "TESTING", "COMPLETED", "READY"], "BLOCKED": ["IN_PROGRESS", "READY", "COMPLETED"], "TESTING": ["IN_PROGRESS", "BLOCKED", "COMPLETED"],
+    "COMPLETED": ["IN_PROGRESS", "TESTING"], "ARCHIVED": ["READY", "IDEA"],
 }
+OPEN = ["PLANNING", "READY", "IN_PROGRESS", "BLOCKED", "TESTING"]
+STATUSES = ["IN_PROGRESS", "TESTING", "BLOCKED", "READY", "PLANNING", "IDEA", "COMPLETED", "ARCHIVED"]
 
 
 def rank(column: Column, order: list[str]) -> Column:
@@ -38,6 +39,13 @@ def remember(records: DataFrame) -> DataFrame:
     )
 
 
+def expiry(kind: Column, importance: Column, created_at: Column, days: Column) -> Column:
+    """When a record expires: after the days it was given, else by its kind unless it is important; null for never."""
+    default = F.create_map(*[F.lit(x) for pair in LASTS_DAYS.items() for x in pair])[kind]
+    lasts = F.coalesce(days, F.when(importance < 0.7, default))
+    return created_at + F.make_dt_interval(lasts)
+
+
 def recency(age_days: Column) -> Column:
     """Halves every ninety days."""
     return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days) / 90)
@@ -83,7 +91,7 @@ def close_sessions(starts: DataFrame) -> DataFrame:
 def handoff(sessions: DataFrame, tasks: DataFrame, requirements: DataFrame) -> DataFrame:
     """``(project_id, next_step)``: the last session's own, else the first open requirement, else the first open task."""
     last = sessions.groupBy("project_id").agg(F.max_by("next_step", F.struct("started_at", "session_id")).alias("own"))
-    open_tasks = tasks.where(~F.col("status").isin("COMPLETED", "CANCELLED"))
+    open_tasks = tasks.where(F.col("status").isin(OPEN))
     place = F.struct(rank(F.col("status"), STATUSES), "task_id")
     first_task = open_tasks.groupBy("project_id").agg(F.min_by("title", place).alias("task"))
     todo = requirements.where("NOT done").join(open_tasks.select("task_id", "project_id", "status"), "task_id")

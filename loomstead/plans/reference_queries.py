@@ -77,7 +77,7 @@ def test_files(spark, root):
     return live(spark, root).groupBy(T.looks_like_test(F.col("relative_path")).alias("is_test")).agg(F.count("*").alias("files"))
 
 
-@query(f"""WITH {_STATE} SELECT CASE WHEN regexp_matches(relative_path, '{T.SENSITIVE_PATH}') THEN 'sensitive' WHEN regexp_matches(lower(relative_path), '(?:^|/)(?:node_modules|\\.git|dist|build|coverage|__pycache__)/') THEN 'ignored'
+@query(f"""WITH {_STATE} SELECT CASE WHEN regexp_matches(lower(relative_path), '{T.SENSITIVE_PATH}') THEN 'sensitive' WHEN regexp_matches(lower(relative_path), '(?:^|/)(?:node_modules|\\.git|dist|build|coverage|__pycache__)/') THEN 'ignored'
  WHEN regexp_matches(lower(relative_path), '{T.BINARY_PATH}') THEN 'binary' WHEN size > 8192 THEN 'too_large' ELSE 'indexed' END AS reason, count(*) AS files FROM state GROUP BY ALL""")
 def skip_reasons(spark, root):
     reason = F.coalesce(T.skip_reason(F.col("relative_path"), F.col("size"), 8192), F.lit("indexed"))
@@ -90,19 +90,21 @@ def duplicate_content(spark, root):
     return rows.groupBy("hash").agg(F.count("*").alias("copies"), F.min("file_id").alias("first_file")).where("copies > 1")
 
 
-_DETECTED = ", ".join(f"len(regexp_extract_all(content, '{p}')) AS {n}" for n, p in T.SECRET_PATTERNS)
+_quoted = lambda p: p.replace("'", "''")
+_DETECTED = ", ".join(f"len(regexp_extract_all(content, '{_quoted(p)}')) AS {n}" for n, p in T.SECRET_PATTERNS)
 
 
 @query(f"SELECT * FROM (UNPIVOT (SELECT file_id, {_DETECTED} FROM (SELECT DISTINCT file_id, content FROM file_search)) ON {', '.join(n for n, _ in T.SECRET_PATTERNS)} INTO NAME detector VALUE occurrences) WHERE occurrences > 0")
 def secret_findings(spark, root):
     rows = table(spark, root, "file_search").select("file_id", "content").distinct()
-    each = F.array(*[F.struct(F.lit(n).alias("detector"), F.size(F.regexp_extract_all("content", F.lit(f"({p})"), 1)).cast("long").alias("occurrences")) for n, p in T.SECRET_PATTERNS])
+    each = F.array(*[F.struct(F.lit(n).alias("detector"), F.size(F.regexp_extract_all("content", F.lit(f"({T.java(p)})"), 1)).cast("long").alias("occurrences")) for n, p in T.SECRET_PATTERNS])
     return rows.select("file_id", F.explode(each).alias("x")).select("file_id", "x.detector", "x.occurrences").where("occurrences > 0")
 
 
 def _redact_sql(column: str) -> str:
-    for _, pattern in T.SECRET_PATTERNS:
-        column = f"regexp_replace({column}, '{pattern}', '<REDACTED>', 'g')"
+    for name, pattern in T.SECRET_PATTERNS:
+        put = "\\1=<REDACTED>" if name == "assigned_secret" else "<REDACTED>"
+        column = f"regexp_replace({column}, '{_quoted(pattern)}', '{put}', 'g')"
     return column
 
 
@@ -253,10 +255,10 @@ def cache_analytics(spark, root):
 
 
 def _intent_sql() -> str:
-    count = lambda p: f"len(regexp_extract_all(lower(coalesce(task, '')), '\\b(?:{p})\\b'))"
+    count = lambda p: f"len(regexp_extract_all(lower(coalesce(task, '')), '{p}'))"
     scores = [f"{count(p)} * {w}" for _, w, p in T.INTENTS]
     top = f"greatest({', '.join(scores)})"
-    return f"SELECT CASE WHEN {top} = 0 THEN 'explore' " + " ".join(f"WHEN {s} = {top} THEN '{n}'" for s, (n, _, _) in zip(scores, T.INTENTS)) + " END AS intent, count(*) AS tasks FROM (SELECT DISTINCT id, task FROM context_cache) GROUP BY ALL"
+    return f"SELECT CASE WHEN {top} = 0 THEN 'general' " + " ".join(f"WHEN {s} = {top} THEN '{n}'" for s, (n, _, _) in zip(scores, T.INTENTS)) + " END AS intent, count(*) AS tasks FROM (SELECT DISTINCT id, task FROM context_cache) GROUP BY ALL"
 
 
 @query(_intent_sql())
