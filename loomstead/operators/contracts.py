@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.functions.text import canonical_path
+from loomstead.functions.text import canonical_path, join_canonical
 
 _CALL = re.compile(r"(?<![\w$])(?P<who>[A-Za-z_$][\w$.]*)\.(?P<verb>get|post|put|patch|delete|head|options|all|use)\s*(?:<[^>()]*>)?\(\s*(?P<q>[\"'`])(?P<path>[^\"'`\n]*)(?P=q)(?P<more>\s*\+)?")
 _FETCH = re.compile(r"(?<![\w$.])fetch\s*\(\s*(?P<q>[\"'`])(?P<path>[^\"'`\n]*)(?P=q)(?P<more>\s*\+)?(?P<rest>[^;]{0,200})")
@@ -90,3 +90,21 @@ def unused_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     exact = routes.where("method IS NOT NULL").select("method", "canonical").distinct().join(wanted, ["method", "canonical"], "left_anti")
     wild = routes.where("method IS NULL").select("method", "canonical").distinct().join(wanted.select("canonical").distinct(), "canonical", "left_anti")
     return exact.unionByName(wild.select("method", "canonical"))
+
+
+def with_mounts(routes: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Routes with the prefix of the mount that reaches their file: ``mounts`` has ``(target_file_id, prefix)``."""
+    joined = routes.join(mounts.select(F.col("target_file_id").alias("file_id"), "prefix"), "file_id", "left")
+    return joined.withColumn("canonical", F.when(F.col("prefix").isNotNull(), join_canonical(F.col("prefix"), F.col("canonical"))).otherwise(F.col("canonical"))).drop("prefix")
+
+
+def callers_of(calls: DataFrame, path: str) -> DataFrame:
+    """Call sites of a path, which is lower-cased and freed of outer slashes only."""
+    return calls.where(F.col("canonical") == path.lower().strip("/")).select("project_id", "file_id", "line", "method")
+
+
+def http_impact(routes: DataFrame, calls: DataFrame, file_id: int) -> DataFrame:
+    """Call sites in any project that meet a route of one file: ``(project_id, file_id, line, method, canonical)``."""
+    own = routes.where(F.col("file_id") == file_id).select(F.col("method").alias("_m"), F.col("canonical")).distinct()
+    hits = calls.where("NOT is_external").join(F.broadcast(own), "canonical")
+    return hits.where("_m IS NULL OR _m = method").select("project_id", "file_id", "line", "method", "canonical").distinct()

@@ -205,10 +205,10 @@ def extract_imports(files: DataFrame, *, id: str = "file_id", project: str = "pr
     )
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, *, aliases: list[tuple[str, str]] = (), packages: list[tuple[str, str]] = ()) -> DataFrame:
     """``imports`` with ``(is_external, package_name, resolved_file_id, resolved_path)``.
 
-    Relative specifiers are tried with the usual extensions and index files, dotted Python ones from the project's
+    ``aliases`` are ``(prefix, folder)`` pairs and ``packages`` ``(name, folder)`` pairs of the workspace (see ``sources.project``). Relative specifiers are tried with the usual extensions and index files, dotted Python ones from the project's
     root and source folders; the first candidate that is a file of the project wins. One join on (project, path).
     """
     spec, own = F.col("specifier"), F.col("path")
@@ -222,6 +222,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         return F.regexp_replace(F.regexp_replace(column, r"(?:^|(?<=/))\./", ""), r"/{2,}", "/")
 
     joined = normal(F.concat(folder, spec))
+    inner = F.lit(None).cast("string")
+    for prefix, target in aliases:
+        inner = F.coalesce(inner, F.when(spec.startswith(prefix), F.concat(F.lit(target), F.expr(f"substring(specifier, {len(prefix) + 1})"))))
+    for name, target in packages:
+        rest = F.expr(f"substring(specifier, {len(name) + 2})")
+        inner = F.coalesce(inner, F.when(spec == name, F.lit(target + "/src/index.ts")).when(spec.startswith(name + "/"), F.concat(F.lit(target + "/src/"), F.regexp_replace(rest, "^src/", ""))))
+    joined = F.coalesce(F.when(~relative, inner), joined)
     stem = F.regexp_replace(joined, r"\.(?:js|jsx|mjs|cjs)$", "")
     tails = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js"]
     from_script = F.array_distinct(F.array(joined, *[F.concat(stem, F.lit(t)) for t in tails]))
@@ -229,13 +236,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     roots = F.array(F.lit(""), F.lit("src/"), F.lit("app/"), F.lit("lib/"))
     bases = F.when(relative, F.array(F.concat(folder, F.repeat(F.lit("../"), F.length(F.regexp_extract(spec, r"^\.+", 0)) - 1)))).otherwise(roots)
     from_python = F.flatten(F.transform(bases, lambda b: F.array(normal(F.concat(b, dotted, F.lit(".py"))), normal(F.concat(b, dotted, F.lit("/__init__.py"))))))
-    tries = F.when(script & relative, from_script).when(~script, from_python).otherwise(F.array().cast("array<string>"))
+    tries = F.when(script & (relative | inner.isNotNull()), from_script).when(~script, from_python).otherwise(F.array().cast("array<string>"))
     keyed = imports.withColumn("_id", F.xxhash64("file_id", "specifier", "kind", "line"))
     spread = keyed.select("_id", "project_id", F.posexplode(tries).alias("_order", "_try"))
     known = files.groupBy("project_id", F.col("relative_path").alias("_try")).agg(F.min("file_id").alias("_target"))
     best = spread.join(known, ["project_id", "_try"]).groupBy("_id").agg(F.min_by(F.struct("_target", "_try"), "_order").alias("_best"))
     package = F.when(spec.startswith("node:"), "node").when(spec.startswith("@"), F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1)).when(script, F.regexp_extract(spec, r"^([^/]+)", 1)).otherwise(F.regexp_extract(spec, r"^([^.]+)", 1))
-    outside = F.col("_best").isNull() & ~relative
+    outside = F.col("_best").isNull() & ~relative & inner.isNull()
     return keyed.join(best, "_id", "left").select(
         *imports.columns, outside.alias("is_external"), F.when(outside, package).alias("package_name"), F.col("_best._target").alias("resolved_file_id"), F.col("_best._try").alias("resolved_path")
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import collapse, content_hash, redact
+from loomstead.operators.search import search
 
 # Default importance by kind of record, days that a kind lasts, task statuses and what may follow each.
 IMPORTANCE = {"DECISION": 0.9, "CONSTRAINT": 0.85, "BUG": 0.7, "PATTERN": 0.7, "DISCOVERY": 0.6, "FACT": 0.5, "HISTORY": 0.3}
@@ -151,3 +155,39 @@ def prune(activity: DataFrame, keep: int = 2000) -> DataFrame:
     """The last ``keep`` ids."""
     last = activity.agg(F.max("id")).first()[0]
     return activity if last is None else activity.where(F.col("id") > last - keep)
+
+
+def recall(records: DataFrame, now: Column, *, query: str | None = None, branch: str | None = None, kind: str | None = None, tag: str | None = None, path: str | None = None, least: float = 0.0, limit: int = 10) -> DataFrame:
+    """The records that matter most for a query, or in general: ``(memory_id, score, relevance)``.
+
+    ``records`` has ``(memory_id, type, title, content, tags, paths, branch, status, importance, confidence, accesses, updated_at, expires_at)``.
+    A search looks four times further than the limit before the filters apply; where nothing is left, the filtered
+    list stands in with relevance 0.2. Without a query every record has 0.5. Pure: accesses are appended by the caller.
+    """
+    live = expire(records, now).where("status = 'active'")
+    wanted = in_branch(F.col("branch"), branch) & (F.col("importance") >= least)
+    wanted = wanted & (F.col("type") == kind if kind else F.lit(True))
+    wanted = wanted & (F.array_contains("tags", tag) if tag else F.lit(True)) & (F.array_contains("paths", path) if path else F.lit(True))
+    age = F.datediff(now, F.col("updated_at"))
+    scored = lambda rows: rows.withColumn("score", F.round(recall_score(F.col("relevance"), F.col("importance"), age, F.col("confidence"), F.col("accesses")), 4))
+    top = lambda rows: scored(rows).orderBy(F.col("score").desc(), "memory_id").limit(limit).select("memory_id", "score", "relevance")
+    if not query:
+        return top(live.where(wanted).withColumn("relevance", F.lit(0.5)))
+    texts = live.select("memory_id", "title", "content", F.array_join("tags", " ").alias("_tags"))
+    hits = search(texts, query, {"title": 6, "content": 2, "_tags": 3}, k=limit * 4, key="memory_id").select("memory_id", "relevance")
+    found = live.join(hits, "memory_id").where(wanted)
+    return top(live.where(wanted).withColumn("relevance", F.lit(0.2)) if found.isEmpty() else found)
+
+
+def cache_key(version: int, task: str, options: dict) -> str:
+    """Key of a context request: the same for the same options in any order and any spacing of the task."""
+    parts = [f"v{version}", " ".join(task.lower().split()), *(f"{k}={json.dumps(options[k], sort_keys=True)}" for k in sorted(options))]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]
+
+
+def next_task_keys(tasks: DataFrame) -> DataFrame:
+    """``tasks`` with keys ``TASK-n`` for those without one, after the greatest number of their project."""
+    number = F.regexp_extract("key", r"^TASK-(\d+)$", 1).cast("long")
+    last = F.coalesce(F.max(number).over(Window.partitionBy("project_id")), F.lit(0))
+    place = F.sum(F.col("key").isNull().cast("long")).over(Window.partitionBy("project_id").orderBy("created_at", "task_id"))
+    return tasks.withColumn("key", F.coalesce("key", F.concat(F.lit("TASK-"), last + place)))
