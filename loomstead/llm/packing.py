@@ -12,7 +12,6 @@ tokens, so each task sees a bounded group whatever the size of the corpus, and t
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator  # noqa: F401  (kept for type comments of callers)
 
 import numpy as np
 import pandas as pd

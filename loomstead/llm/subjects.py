@@ -267,7 +267,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, i
     weight, telling = fit(prepared, labels, names)
     found = shares(prepared, weight, telling, names)
     marked = labels.select("doc_id", "subject").distinct().withColumn("label", F.lit(True))
-    of_labelled = found.join(F.broadcast(marked.select("doc_id").distinct()), "doc_id", "left_semi").join(F.broadcast(marked), ["doc_id", "subject"], "left")
+    of_labelled = found.join(marked.select("doc_id").distinct(), "doc_id", "left_semi").join(marked, ["doc_id", "subject"], "left")
     pairs = of_labelled.orderBy(F.xxhash64("doc_id", "subject")).limit(LABELLED).select("share", F.coalesce("label", F.lit(False))).toPandas()
     slope, middle = calibrate(list(pairs.itertuples(index=False, name=None)))
     return (
