@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +86,9 @@ def giveaway(path: str, text: str) -> bool:
         return True
     if len(body) < 1500 or _COMMENT.search(body):
         return False
-    rows = _ROW.findall(bare)
-    return literal_share(body) > 0.9 or (len(rows) >= 25 and len(max(set(rows), key=rows.count)) * rows.count(max(set(rows), key=rows.count)) > 0.5 * len(bare))
+    rows = Counter(_ROW.findall(bare))
+    row, times = rows.most_common(1)[0] if rows else ("", 0)
+    return literal_share(body) > 0.9 or (rows.total() >= 25 and len(row) * times > 0.5 * len(bare))
 
 
 def _hash(name: str) -> int:
