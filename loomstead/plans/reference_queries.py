@@ -17,11 +17,22 @@ _STATE = """state AS (SELECT id, arg_max(project_id, indexed_at) AS project_id,
 live AS (SELECT * FROM state WHERE status = 'active')"""
 
 
+def _counted(sql: str) -> str:
+    """``count_if(x)`` as a count of BIGINT type."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + 9 : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = _counted(sql)
         return f
     return add
 
