@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomstead.llm import tokens
 from loomstead.session import materialise
 
-WINDOWS_PER_BUCKET = 64
+WINDOWS_PER_BUCKET = 256
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
