@@ -172,12 +172,19 @@ def partial_counts(tokens, sizes, weight, telling, fixed=None) -> np.ndarray:
     kinds = weight.shape[1]
     counts = np.zeros((FEATURES, kinds))
     if len(lengths):
-        used = np.repeat(post * about[:, None], lengths, axis=0)
+        told = post * about[:, None]
         for c in range(kinds):
-            counts[:, c] = np.bincount(flat, used[:, c], FEATURES)
+            counts[:, c] = np.bincount(flat, np.repeat(told[:, c], lengths), FEATURES)
     return counts
 
 
+def slices(batch: pd.DataFrame, limit: int = 400_000) -> Iterator[pd.DataFrame]:
+    """A batch in parts of about ``limit`` tokens, so that memory follows neither its rows nor their length."""
+    part = np.cumsum([len(t) for t in batch["tokens"]]) // limit
+    for _, rows in batch.groupby(part, sort=True):
+        yield rows
+
+
 def _collect_counts(rows: DataFrame, kinds: int) -> np.ndarray:
     counts = np.zeros((FEATURES, kinds))
     for place, values in rows.groupBy("place").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(kinds)]).alias("c")).toPandas().itertuples(index=False):
@@ -213,7 +220,8 @@ def fit(prepared: DataFrame, labels: DataFrame, names: list[str]) -> tuple[np.nd
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             total = np.zeros((FEATURES, kinds))
             for batch in batches:
-                total += partial_counts(list(batch["tokens"]), list(batch["sizes"]), *shared.value)
+                for rows in slices(batch):
+                    total += partial_counts(list(rows["tokens"]), list(rows["sizes"]), *shared.value)
             used = np.flatnonzero(total.sum(1) > 1e-6)
             yield pd.DataFrame({"place": used.astype(np.int32), "c": list(total[used].astype(np.float32))})
 
@@ -227,7 +235,7 @@ def shares(prepared: DataFrame, weight: np.ndarray, telling: np.ndarray, names:
     kinds = len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in slices(whole)):
             post, about, doc, _, _ = expect(list(batch["tokens"]), list(batch["sizes"]), *shared.value)
             table = np.zeros((len(batch), kinds))
             if len(doc):
