@@ -48,13 +48,14 @@ def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 2
     hit = reduce(lambda a, b: a | b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])
     saturation = lambda i: F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_size") / F.lit(float(figures["_avg"] or 1.0))))
     rarity = lambda i: F.greatest(F.lit(1e-6), F.lit(math.log((figures["_n"] - figures[f"_d{i}"] + 0.5) / (figures[f"_d{i}"] + 0.5))))
-    scored = rows.where(hit).select(*keep, F.round(reduce(lambda a, b: a + b, [rarity(i) * saturation(i) for i in range(len(terms))]), 6).alias("score"))
+    scored = rows.select(*keep, hit.alias("_hit"), F.round(reduce(lambda a, b: a + b, [rarity(i) * saturation(i) for i in range(len(terms))]), 6).alias("score"))
     if within:
-        order = Window.partitionBy(*within).orderBy(F.col("score").desc(), key)
-        best = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+        order = Window.partitionBy(*within).orderBy(F.col("_hit").desc(), F.col("score").desc(), key)
+        best = scored.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= k) & F.col("_hit")).drop("_r", "_hit")
         group = Window.partitionBy(*within)
     else:
-        best = scored.orderBy(F.col("score").desc(), key).limit(k)
+        # hits are told apart after the limit: a filter below it would have the tokens cut again for every term
+        best = scored.orderBy(F.col("_hit").desc(), F.col("score").desc(), key).limit(k).where("_hit").drop("_hit")
         group = Window.partitionBy(F.lit(1))
     low, high = F.min("score").over(group), F.max("score").over(group)
     return best.withColumn("relevance", F.round(F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low)), 4))
