@@ -499,3 +499,11 @@ SELECT doc_id, title, substr(sha256('readme|' || trim(regexp_replace(lower(coale
 def record_hashes(spark, root):
     rows = table(spark, root, "documents").where(F.length("text") == F.octet_length("text")).withColumn("title", F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1)).where("title <> ''")
     return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))
+
+
+@query()
+def document_hashes(spark, root):
+    """Record hash of every document, whatever its letters; one without a title line has a null title, which counts as empty."""
+    title = F.nullif(F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1), F.lit(""))
+    rows = table(spark, root, "documents").withColumn("title", title)
+    return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))

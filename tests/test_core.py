@@ -1,7 +1,9 @@
 """Core operators on small fixtures, against brute force where SQL is not the better judge."""
 
 import datetime as dt
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from loomstead.functions import text as T
 from loomstead.operators import context, contracts, extract, graph, ingest, knowledge, search
 from loomstead.operators.orphans import orphan_references, orphan_report
 from loomstead.operators.sessions import bitmap_runs, close_right, sessionize
+from loomstead.plans import reference_queries
 from loomstead.sources import git, scan
 from loomstead.streaming import watch
 
@@ -242,3 +245,15 @@ def test_index_stream(spark, tmp_path):
     assert seen == [1]
     known = spark.createDataFrame([("p", "a", "1")], rows.schema)
     assert watch.changed_only(rows, known).count() == 0
+
+
+def test_document_hashes_match_brute_force(spark, tmp_path):
+    texts = ["# Über uns\nÄpfel  UND\tBirnen", "no title line", "", None, "Añejo\u00a0\u2003 CAFÉ\n\u3000x \n", "Plain title\nplain text\n", "ab\nshort", "ΟΔΟΣ title\nИТОГ \u2028😀"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    blank = "[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+    clean = lambda x: re.sub(blank, " ", (x or "").lower()).strip(" ")
+    want = {}
+    for k, x in enumerate(texts):
+        title = (m := re.match(r"(?:# )?([^\n]{3,80})\n", x or "")) and m[1]
+        want[k] = (title, hashlib.sha256(f"readme|{clean(title)}|{clean(x)}".encode()).hexdigest()[:32])
+    assert {r.doc_id: (r.title, r.content_hash) for r in reference_queries.document_hashes(spark, str(tmp_path)).collect()} == want
