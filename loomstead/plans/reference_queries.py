@@ -426,6 +426,13 @@ def extracted_symbols(spark, root):
     return extract.extract_symbols(rows).select("file_id", "ordinal", "name", "qualified_name", "type", "line_start", "line_end", "exported")
 
 
+@query()
+def extracted_references(spark, root):
+    """References read from the present text of every file, with the symbol around each."""
+    rows = table(spark, root, "file_search").select("file_id", "project_id", "path", "content").distinct()
+    return extract.extract_references(rows).select("file_id", "project_id", "ordinal", "name", "kind", "line", "from_ordinal")
+
+
 @query()
 def resolved_imports(spark, root):
     """Imports read from the present text, resolved against the files that are active."""

@@ -257,3 +257,26 @@ def test_document_hashes_match_brute_force(spark, tmp_path):
         title = (m := re.match(r"(?:# )?([^\n]{3,80})\n", x or "")) and m[1]
         want[k] = (title, hashlib.sha256(f"readme|{clean(title)}|{clean(x)}".encode()).hexdigest()[:32])
     assert {r.doc_id: (r.title, r.content_hash) for r in reference_queries.document_hashes(spark, str(tmp_path)).collect()} == want
+
+
+def test_references_routes_and_properties(spark):
+    code = (
+        "import type { T } from './t';\nexport { a } from './a';\nimport './s';\n// import z from 'z'; require('z')\n@Injectable()\nexport class Svc extends core.Base<T> implements One, Two<T> {\n"
+        "  private count = 0;\n  readonly go = (x) => use(x);\n  name?: string;\n  run({ a }: { a: T }): void {\n    const y = new Thing(`${wrap(a)} call(1)`);\n    y.send(/[(}]/g);\n  }\n}\n"
+        "function plain(a) { return a.map(f).catch(g); }\nrouter.get('/u/:id', plain);\ninterface I extends J { m(x: T): void }\n"
+    )
+    symbols, imports, references = extract.parse_owned("a.ts", code)
+    assert [(s[1], s[2]) for s in symbols] == [("Svc", "class"), ("Svc.count", "property"), ("Svc.go", "method"), ("Svc.name", "property"), ("Svc.run", "method"), ("plain", "function"), ("I", "interface"), ("GET /u/:id", "route")]
+    assert [i[:2] for i in imports] == [("./t", "type"), ("./a", "export_from"), ("./s", "static")]
+    assert sorted(references, key=str) == sorted([
+        ("Injectable", "decorator", 5, None), ("Injectable", "call", 5, None), ("Base", "extends", 6, 0), ("One", "implements", 6, 0), ("Two", "implements", 6, 0), ("use", "call", 8, 2), ("Thing", "new", 11, 4),
+        ("wrap", "call", 11, 4), ("send", "call", 12, 4), ("map", "call", 15, 5), ("catch", "call", 15, 5), ("get", "call", 16, None), ("J", "extends", 17, 6),
+    ], key=str)
+    jsx = extract.parse("a.tsx", "const A = () => <Box.Inner a={f<Row>(1)}><B /></Box.Inner>;\n")[2]
+    assert sorted(jsx) == [("B", "jsx", 1), ("Box.Inner", "jsx", 1), ("f", "call", 1)]
+    python = "@app.get('/u')\ndef f():\n    return g(1)\n\nclass K(m.Base):\n    def h(self):\n        self.i()\n"
+    got = extract.parse_owned("a.py", python)[2]
+    assert {("Base", "extends", 5, 2), ("get", "decorator", 1, 0), ("get", "call", 1, 0), ("g", "call", 3, 0), ("i", "call", 7, 3)} == set(got)
+    assert ("g", "call", 2, 0) in extract.parse_owned("a.py", "def f():\n  g(\n")[2]
+    rows = extract.extract_references(spark.createDataFrame([(1, "p", "a.ts", code), (2, "p", "a.md", code)], "file_id long, project_id string, path string, content string")).collect()
+    assert [(r.name, r.kind, r.line, r.from_ordinal) for r in rows] == references and {r.kind for r in rows} <= set(extract.REFERENCES)
