@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.functions.text import STOPWORDS, looks_like_test
+from loomstead.operators.search import search_many
+
 # The weight of each kind of evidence.
 WEIGHTS = {"explicit": 1.0, "symbol": 0.9, "pathMatch": 0.85, "search": 0.7, "memory": 0.6, "dependency": 0.4, "recent": 0.3, "test": 0.25}
 
@@ -48,6 +51,59 @@ def expand(scored: DataFrame, edges: DataFrame, *, seeds: int = 6, depth: int =
     return found if found is not None else scored.select("request_id", "path", F.lit("dependency").alias("component"), F.lit(0.0).alias("strength"), F.lit("").alias("reason")).limit(0)
 
 
+def neighbours(scored: DataFrame, edges: DataFrame, *, seeds: int = 6) -> DataFrame:
+    """Evidence from the direct neighbours of the best seeds, within the project of each request.
+
+    ``scored`` has ``(request_id, project_id, intent, path, score)``, ``edges`` ``(project_id, source, target)`` paths, the source importing
+    the target. A test that imports a seed counts as ``test``, and only for requests about tests or bugs.
+    """
+    order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "path")
+    front = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= seeds).select("request_id", "project_id", "intent", "path")
+    imported = front.join(edges.withColumnRenamed("source", "path"), ["project_id", "path"]).select("request_id", F.col("target").alias("path"), F.lit("dependency").alias("component"), F.lit("imported by a file found").alias("reason"))
+    importing = front.join(edges.withColumnRenamed("target", "path"), ["project_id", "path"]).withColumn("_test", looks_like_test(F.col("source"))).where(~F.col("_test") | F.col("intent").isin("test", "debug")).select(
+        "request_id", F.col("source").alias("path"), F.when(F.col("_test"), "test").otherwise("dependency").alias("component"), F.when(F.col("_test"), "tests a file found").otherwise("imports a file found").alias("reason")
+    )
+    return imported.unionByName(importing).distinct().select("request_id", "path", "component", F.lit(0.5).alias("strength"), "reason")
+
+
+def named_symbols(asks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Evidence from symbols that a request names, five a name: 1 where the name is equal, 0.7 where it is but for case or the qualifier."""
+    task = F.col("task")
+    every = F.concat(*[F.regexp_extract_all(task, F.lit(p), 1) for p in (r"`([A-Za-z_$][\w$.]*)(?:\(\))?`", r"(?<![\w$])([A-Za-z_$][\w$]*)\(", r"(?<![\w$])([A-Z][a-z0-9]+[A-Z][\w$]*|[a-z]+[A-Z][\w$]*|[A-Z][A-Za-z0-9]{2,}|[A-Za-z][a-z0-9]*_[\w$]+)")])
+    names = asks.select("request_id", "project_id", F.explode(F.slice(F.array_distinct(F.filter(every, lambda w: ~F.lower(w).isin(sorted(STOPWORDS)))), 1, 12)).alias("wanted")).withColumn("_low", F.lower("wanted"))
+    held = symbols.select("project_id", "id", "path", "name", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("_low"))
+    order = Window.partitionBy("request_id", "wanted").orderBy((F.col("name") == F.col("wanted")).desc(), "id")
+    best = names.join(held, ["project_id", "_low"]).withColumn("_r", F.row_number().over(order)).where("_r <= 5")
+    return best.select("request_id", "path", F.lit("symbol").alias("component"), F.when(F.col("name") == F.col("wanted"), 1.0).otherwise(0.7).alias("strength"), F.concat(F.lit("defines "), F.col("name")).alias("reason"))
+
+
+def named_paths(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """Evidence from files of the project whose path a request spells out."""
+    found = asks.select("request_id", "project_id", F.explode(paths_in(F.col("task"))).alias("path"))
+    return found.join(files.select("project_id", "path").distinct(), ["project_id", "path"]).select("request_id", "path", F.lit("explicit").alias("component"), F.lit(1.0).alias("strength"), F.lit("named in the request").alias("reason"))
+
+
+def recent_changes(asks: DataFrame, files: DataFrame, *, k: int = 10) -> DataFrame:
+    """Evidence from the files of the project that changed last."""
+    order = Window.partitionBy("project_id").orderBy(F.col("last_modified").desc(), "path")
+    last = files.select("project_id", "path", "last_modified").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("project_id", "path").distinct()
+    return asks.select("request_id", "project_id").join(last, "project_id").select("request_id", "path", F.lit("recent").alias("component"), F.lit(1.0).alias("strength"), F.lit("changed lately").alias("reason"))
+
+
+def remembered(asks: DataFrame, records: DataFrame, files: DataFrame, *, k: int = 6) -> DataFrame:
+    """Evidence from files that the records recalled for a request speak of. ``records`` has ``(project_id, id, text, importance)``."""
+    hits = search_many(asks, records, {"text": 1}, k=k).select("request_id", "project_id", "id")
+    told = records.select("project_id", "id", "importance", F.explode(paths_in(F.col("text"))).alias("path"))
+    return hits.join(told, ["project_id", "id"]).join(files.select("project_id", "path").distinct(), ["project_id", "path"]).select(
+        "request_id", "path", F.lit("memory").alias("component"), F.col("importance").alias("strength"), F.lit("a record speaks of it").alias("reason")
+    )
+
+
+def paths_in(text: Column) -> Column:
+    """Paths that a text spells out, with ``/`` between folders."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\\", "/"), r"(?<![\w./-])\./", ""), F.lit(r"(?<![\w@./-])([\w@.-]+(?:/[\w@.()\[\]-]+)*\.\w+)"), 1))
+
+
 def rank(scored: DataFrame) -> DataFrame:
     """``relevance``: the score as a share of the request's best, to 3 digits."""
     top = F.max("score").over(Window.partitionBy("request_id"))

@@ -61,6 +61,41 @@ def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 2
     return best.withColumn("relevance", F.round(F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low)), 4))
 
 
+def search_many(asks: DataFrame, docs: DataFrame, columns: dict[str, float], *, k: int = 20, key: str = "id") -> DataFrame:
+    """``search`` for many requests at once, each within its project: ``(request_id, project_id, key, score, relevance)``.
+
+    ``asks`` has ``(request_id, project_id, task)``, ``docs`` ``project_id``, the key and the searched columns. Terms are those of
+    ``clauses``; figures are those of the project. The terms are broadcast; only tokens that some request asks for are shuffled.
+    """
+    tokens = F.regexp_extract_all(F.lower("task"), F.lit("([a-z0-9_$]{2,})"), 1)
+    parts = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.filter(F.split(t, r"[_$]+"), lambda p: F.length(p) >= 3))))
+    terms = F.slice(F.array_distinct(F.filter(parts, lambda t: ~t.isin(sorted(T.STOPWORDS)))), 1, 24)
+    asked = asks.select("request_id", "project_id", F.explode(terms).alias("term"))
+    asked = asked.withColumn("prefix", F.explode(F.when(F.length("term") >= 4, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    wanted = asked.select("project_id", "term", "prefix").distinct()
+    cut = docs.select("project_id", key, *[T.words(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
+    size = reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(columns))])
+    figures = cut.groupBy("project_id").agg(F.count("*").alias("_n"), F.avg(size).alias("_avg"))
+    weigh = lambda x: lambda w: F.struct(w.alias("word"), F.lit(float(x)).alias("w"))
+    each = F.flatten(F.array(*[F.transform(f"_t{i}", weigh(x)) for i, x in enumerate(columns.values())]))
+    spread = cut.select("project_id", key, size.alias("_size"), F.explode(each).alias("_x")).select("project_id", key, "_size", "_x.word", "_x.w")
+    # the head of a term of under four letters is the term, so that it meets only the equal word
+    heads = F.broadcast(wanted.withColumn("_head", F.substring("term", 1, 4)))
+    met = spread.withColumn("_head", F.substring("word", 1, 4)).join(heads, ["project_id", "_head"])
+    met = met.where(F.when(F.col("prefix"), F.col("word").startswith(F.col("term"))).otherwise(F.col("word") == F.col("term")))
+    hits = met.groupBy("project_id", key, "term", "prefix").agg(F.sum("w").alias("_f"), F.first("_size").alias("_size"))
+    counts = hits.groupBy("project_id", "term", "prefix").agg(F.count("*").alias("_d"))
+    rarity = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)))
+    saturation = F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("_size") / F.col("_avg")))
+    scored = hits.join(counts, ["project_id", "term", "prefix"]).join(figures, "project_id").select("project_id", key, "term", "prefix", (rarity * saturation).alias("_s"))
+    found = asked.join(scored, ["project_id", "term", "prefix"]).groupBy("request_id", "project_id", key).agg(F.round(F.sum("_s"), 6).alias("score"))
+    order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), key)
+    best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    group = Window.partitionBy("request_id")
+    low, high = F.min("score").over(group), F.max("score").over(group)
+    return best.withColumn("relevance", F.round(F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low)), 4))
+
+
 def merge_ranked(first: DataFrame, second: DataFrame, *, k: int = 25) -> DataFrame:
     """Two ranked lists of ``(kind, id, relevance)`` as one; the first list wins ties."""
     both = first.withColumn("_o", F.lit(0)).unionByName(second.withColumn("_o", F.lit(1)))

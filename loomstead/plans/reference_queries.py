@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
 from loomstead.operators import context, contracts, extract, graph, ingest, knowledge, orphans, search
-from loomstead.session import normal_path, table
+from loomstead.session import materialise, normal_path, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -463,15 +465,47 @@ def context_evidence_scores(spark, root):
     return context.rank(context.combine(_evidence(spark, root))).select("request_id", "path", "score", "relevance")
 
 
+def _all_evidence(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(asks, files, evidence)``: all kinds of evidence but the neighbours, for every cached request within its project."""
+    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct().withColumn("intent", T.detect_intent(F.col("task")))
+    files = live(spark, root).select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
+    own = files.select("project_id", "file_id", "path")
+    symbols = table(spark, root, "symbols").select("id", "file_id", "name", "qualified_name", "signature").dropDuplicates(["id"]).join(own, "file_id")
+    texts = table(spark, root, "file_search").select("file_id", "content", "identifiers").dropDuplicates(["file_id"]).join(own, "file_id")
+    named = symbols.select("id", "project_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified"), "signature", F.col("path").alias("relative_path"))
+    by_symbol = search.search_many(asks, named, {"name": 10, "qualified": 6, "signature": 1, "relative_path": 2}).join(symbols.select("id", "path"), "id")
+    by_text = search.search_many(asks, texts, {"path": 8, "content": 1, "identifiers": 4}, key="file_id").join(own.select("file_id", "path"), "file_id")
+    hit = lambda rows, share, why: rows.select("request_id", "path", F.lit("search").alias("component"), (F.col("relevance") * share).alias("strength"), F.lit(why).alias("reason"))
+    memories = table(spark, root, "documents").where("kind = 'memory' AND text IS NOT NULL").select(F.col("source").alias("project_id"), F.col("doc_id").alias("id"), "text", F.lit(0.9).alias("importance"))
+    found = [
+        _evidence(spark, root), context.named_paths(asks, files), context.named_symbols(asks, symbols), hit(by_symbol, 1.0, "symbol match"), hit(by_text, 0.8, "content match"),
+        context.recent_changes(asks, files), context.remembered(asks, memories, files),
+    ]
+    return asks, files, reduce(DataFrame.unionByName, found)
+
+
+def _ranked_context(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    asks, files, found = _all_evidence(spark, root)
+    found = materialise(found)
+    scored = context.combine(found).join(asks.select("request_id", "project_id", "intent"), "request_id")
+    names = files.select("file_id", "path")
+    edges = _edges(spark, root).join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
+    ranked = context.rank(context.combine(found.unionByName(context.neighbours(scored, edges))))
+    return ranked.join(asks.select("request_id", "project_id"), "request_id"), files
+
+
+@query()
+def context_all_evidence(spark, root):
+    """Every file that speaks for a cached request, from all kinds of evidence."""
+    return _ranked_context(spark, root)[0].select("request_id", "project_id", "path", "score", "relevance", "reasons")
+
+
 @query()
 def context_budget_fill(spark, root):
-    """Context of every cached request: evidence, neighbours in the import graph, ranking, budget."""
-    scored = context.combine(_evidence(spark, root))
-    paths = live(spark, root).select("file_id", F.col("relative_path").alias("path"), "size", "symbol_count")
-    edges = _edges(spark, root).join(paths.select(F.col("file_id").alias("source"), F.col("path").alias("_s")), "source").join(paths.select(F.col("file_id").alias("target"), F.col("path").alias("_t")), "target").select(F.col("_s").alias("source"), F.col("_t").alias("target"))
-    both = context.combine(_evidence(spark, root).unionByName(context.expand(scored, edges)))
-    sizes = paths.groupBy("path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
-    return context.fill_budget(context.rank(both).join(sizes, "path").select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
+    """Context of every cached request: all evidence, neighbours in the import graph, ranking, budget."""
+    ranked, files = _ranked_context(spark, root)
+    sizes = files.groupBy("project_id", "path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
+    return context.fill_budget(ranked.join(sizes, ["project_id", "path"]).select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
 
 
 @query("""WITH s AS (SELECT project_id, agent, min("at") AS started FROM (SELECT DISTINCT id, project_id, lower(trim(agent)) AS agent, "at" FROM activity WHERE agent IS NOT NULL AND project_id IS NOT NULL AND "at" IS NOT NULL) GROUP BY ALL)

@@ -280,3 +280,29 @@ def test_references_routes_and_properties(spark):
     assert ("g", "call", 2, 0) in extract.parse_owned("a.py", "def f():\n  g(\n")[2]
     rows = extract.extract_references(spark.createDataFrame([(1, "p", "a.ts", code), (2, "p", "a.md", code)], "file_id long, project_id string, path string, content string")).collect()
     assert [(r.name, r.kind, r.line, r.from_ordinal) for r in rows] == references and {r.kind for r in rows} <= set(extract.REFERENCES)
+
+
+def test_context_takes_all_evidence_within_projects(spark, tmp_path):
+    at = lambda d: START + dt.timedelta(days=d)
+    paths = [(1, "p", "a/one.ts"), (2, "p", "a/two.ts"), (3, "p", "a/three.ts"), (4, "p", "tests/one.test.ts"), (5, "p", "a/mem.ts"), (6, "q", "a/one.ts"), (7, "q", "a/new.ts")] + [(20 + k, "p", f"z/f{k}.ts") for k in range(12)]
+    files = [(i, p, r, "typescript", 400, "h", at(i), at(0), "active", 2) for i, p, r in paths]
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save(files, "id long, project_id string, relative_path string, language string, size long, hash string, last_modified timestamp, indexed_at timestamp, status string, symbol_count long", "files")
+    texts = {1: "walrus feeding", 2: "zebra", 6: "walrus elsewhere"}
+    save([(i, p, r, texts.get(i, "nothing"), None) for i, p, r in paths], "file_id long, project_id string, path string, content string, identifiers string", "file_search")
+    save([(1, "p", 3, "penguinHouse", "penguinHouse", None), (2, "q", 6, "penguinHouse", "penguinHouse", None)], "id long, project_id string, file_id long, name string, qualified_name string, signature string", "symbols")
+    save([(1, "p", 4, 1, "static"), (2, "p", 1, 2, "static")], "id long, project_id string, file_id long, resolved_file_id long, kind string", "imports")
+    save([(1, "memory", "p", "The walrus lives in a\\\\mem.ts".replace("\\\\", "\\")), (2, "memory", "q", "walrus: a/one.ts")], "doc_id long, kind string, source string, text string", "documents")
+    save([("r1", "p", "fix the walrus bug in penguinHouse, see a/two.ts"), ("r2", "q", "walrus")], "id string, project_id string, task string", "context_cache")
+    found = reference_queries._all_evidence(spark, str(tmp_path))[2].collect()
+    kinds = {(r.request_id, r.component, r.path) for r in found}
+    assert {("r1", "search", "a/one.ts"), ("r1", "symbol", "a/three.ts"), ("r1", "explicit", "a/two.ts"), ("r1", "memory", "a/mem.ts"), ("r1", "recent", "z/f11.ts"), ("r2", "search", "a/one.ts"), ("r2", "memory", "a/one.ts")} <= kinds
+    assert not {p for r, _, p in kinds if r == "r2"} - {"a/one.ts", "a/new.ts"} and ("r1", "recent", "z/f1.ts") not in kinds
+    ranked = {(r.request_id, r.path): r for r in reference_queries.context_all_evidence(spark, str(tmp_path)).collect()}
+    assert ranked["r1", "tests/one.test.ts"].reasons[0] == "tests a file found" and ranked["r1", "tests/one.test.ts"].score >= 0.125
+    filled = reference_queries.context_budget_fill(spark, str(tmp_path)).collect()
+    assert {r.path for r in filled if r.request_id == "r2"} == {"a/one.ts", "a/new.ts"} and len([r for r in filled if r.request_id == "r1"]) == 12
+    asks = spark.createDataFrame([("r", "p", "walrus feeding")], "request_id string, project_id string, task string")
+    docs = spark.createDataFrame([(1, "p", "walrus feed", "x"), (2, "p", "feeding feeding walruses", "y"), (3, "p", "other", "walrus"), (4, "p", "none", "none"), (5, "q", "walrus", "walrus")], "id long, project_id string, a string, b string")
+    many = {(r.id, round(r.score, 5), r.relevance) for r in search.search_many(asks, docs, {"a": 3, "b": 1}).collect()}
+    assert many == {(r.id, round(r.score, 5), r.relevance) for r in search.search(docs.where("project_id = 'p'"), "walrus feeding", {"a": 3, "b": 1}).collect()}
