@@ -1,11 +1,12 @@
 """Source files whose text is not valid in the language of their extension.
 
-Method: a lexer per language turns the text into a string of token classes, and a pushdown reduction takes the brackets
-off from the inside out: each innermost group is held against the token sequences that its language forbids there and
-is then replaced by one symbol. What stays unreduced is unbalanced or ends too early; unterminated literals, characters
-outside the language and merge-conflict markers outside literals and comments have classes of their own. JSON and
-Python are checked exactly on top: the reduction of JSON is its grammar, and a Python file that the lexer objects to is
-flagged only if Python's own parser objects too.
+Method: a lexer per language turns the text into a string of token classes, and a pushdown stack reads it once: an opening
+bracket is pushed, a closing one pops its group, which is held against the token sequences that its language forbids
+there and is put into the group around it as one symbol. What stays on the stack ends too early, a closing bracket that
+does not fit its opening one is unbalanced; unterminated literals, characters outside the language and merge-conflict
+markers outside literals and comments have classes of their own. Time follows the length of a text, however deep its
+brackets are. JSON and Python are checked exactly on top: the groups of JSON are its grammar, and Python's own parser
+has the last word on Python files.
 
 One pass over the files, no shuffle but the final counts; nothing is broadcast.
 """
@@ -28,7 +29,8 @@ LANGUAGES = {
 }
 
 CONFLICT = r"^(?:<<<<<<<|=======|>>>>>>>|\|\|\|\|\|\|\|)(?:[ \t][^\n]*|\r?)$"
-INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+BRACKETS = re.compile(r"[()\[\]{}]")
+CLOSES = {"(": ")", "[": "]", "{": "}"}
 
 
 class Problem(Exception):
@@ -291,10 +293,7 @@ def check_script(text: str, extension: str) -> None:
     if re.match(r"N*\{N*s:", code):
         raise Problem("unexpected token")
 
-    def reduce(m: re.Match) -> str:
-        group = m[0]
-        inside, kind = group[1:-1], group[0]
-        before = m.string[m.start() - 1] if m.start() else ""
+    def reduce(kind: str, inside: str, before: str) -> str:
         if kind != "{" or before in ("(," if typed else "=(,?"):
             inside = inside.replace("N", "")
         if found := bad.search(inside):
@@ -314,14 +313,31 @@ def check_script(text: str, extension: str) -> None:
 
 
 def _reduced(code: str, reduce) -> str:
-    while True:
-        shorter, count = INNER.subn(reduce, code)
-        if not count:
-            break
-        code = shorter
-    if found := re.search(r"[(\[{)\]}]", code):
-        raise Problem("premature end" if found[0] in "([{" else "unbalanced delimiter")
-    return code
+    """``code`` with each bracket group replaced by ``reduce(kind, inside, before)``, inner groups first, in one pass.
+
+    ``inside`` is the group's own code with its inner groups already replaced, ``before`` the symbol in front of it: the
+    bracket around it where it comes first there, nothing at the start of the text.
+    """
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    parts, at = stack[0][1], 0
+    for m in BRACKETS.finditer(code):
+        if m.start() > at:
+            parts.append(code[at : m.start()])
+        at, mark = m.end(), m[0]
+        if mark in CLOSES:
+            parts = []
+            stack.append((mark, parts))
+            continue
+        kind, parts = stack.pop()
+        if CLOSES.get(kind) != mark:
+            raise Problem("unbalanced delimiter")
+        outer, around = stack[-1]
+        around.append(reduce(kind, "".join(parts), around[-1][-1] if around else outer))
+        parts = around
+    if len(stack) > 1:
+        raise Problem("premature end")
+    parts.append(code[at:])
+    return "".join(parts)
 
 
 # ---------------------------------------------------------------- JSON
@@ -333,21 +349,22 @@ _JSON = re.compile(
     re.M,
 )
 _JSON_CLASS = {"string": "s", "number": "v", "word": "v", "conflict": "M", "odd": "X"}
-_JSON_GROUP = re.compile(r"\{(?:s:[sv](?:,s:[sv])*+)?\}|\[(?:[sv](?:,[sv])*+)?\]")
+_JSON_OBJECT = re.compile(r"(?:s:[sv](?:,s:[sv])*+)?")
+_JSON_ARRAY = re.compile(r"(?:[sv](?:,[sv])*+)?")
 
 
 def check_json(text: str) -> None:
     code = "".join([m[0] if m.lastgroup == "mark" else _JSON_CLASS[m.lastgroup] for m in _JSON.finditer(text)])
     if found := re.search("[MX]", code):
         raise Problem(_name(found[0]))
-    while True:
-        shorter, count = _JSON_GROUP.subn("v", code)
-        if not count:
-            break
-        code = shorter
-    if code not in ("s", "v"):
-        opened, closed = len(re.findall(r"[\[{]", code)), len(re.findall(r"[\]}]", code))
-        raise Problem("premature end" if not code or opened > closed else "unbalanced delimiter" if closed > opened else "unexpected token")
+
+    def reduce(kind: str, inside: str, before: str) -> str:
+        if not (_JSON_OBJECT if kind == "{" else _JSON_ARRAY).fullmatch(inside):
+            raise Problem("unexpected token")
+        return "v"
+
+    if _reduced(code, reduce) not in ("s", "v"):
+        raise Problem("unexpected token" if code else "premature end")
 
 
 # ---------------------------------------------------------------- Python
@@ -422,11 +439,10 @@ def check_python(text: str) -> None:
     lines.append((indent, code[begin:]))
     stack, opened = [""], False
 
-    def reduce(m: re.Match) -> str:
-        inside = m[0][1:-1]
+    def reduce(kind: str, inside: str, before: str) -> str:
         if found := _PY_BAD.search(inside):
             raise Problem(_name(found[0]))
-        return {"(": "P", "[": "A", "{": "n"}[m[0][0]]
+        return {"(": "P", "[": "A", "{": "n"}[kind]
 
     for indent, code in lines:
         if not code:
@@ -484,9 +500,7 @@ def check_go(text: str) -> None:
     if not re.match(r"N*pi(?:N|;|$)", code):
         raise Problem("unexpected token" if code.strip("N") else "premature end")
 
-    def reduce(m: re.Match) -> str:
-        inside, kind = m[0][1:-1], m[0][0]
-        before = m.string[m.start() - 1] if m.start() else ""
+    def reduce(kind: str, inside: str, before: str) -> str:
         if found := _GO_BAD.search(inside):
             raise Problem(_name(found[0]))
         if kind != "{" and ";" in inside:
@@ -553,8 +567,7 @@ def check_sql(text: str) -> None:
     if code:
         statements.append(("".join(code), words))
 
-    def reduce(m: re.Match) -> str:
-        inside = m[0][1:-1]
+    def reduce(kind: str, inside: str, before: str) -> str:
         if re.search(r"^,|,$|,,|b$|[sn][sn]|[sn]w(?![sPw])(?=[,b]|$)(?<!sw)", inside):
             raise Problem("unexpected token")
         return "P"
@@ -595,15 +608,14 @@ def check_css(text: str) -> None:
     if found := re.search("[MX]", code):
         raise Problem(_name(found[0]))
 
-    def reduce(m: re.Match) -> str:
-        inside = m[0][1:-1]
-        if m[0][0] == "{":
+    def reduce(kind: str, inside: str, before: str) -> str:
+        if kind == "{":
             for declaration in re.split(";", inside):
                 if declaration and "B" not in declaration and not declaration.startswith("r"):
                     if not re.fullmatch(r"w+:[wPA:]+", declaration):
                         raise Problem("unexpected token")
             return "B"
-        return "P" if m[0][0] == "(" else "A"
+        return "P" if kind == "(" else "A"
 
     code = _reduced(code, reduce)
     if not re.fullmatch(r"(?:r[wPA:]*(?:;|B)|[wPA:]+B|;)*", code):

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -109,6 +110,15 @@ def test_invalid_files_are_found():
     assert [(p, t) for p, texts in INVALID.items() for t in texts if not syntax.check(p, t)] == []
 
 
+def test_deep_and_open_texts_take_time_by_length():
+    n = 50_000
+    deep = {"a.json": "[" * n + "]" * n, "a.js": "x = " + "(" * n + "1" + ")" * n, "a.css": "a{" * n + "}" * n, "a.go": "package x\nvar a = " + "(" * n + "1" + ")" * n}
+    cut = {"a.json": "[" * n, "a.js": "x = " + "(" * n, "a.ts": "`${" * n, "a.css": "a{" * n, "b.json": "[" * n + "}"}
+    began = time.process_time()
+    assert not any(syntax.check(p, t) for p, t in deep.items()) and all(syntax.check(p, t) for p, t in cut.items())
+    assert time.process_time() - began < 15
+
+
 def test_syntax_report(spark):
     rows = [(1, "p", "a.PY", "def f(:\n  pass", "x"), (1, "p", "a.PY", "def f(:\n  pass", "x"), (2, "p", "b.py", "x = 1", "x"), (3, "p", "c.md", "(", "x"), (4, None, None, "(", "x"), (5, "q", "d.json", None, "x")]
     files = spark.createDataFrame(rows, "file_id long, project_id string, path string, content string, problem string")
