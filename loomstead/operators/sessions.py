@@ -8,7 +8,7 @@ remaining decisions, between neighbouring runs, compare exact microsecond endpoi
 
 Scale: rows are pre-aggregated to (entity, tick) with a map-side combine before they meet, so the size of any group
 follows the calendar (ticks per block), never the number of rows; a hot entity spreads over its blocks. Only runs
-that touch a block border, at most two a block, pass through a window to be stitched.
+that touch a block border, at most two a block, meet in the window of their entity to be stitched.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from loomstead.session import utc_micros
 HALF_HOUR_US = 30 * 60 * 1_000_000
 TICKS_PER_GAP = 64
 BLOCK_GAPS = 336  # a block of 336 gaps is a week at half an hour
+SLICE = 512  # blocks that share a bitmap
 
 
 def close_right(bits: int, reach: int) -> int:
@@ -37,31 +38,42 @@ def close_right(bits: int, reach: int) -> int:
     return bits
 
 
+def _places(bits: int) -> np.ndarray:
+    """Places of the set bits; only words that are not zero are looked into."""
+    words = np.frombuffer(bits.to_bytes((bits.bit_length() // 64 + 1) * 8, "little"), np.uint64)
+    used = np.flatnonzero(words)
+    word, bit = np.nonzero(np.unpackbits(words[used].view(np.uint8), bitorder="little").reshape(-1, 64))
+    return used[word] * 64 + bit
+
+
 def bitmap_runs(ticks: np.ndarray, reach: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last occupied tick of each run of the closed bitmap; ``ticks`` is sorted, distinct, below ``width``."""
-    cells = np.zeros(width, np.uint8)
-    cells[ticks] = 1
-    bits = int.from_bytes(np.packbits(cells, bitorder="little").tobytes(), "little")
-    closed = close_right(bits, reach)
-    size = (width + reach) // 8 + 1
-    spread = np.unpackbits(np.frombuffer(closed.to_bytes(size, "little"), np.uint8), bitorder="little")
-    edge = np.diff(np.concatenate(([0], spread, [0])).astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 - reach
-
-
-def block_runs(ticks, first_us, last_us, counts, *, gap_us: int, reach: int, width: int):
-    """Runs of one block as arrays (start_us, end_us, n_events)."""
-    order = np.argsort(ticks, kind="stable")
-    ticks, first_us, last_us, counts = ticks[order], first_us[order], last_us[order], counts[order]
-    starts, ends = bitmap_runs(ticks, reach, width)
-    head = np.searchsorted(ticks, starts)
-    tail = np.searchsorted(ticks, ends)
-    start_us, end_us = first_us[head], last_us[tail]
+    words = np.zeros(width // 64 + 1, np.uint64)
+    word, first = np.unique(ticks >> 6, return_index=True)
+    words[word] = np.bitwise_or.reduceat(np.uint64(1) << (ticks & 63).astype(np.uint64), first)
+    closed = close_right(int.from_bytes(words.tobytes(), "little"), reach)
+    starts = _places(closed & ~(closed << 1))
+    last = np.append(np.searchsorted(ticks, starts)[1:], len(ticks)) - 1
+    return starts, ticks[last]
+
+
+def block_runs(block, ticks, first_us, last_us, counts, *, gap_us: int, reach: int, width: int):
+    """Runs of many blocks as arrays (block, start_us, end_us, n_events); ``block`` numbers the block of each tick.
+
+    The blocks lie side by side in one bitmap, further apart than the closing reaches.
+    """
+    stride = width + reach + 1
+    key = block * stride + ticks
+    order = np.argsort(key, kind="stable")
+    key, block, first_us, last_us, counts = key[order], block[order], first_us[order], last_us[order], counts[order]
+    starts, _ = bitmap_runs(key, reach, int(key[-1]) + 1)
+    head = np.searchsorted(key, starts)
+    tail = np.append(head[1:], len(key)) - 1
+    start_us, end_us, of = first_us[head], last_us[tail], block[head]
     events = np.add.reduceat(counts, head)
-    keep = np.concatenate(([True], start_us[1:] - end_us[:-1] > gap_us))
-    begin = np.flatnonzero(keep)
-    finish = np.concatenate((begin[1:], [len(keep)])) - 1
-    return start_us[begin], end_us[finish], np.add.reduceat(events, begin)
+    begin = np.flatnonzero(np.concatenate(([True], (start_us[1:] - end_us[:-1] > gap_us) | (of[1:] != of[:-1]))))
+    finish = np.append(begin[1:], len(of)) - 1
+    return of[begin], start_us[begin], end_us[finish], np.add.reduceat(events, begin)
 
 
 def sessionize(
@@ -115,38 +127,36 @@ def sessionize(
         F.col("cells.last_us").alias("lasts"), F.col("cells.n").alias("counts"),
     )
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for row in batch.itertuples(index=False):
-                start, end, n = block_runs(
-                    np.asarray(row.ticks, np.int64), np.asarray(row.firsts, np.int64), np.asarray(row.lasts, np.int64),
-                    np.asarray(row.counts, np.int64), gap_us=gap_us, reach=reach, width=width,
-                )
-                low = row.block * width * tick
-                high = low + width * tick
-                parts.append(pd.DataFrame({
-                    "agent": row.agent, "project_id": row.project_id, "start_us": start, "end_us": end, "n_events": n,
-                    "open": (start - gap_us < low) | (end + gap_us >= high),
-                }))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    found = blocks.mapInPandas(
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+            sizes = np.diff(batch.column("ticks").offsets.to_numpy())
+            flat = [batch.column(name).flatten().to_numpy() for name in ("ticks", "firsts", "lasts", "counts")]
+            of, start, end, n = block_runs(np.repeat(np.arange(len(sizes)), sizes), *flat, gap_us=gap_us, reach=reach, width=width)
+            low = batch.column("block").to_numpy()[of] * width * tick
+            is_open = (start - gap_us < low) | (end + gap_us >= low + width * tick)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name).take(pa.array(of)) for name in ("agent", "project_id")], pa.array(start), pa.array(end), pa.array(n), pa.array(is_open)],
+                ["agent", "project_id", "start_us", "end_us", "n_events", "open"],
+            )
+
+    found = blocks.mapInArrow(
         runs, "agent string, project_id string, start_us long, end_us long, n_events long, open boolean"
     )
     return stitch(found, gap_us)
 
 
 def stitch(runs: DataFrame, gap_us: int) -> DataFrame:
-    """Join runs that touch a block border with their neighbours; closed runs pass as they are."""
-    columns = ["agent", "project_id", "start_us", "end_us", "n_events"]
-    entity = Window.partitionBy("agent", "project_id").orderBy("start_us")
-    joined = (
-        runs.where("open")
+    """Join runs that touch a block border with their neighbours; a closed run is a group of its own.
+
+    Runs are read once: the window and the grouping share one exchange, by entity for open runs and by run for closed ones.
+    """
+    keys = ["agent", "project_id", "own"]
+    entity = Window.partitionBy(*keys).orderBy("start_us")
+    return (
+        runs.withColumn("own", F.when(~F.col("open"), F.col("start_us")))
         .withColumn("apart", F.coalesce(F.col("start_us") - F.lag("end_us").over(entity) > gap_us, F.lit(True)))
         .withColumn("session", F.sum(F.col("apart").cast("long")).over(entity))
-        .groupBy("agent", "project_id", "session")
+        .groupBy(*keys, "session")
         .agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_events").alias("n_events"))
+        .select("agent", "project_id", "start_us", "end_us", "n_events")
     )
-    return runs.where("NOT open").select(columns).unionByName(joined.select(columns))
