@@ -6,7 +6,8 @@ of the other) until one is left, whose slots are near-equal windows. The number
 rises by one whenever a window exceeds the capacity.
 
 Scale: items are spread over buckets by a hash of their id; a bucket holds about ``windows_per_bucket`` capacities of
-tokens, so each task sees a bounded group whatever the size of the corpus, and the number of buckets follows the total.
+tokens and ``items_per_bucket`` items, so each task sees a bounded group whatever the size of the corpus and of its
+items, and the number of buckets follows the totals.
 """
 
 from __future__ import annotations
@@ -22,44 +23,52 @@ from loomstead.llm import tokens
 from loomstead.session import materialise
 
 WINDOWS_PER_BUCKET = 256
+ITEMS_PER_BUCKET = 1 << 16
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
-    """Window of each item after differencing into ``windows`` near-equal windows."""
+    """Window of each item after differencing into ``windows`` near-equal windows.
+
+    A partial partition holds only the slots that have items, so that all of them together never have more slots than
+    there are items. A slot is a chain of items; two slots are put together by linking their chains.
+    """
     count = len(sizes)
     if windows <= 1 or count == 0:
         return np.zeros(count, np.int64)
-    loads: list[np.ndarray] = []
-    heap = []
-    for i in range(count):
-        load = np.zeros(windows, np.int64)
-        load[0] = sizes[i]
-        loads.append(load)  # slots in falling order
-        heap.append((-int(sizes[i]), i))
+    following = np.full(count, -1, np.int64)  # the next item of a chain
+    end = np.arange(count)  # the last item of the chain that an item begins
+    parts: list[tuple[np.ndarray, np.ndarray] | None] = [(sizes[i : i + 1], end[i : i + 1].copy()) for i in range(count)]  # loads in falling order, first items
+    heap = [(-int(size), i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    merged: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        load = loads[a] + loads[b][::-1]
-        loads[a] = loads[b] = None  # type: ignore[call-overload]
+        _, i = heapq.heappop(heap)
+        _, j = heapq.heappop(heap)
+        (load, first), (other, second) = parts[i], parts[j]  # type: ignore[misc]
+        parts[i] = parts[j] = None
+        # the fullest slot of one lies on the emptiest of the other; only so many of them hold items in both
+        shared = len(load) + len(other) - windows
+        if shared > 0:
+            put, onto = second[-shared:][::-1], first[-shared:]
+            following[end[onto]] = put
+            end[onto] = end[put]
+            load = np.concatenate((load[:-shared], load[-shared:] + other[-shared:][::-1], other[:-shared]))
+            first = np.concatenate((first, second[:-shared]))
+        else:
+            load, first = np.concatenate((load, other)), np.concatenate((first, second))
         order = np.argsort(-load, kind="stable")
-        load = load[order]
-        load -= load[-1]
-        loads.append(load)
-        merged.append((a, b, order))
-        heapq.heappush(heap, (-int(load[0]), len(loads) - 1))
-    slots: list[np.ndarray | None] = [None] * len(loads)
-    slots[-1] = np.arange(windows)  # the window of each slot
-    for node in range(len(merged) - 1, -1, -1):
-        a, b, order = merged[node]
-        mine = slots[count + node]
-        slots[count + node] = None
-        place = np.empty(windows, np.int64)
-        place[order] = mine
-        slots[a] = place
-        slots[b] = place[::-1]
-    return np.fromiter((s[0] for s in slots[:count]), np.int64, count)
+        load, first = load[order], first[order]
+        if len(load) == windows:
+            load -= load[-1]
+        parts.append((load, first))
+        heapq.heappush(heap, (-int(load[0]), len(parts) - 1))
+    place = np.zeros(count, np.int64)
+    at = parts[-1][1].copy()  # type: ignore[index]
+    slot = np.arange(len(at))
+    while len(at):  # all chains at once, one link a step
+        place[at] = slot
+        at = following[at]
+        slot, at = slot[at >= 0], at[at >= 0]
+    return place
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -82,7 +91,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return result
 
 
-def pack_items(items: DataFrame, targets: list[tuple[int, int]], *, windows_per_bucket: int = WINDOWS_PER_BUCKET) -> DataFrame:
+def pack_items(items: DataFrame, targets: list[tuple[int, int]], *, windows_per_bucket: int = WINDOWS_PER_BUCKET, items_per_bucket: int = ITEMS_PER_BUCKET) -> DataFrame:
     """Windows of ``(doc_id, n_tokens)`` rows for each ``(target_id, capacity)``.
 
     Gives ``(target_id, window_id, doc_id, piece, start_token, n_tokens)``. An item larger than the capacity is cut into
@@ -98,11 +107,11 @@ def pack_items(items: DataFrame, targets: list[tuple[int, int]], *, windows_per_
     bad = [c for _, c in targets if c is None or c < 1]
     if bad:
         raise ValueError("capacities must be positive")
-    total = items.agg(F.sum("n_tokens")).first()[0] or 0
+    total, rows = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     choices = F.array(*[
         F.struct(
             F.lit(t).cast("long").alias("target_id"), F.lit(c).cast("long").alias("capacity"),
-            F.lit(max(1, -(-total // (c * windows_per_bucket)))).cast("long").alias("buckets"),
+            F.lit(max(1, -(-total // (c * windows_per_bucket)), -(-rows // items_per_bucket))).cast("long").alias("buckets"),
         )
         for t, c in targets
     ])

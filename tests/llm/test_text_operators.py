@@ -84,6 +84,23 @@ def test_differencing_is_near_equal():
     assert len(loads) == 12 and loads.max() - loads.min() <= 2
 
 
+def test_many_small_items_take_little_memory():
+    import tracemalloc
+
+    sizes = np.ones(60_000, np.int64)
+    tracemalloc.start()
+    place = packing.pack(sizes, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(place).max() <= 400 and len(np.unique(place)) == 150 and peak < 60e6
+
+
+def test_items_are_spread_over_buckets(spark):
+    items = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"))
+    rows = packing.pack_items(items, [(1, 100)], items_per_bucket=500)
+    assert rows.count() == 5000 and rows.select(F.substring_index("window_id", "-", 1)).distinct().count() == 10
+
+
 VALID = {
     "a.ts": "import type { A } from './a';\nexport interface P<T = any> { a?: T; b: string[] }\nexport const f = async (x: Map<string, number[]>): Promise<void> => {\n  const r = x.replace(/[({]+/g, `}${y ? `a` : 'b'}`);\n  for (const [a, b] of x) { go(a!, b as number); }\n  return r ?? { a: 1, ...b };\n};\n",
     "b.tsx": "export function V() {\n  return (\n    <a href=\"x\">\n      it's {/* ( */} text {n > 1 && <b/>}\n    </a>\n  );\n}\n",
