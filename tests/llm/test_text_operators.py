@@ -247,6 +247,30 @@ def test_statements():
     assert len(subjects.statements("interface Loan {\n  rate?: number;\n}\n\nconst bond = await read(loan, { limit: 3 });\n\n// Logs are attached.\n")) == 3
 
 
+def test_words_are_found_and_hashed_by_place():
+    text = "It's fooBar_baz 12 ÄpfelÜber it's FOO"
+    begin, end, hashes = subjects.find_words(text)
+    assert [text[a:b] for a, b in zip(begin, end)] == ["It's", "foo", "Bar", "baz", "ÄpfelÜber", "it's", "FOO"]
+    assert hashes[0] == hashes[5] and hashes[1] == hashes[6] and len(set(hashes.tolist())) == 5
+
+
+def test_a_sentence_without_its_full_stop_ends_where_the_next_begins():
+    assert subjects.statements("Prices and taxes were put into one table Nobody saw the court in August and the ship left.") == ["Prices and taxes were put into one table", "Nobody saw the court in August and the ship left."]
+    assert subjects.statements("Das Haus hat einen Garten und die Katze sitzt auf der Mauer vor dem Tor.") == ["Das Haus hat einen Garten und die Katze sitzt auf der Mauer vor dem Tor."]
+    assert subjects.statements("The food is bad and Users agree with us.") == ["The food is bad and Users agree with us."]
+
+
+def test_calibration_follows_held_out_pairs():
+    r = np.random.default_rng(1)
+    share = np.repeat(np.linspace(0, 1, 41), 30)
+    has = (share >= 0.25) ^ (r.random(len(share)) < 0.04)
+    curves = subjects.calibrate(share, has.astype(float), np.arange(len(share)) % 3, 3)
+    assert np.all(np.abs(curves[:, 1] - 0.25) < 0.02) and np.all(curves[:, 0] > 15)
+    moved = subjects.calibrate(share, (share >= 0.29).astype(float), np.zeros(len(share), int), 1)
+    assert moved[0, 1] > 0.26
+    assert subjects.calibrate(share[:5], has[:5].astype(float), np.zeros(5, int), 1).shape == (1, 2)
+
+
 def test_subjects(spark):
     r = random.Random(8)
     areas = {"law": "court judge appeal statute verdict bail notary".split(), "food": "dough recipe oven stew pastry menu onion".split(), "sport": "goal referee medal stadium coach sprint league".split()}
