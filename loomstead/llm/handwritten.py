@@ -1,13 +1,14 @@
-"""Files that nobody wrote by hand as they stand: generated, bundled, minified, third-party, or data saved as code.
+"""Files that nobody wrote by hand as they stand: generated, bundled or minified, third-party, or data saved as code.
 
-Method: a linear support-vector classifier on hashed character n-grams, words and path components. Training labels
-come from giveaways (marks in the first comment, telling folders and suffixes, texts of bare literals). Each labelled
-file is learnt twice: as it is, and with its giveaway comment and its path masked, so that the classifier must also know
-such files by their body alone. Validation is split by repository: the threshold is the one that does best on
-repositories that training did not see.
+Method: linear support-vector classifiers, one for each of those four kinds, on hashed character n-grams, words and path
+components. Training labels come from giveaways (marks in the first comment, telling folders and suffixes, texts of bare
+literals). Each labelled file is learnt twice: as it is, and with its giveaway comment and its path masked, so that the
+classifiers must also know such files by their body alone. Validation is split by repository: of the repositories that
+training did not see, half choose the thresholds and half give the figures (``held_out``).
 
-Scale: training rows are a documented sample (``SAMPLE`` of each label, taken by a hash of the file's id); every file is
-classified, in one pass without a shuffle, with broadcast weights of fixed size.
+Scale: training rows are a documented sample (``SAMPLE`` labelled and as many other files, fewer where files are so long that
+their features would pass ``TRAINING_BYTES``, taken by a hash of the file's id); features are made on the executors and
+no text reaches the driver. Every file is classified, in one pass without a shuffle, with broadcast weights of fixed size.
 """
 
 from __future__ import annotations
@@ -24,32 +25,34 @@ from pyspark.sql import functions as F
 
 BITS = 17
 SAMPLE = 8000
+TRAINING_BYTES = 160 << 20
 EPOCHS = 5
 NGRAM = 4
+KINDS = ("generated", "minified", "vendored", "data")
 
 # What gives a file away, and what only looks like it.
 GENERATED_MARKS = (
-    r"code generated by|@generated|auto-?generated|automatically generated|automatisch erzeugt|machine-written|machine generated"
-    r"|generated (?:from|by) \S+|manual edits are overwritten|changes will be lost|do not (?:edit|modify) (?:by hand|this file|manually)|do not edit\.?\s*$"
-    r"|g[ée]n[ée]r[ée] automatiquement|generado autom[áa]ticamente"
+    r"code generated by|@generated|auto-?generated|automatically generated|machine[- ]generated|this file (?:is|was) generated"
+    r"|generated (?:from|by) \S+|changes will be (?:lost|overwritten)|do not (?:edit|modify) (?:by hand|this file|manually)|do not edit\.?\s*$"
+    r"|g[ée]n[ée]r[ée] automatiquement|generado autom[áa]ticamente|automatisch (?:erzeugt|generiert|erstellt)"
 )
-HAND_MARKS = r"hand-?written|by hand since|maintained by hand|edit this file directly|its output|replacement for|speaks? of|without asking"
+HAND_MARKS = r"hand-?(?:written|edited|maintained)|(?:written|edited|maintained|kept) by hand|edit this file directly|safe to edit"
 LICENCE_MARKS = r"@license|^/\*!|^(?:#|//|/\*\*?|\s\*)\s*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\b"
-PATH_MARKS = (
-    r"(?:^|/)(?:__generated__|gen|generated|vendor|_vendor|vendored|third_party|thirdparty|third-party|node_modules|bower_components|deps|external|dist)/"
-    r"|\.generated\.\w+$|[.-]min\.\w+$|\.bundle\.\w+$|_pb2\.py$|\.pb\.go$"
-)
+GENERATED_PATH = r"(?:^|/)(?:__generated__|gen|generated)/|\.generated\.\w+$|_pb2\.py$|\.pb\.go$"
+MINIFIED_PATH = r"(?:^|/)dist/|[.-]min\.\w+$|\.bundle\.\w+$"
+VENDORED_PATH = r"(?:^|/)(?:vendor|_vendor|vendored|third_party|thirdparty|third-party|node_modules|bower_components|deps|external)/"
+# Extensions of files that hold data or prose as they should, for which bare literals and long lines tell nothing.
+PLAIN_FILES = frozenset("json yaml yml toml ini cfg conf env properties csv tsv txt md rst adoc xml html htm svg lock log ipynb tex po".split())
 _MARKS = re.compile(GENERATED_MARKS, re.I | re.M)
 _HAND = re.compile(HAND_MARKS, re.I)
 _LICENCE = re.compile(LICENCE_MARKS, re.M)
-_PATH = re.compile(PATH_MARKS)
+_PATHS = {kind: re.compile(pattern) for kind, pattern in zip(KINDS, (GENERATED_PATH, MINIFIED_PATH, VENDORED_PATH))}
 _HEAD = re.compile(r"(?:\s*(?:#![^\n]*\n|//[^\n]*(?:\n|$)|#[^\n]*(?:\n|$)|--[^\n]*(?:\n|$)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+")
 _WORD = re.compile(r"[A-Za-z_$][\w$]+")
 _LITERAL = re.compile(r"[-+]?\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _BUNDLER = re.compile(r"\b__\w*(?:pack|bundle)\w*_(?:require|modules)__\b|\bwebpackJsonp\b|\bSystem\.register\(\[")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|--)\s")
 _ROW = re.compile(r"^[ \t]*(\S.*?)\s*$", re.M)
-CODE = {"ts", "tsx", "js", "jsx", "mjs", "py", "go", "sql", "css", "java", "rb", "sh"}
 
 
 def _extension(path: str) -> str:
@@ -68,27 +71,32 @@ def literal_share(text: str) -> float:
     return 1 - len(re.sub(r"[\s,;(){}\[\]+:=]", "", sample)) / max(1, len(re.sub(r"\s", "", text)))
 
 
-def giveaway(path: str, text: str) -> bool:
-    """Label for training: whether something outside the body gives the file away, or it is bare literals."""
-    if _extension(path) not in CODE:
-        return False
-    head, body = head_of(text.lstrip("﻿"))
+def giveaway(path: str, text: str) -> str | None:
+    """Label for training: the kind that something outside the body gives away, or ``data`` for bare literals; None for none."""
+    head, body = head_of(text.lstrip("\ufeff"))
     if _HAND.search(head):
-        return False
-    if _MARKS.search(head) or _LICENCE.search(head) or _PATH.search(path):
-        return True
+        return None
+    if _MARKS.search(head):
+        return "generated"
+    for kind, pattern in _PATHS.items():
+        if pattern.search(path):
+            return kind
+    if _extension(path) in PLAIN_FILES:
+        return None
+    if _LICENCE.search(head):
+        return "vendored"
     if _BUNDLER.search(body):
-        return True
+        return "minified"
     if len(body) > 800 and sum(map(body.count, " \n\t")) < 0.06 * len(body):
-        return True
+        return "minified"
     bare = _LITERAL.sub("0", body)
     if max(map(len, bare.split("\n"))) > 400 and len(bare) / (bare.count("\n") + 1) > 150:
-        return True
+        return "minified"
     if len(body) < 1500 or _COMMENT.search(body):
-        return False
+        return None
     rows = Counter(_ROW.findall(bare))
     row, times = rows.most_common(1)[0] if rows else ("", 0)
-    return literal_share(body) > 0.9 or (rows.total() >= 25 and len(row) * times > 0.5 * len(bare))
+    return "data" if literal_share(body) > 0.9 or (rows.total() >= 25 and len(row) * times > 0.5 * len(bare)) else None
 
 
 def _hash(name: str) -> int:
@@ -129,9 +137,10 @@ def parts(path: str, text: str, masked: bool) -> tuple[list[int], list[int], lis
     width = max(map(len, body.split("\n"))) if body else 0
     share = literal_share(body) if size > 400 else 0.0
     dense = 1 - sum(map(body.count, " \n\t")) / size
+    what = extension if extension in PLAIN_FILES else ""  # long lines and literals tell other things of data and prose
     shape = [
-        f"s:{extension}", f"s:{extension}:{min(size // lines // 20, 12)}", f"s:w{min(width // 100, 12)}", f"s:l{int(share * 10)}:{min(size // 1000, 4)}",
-        f"s:d{int(dense * 20)}", f"s:c{min(body.count('#') + body.count('//'), 3)}",
+        f"s:{extension}", f"s:{extension}:{min(size // lines // 20, 12)}", f"s:{what}w{min(width // 100, 12)}", f"s:{what}l{int(share * 10)}:{min(size // 1000, 4)}",
+        f"s:{what}d{int(dense * 20)}", f"s:{what}c{min(body.count('#') + body.count('//'), 3)}",
     ]
     folders, names = [], []
     if not masked:
@@ -146,116 +155,151 @@ def parts(path: str, text: str, masked: bool) -> tuple[list[int], list[int], lis
     return list(map(place, shape)), list(map(place, names)), list(map(place, set(heads))), list(map(place, words)), ngrams(body)
 
 
+WEIGHTS = (0.8, 1.0, 1.5, 1.5)  # of shape, path, first-comment and word features; n-grams have 4 in all
+
+
 def vector(path: str, text: str, masked: bool) -> tuple[np.ndarray, np.ndarray]:
-    shape, names, heads, words, grams = parts(path, text, masked)
-    where, much = [], []
-    for group, weight in ((shape, 0.8), (names, 1.0), (heads, 1.5), (words, 1.5)):
+    """Distinct places of all features and their values."""
+    *groups, grams = parts(path, text, masked)
+    value = np.zeros(2 << BITS, np.float32)
+    for group, weight in zip(groups, WEIGHTS):
         if group:
-            where.append(np.array(group, np.int64))
-            much.append(np.full(len(group), weight / np.sqrt(len(group))))
+            np.add.at(value, np.array(group, np.int64), weight / np.sqrt(len(group)))
     if len(grams):
         at, count = np.unique(grams, return_counts=True)
-        where.append(at + (1 << BITS))
-        much.append(count * (4.0 / len(grams)))
-    return np.concatenate(where), np.concatenate(much)
+        value[at + (1 << BITS)] = count * (4.0 / len(grams))
+    where = np.flatnonzero(value)
+    return where.astype(np.int32), value[where]
 
 
-def train(rows: list[tuple[str, str, str, bool]], seed: int = 5) -> dict:
-    """Weights and threshold from ``(project, path, text, label)`` rows.
+def _descend(rows: list[tuple], seed: int) -> dict:
+    """Averaged sub-gradient steps on the hinge loss of every kind at once, over each row as it is and masked.
 
-    Rows without a giveaway are unlabelled rather than by hand: those that a first classifier takes for the other
-    kind are left out of the second fit and of the validation.
+    ``rows`` are ``(project, kind or None, (places, values) as it is, (places, values) masked)``. A row of another kind
+    says nothing of a kind.
     """
-    held = {p for p in {r[0] for r in rows} if zlib.crc32((p or "").encode()) % 4 == 0}
-    learn = [r for r in rows if r[0] not in held] or rows
-    model = _descend(learn, seed)
-    doubtful = {id(r) for r, s in zip(rows, score([r[1] for r in rows], [r[2] for r in rows], model)) if s > 0 and not r[3]}
-    model = _descend([r for r in learn if id(r) not in doubtful], seed)
-    check = [r for r in rows if r[0] in held and id(r) not in doubtful]
-    if len(check) >= 50 and any(r[3] for r in check):
-        scores = np.array(score([r[1] for r in check], [r[2] for r in check], model))
-        truth = np.array([r[3] for r in check])
-        best = max(np.linspace(-0.3, 0.3, 13), key=lambda c: (round(2 * (truth & (scores > c)).sum() / max(1, truth.sum() + (scores > c).sum()), 3), -abs(c)))
-        model |= {"threshold": float(best), "held_out": float(((scores > best) == truth).mean())}
-    return model
-
-
-def _descend(rows: list[tuple[str, str, str, bool]], seed: int) -> dict:
-    """Averaged sub-gradient steps on the hinge loss, over each row as it is and masked."""
     random = np.random.default_rng(seed)
-    examples = [(*vector(path, text, masked), 1.0 if label else -1.0) for _, path, text, label in rows for masked in (False, True)]
-    positive = max(1, sum(y > 0 for *_, y in examples))
-    boost = min(4.0, max(1.0, (len(examples) - positive) / positive))
-    weights, total, bias, bias_total, t = np.zeros(2 << BITS), np.zeros(2 << BITS), 0.0, 0.0, 0
+    examples = [(*v, np.array([1.0 if kind == k else 0.0 if kind else -1.0 for k in KINDS])) for _, kind, *vectors in rows for v in vectors]
+    signs = np.array([y for *_, y in examples]).reshape(-1, len(KINDS))
+    boost = np.clip((signs < 0).sum(0) / np.maximum(1, (signs > 0).sum(0)), 1.0, 4.0)
+    weights, total = np.zeros((2 << BITS, len(KINDS)), np.float32), np.zeros((2 << BITS, len(KINDS)), np.float32)
+    bias, bias_total, t = np.zeros(len(KINDS)), np.zeros(len(KINDS)), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(examples)):
             where, much, y = examples[i]
             t += 1
-            if y * (weights[where] @ much + bias) < 1:
-                step = 0.5 / (1 + t * 1e-4) * y * (boost if y > 0 else 1.0)
-                np.add.at(weights, where, step * much)
+            wrong = (y != 0) & (y * (much @ weights[where] + bias) < 1)
+            if wrong.any():
+                step = np.where(wrong, 0.5 / (1 + t * 1e-4) * y * np.where(y > 0, boost, 1.0), 0.0)
+                change = np.outer(much, step).astype(np.float32)
+                weights[where] += change
                 bias += 0.1 * step
                 # the average of all states, kept by adding each step with the share of time it is in force
-                np.add.at(total, where, -t * step * much)
+                total[where] -= t * change
                 bias_total -= 0.1 * t * step
         weights *= 0.98
         total *= 0.98
-    return {"weights": (weights + total / (t + 1)).astype(np.float32), "bias": float(bias + bias_total / (t + 1)), "threshold": 0.0}
+    return {"weights": weights + total / (t + 1), "bias": bias + bias_total / (t + 1), "threshold": np.zeros(len(KINDS))}
+
+
+def _margins(rows: list[tuple], model: dict) -> np.ndarray:
+    return np.array([much @ model["weights"][where] + model["bias"] for _, _, (where, much), _ in rows]).reshape(-1, len(KINDS))
+
+
+def train(rows: list[tuple], seed: int = 5) -> dict:
+    """Weights and thresholds from ``(project, kind or None, vector, masked vector)`` rows.
+
+    Rows without a giveaway are unlabelled rather than by hand: those that a first fit takes for one of the kinds are left
+    out of the second fit, but not of the validation, where they count as by hand. ``held_out`` is the share of rows right in
+    repositories that neither the weights nor the thresholds have seen.
+    """
+    part = {p: zlib.crc32((p or "").encode()) % 8 for p in {r[0] for r in rows}}
+    learn = [r for r in rows if part[r[0]] > 1] or rows
+    model = _descend(learn, seed)
+    doubtful = (_margins(learn, model) > 0).any(1)
+    model = _descend([r for r, odd in zip(learn, doubtful) if r[1] or not odd], seed)
+    for wanted in (0, 1):
+        check = [r for r in rows if part[r[0]] == wanted]
+        if len(check) < 50 or not any(r[1] for r in check):
+            continue
+        margins, kinds = _margins(check, model), np.array([KINDS.index(r[1]) if r[1] else -1 for r in check])
+        if wanted == 0:
+            for k in range(len(KINDS)):
+                own = (kinds == k) | (kinds < 0)
+                truth, found = kinds[own] == k, margins[own, k]
+                if truth.any():
+                    model["threshold"][k] = max(np.linspace(-0.3, 0.3, 13), key=lambda c: (round(2 * (truth & (found > c)).sum() / max(1, truth.sum() + (found > c).sum()), 3), -abs(c)))
+        else:
+            model["held_out"] = float((((margins > model["threshold"]).any(1)) == (kinds >= 0)).mean())
+    return model
 
 
 def score(paths: list[str], texts: list[str], model: dict) -> list[float]:
-    """Signed distance of each file; files of no code extension get minus one."""
-    weights, bias, found = model["weights"], model["bias"], []
+    """Of each file the greatest signed distance over the thresholds of the kinds."""
+    weights, level, found = model["weights"], model["bias"] - model["threshold"], []
     grams_at = weights[1 << BITS :]
     for path, text in zip(paths, texts):
-        if _extension(path) not in CODE:
-            found.append(-1.0)
-            continue
-        shape, names, heads, words, grams = parts(path, text, False)
-        total = bias
-        for group, weight in ((shape, 0.8), (names, 1.0), (heads, 1.5), (words, 1.5)):
+        *groups, grams = parts(path, text, False)
+        total = level.copy()
+        for group, weight in zip(groups, WEIGHTS):
             if group:
-                total += weight / len(group) ** 0.5 * float(weights[group].sum())
+                total += weight / len(group) ** 0.5 * weights[group].sum(0)
         if len(grams):
-            total += 4.0 * float(grams_at[grams].mean())
-        found.append(total)
+            total += 4.0 * np.take(grams_at, grams, axis=0).mean(0)
+        found.append(float(total.max()))
     return found
 
 
+def _drawn(files: DataFrame, share: float, plain_share: float) -> DataFrame:
+    """Features of files drawn by a hash: all of a kind within ``share`` of all hashes, others within ``plain_share``."""
+    least = -(1 << 63)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for project, path, text, order in zip(batch["project"], batch["path"], batch["text"], batch["o"]):
+                kind = giveaway(path or "", text)
+                if kind is None and order >= least + plain_share * 2.0**64:
+                    continue
+                vectors = [x for masked in (False, True) for x in vector(path or "", text, masked)]
+                rows.append((order, project, kind, *(x.astype(np.int32 if i % 2 == 0 else np.float16).tobytes() for i, x in enumerate(vectors))))
+            yield pd.DataFrame(rows, columns=["o", "project", "kind", "at", "value", "masked_at", "masked_value"])
+
+    chosen = files.where(F.col("o") < F.lit(int(min(least + share * 2.0**64, 2.0**63 - 1024))))
+    return chosen.mapInPandas(run, "o long, project string, kind string, at binary, value binary, masked_at binary, masked_value binary")
+
+
 def fit(files: DataFrame, *, id: str = "file_id", project: str = "project_id", path: str = "path", content: str = "content", sample: int = SAMPLE) -> dict:
-    """The classifier for a table of files; at most ``sample`` rows of each label reach the driver."""
-    label = F.pandas_udf(lambda p, c: pd.Series([giveaway(a or "", b or "") for a, b in zip(p, c)]), "boolean")
-    ordered = F.xxhash64(F.col(id))
-    rows = []
-    base = files.where(F.col(content).isNotNull()).select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(content).alias("text"), ordered.alias("o"))
-    size = base.count()
+    """The classifiers for a table of files; the features of at most ``sample`` labelled and as many other rows reach the driver."""
+    base = files.where(F.col(content).isNotNull()).select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(content).alias("text"), F.xxhash64(F.col(id)).alias("o"))
+    size, length = base.agg(F.count("*"), F.avg(F.length("text"))).first()
     if not size:
-        return {"weights": np.zeros(2 << BITS, np.float32), "bias": -1.0, "threshold": 0.0}
+        return {"weights": np.zeros((2 << BITS, len(KINDS)), np.float32), "bias": -np.ones(len(KINDS)), "threshold": np.zeros(len(KINDS))}
+    # a vector has six bytes for each of its distinct n-grams and words, and each row has two vectors
+    most = max(200, min(sample, int(TRAINING_BYTES / (2 * 12 * min(length + 200, 2 << BITS)))))
     # a quarter of files at most are given away; draw enough rows by hash for both labels
-    share = min(1.0, 6.0 * sample / size)
-    drawn = base.where(F.pmod(F.col("o"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("label", label("path", "text"))
-    for wanted in (True, False):
-        rows += [(r.project, r.path or "", r.text, wanted) for r in drawn.where(F.col("label") == wanted).orderBy("o").limit(sample).collect()]
-    rows.sort(key=lambda r: (zlib.crc32(r[1].encode()), r[1]))
-    return train(rows)
+    drawn = _drawn(base, min(1.0, 6.0 * most / size), min(1.0, 1.3 * most / size))
+    rows = drawn.orderBy("o").collect() if size <= 2 * most else [r for labelled in (True, False) for r in drawn.where(F.col("kind").isNotNull() == labelled).orderBy("o").limit(most).collect()]
+    read = lambda at, value: (np.frombuffer(at, np.int32), np.frombuffer(value, np.float16).astype(np.float32))
+    found = [(r.project, r.kind, read(r["at"], r["value"]), read(r["masked_at"], r["masked_value"])) for r in sorted(rows, key=lambda r: r.o)]
+    return train(found)
 
 
 def classify(files: DataFrame, *, id: str = "file_id", project: str = "project_id", path: str = "path", content: str = "content", sample: int = SAMPLE) -> DataFrame:
-    """``(file_id, score, by_hand)`` of every row.
+    """``(file_id, score, by_hand)`` of every row, whatever its extension.
 
-    Null or empty content and files without a code extension are by hand (there is nothing a program or third party
-    wrote as code); null paths count as empty. Repeated rows are classified each; other columns are not read; whole texts are read.
+    Null or empty content is by hand (there is nothing that a program or third party wrote); null paths count as empty.
+    Repeated rows are classified each; other columns are not read; whole texts are read.
     """
     model = fit(files, id=id, project=project, path=path, content=content, sample=sample)
     shared = files.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
         for batch in batches:
             texts = [t or "" for t in batch["content"]]
-            found = score([p or "" for p in batch["path"]], texts, weights)
+            found = score([p or "" for p in batch["path"]], texts, shared.value)
             batch["score"] = found
-            batch["by_hand"] = [not t or s <= weights["threshold"] for t, s in zip(texts, found)]
+            batch["by_hand"] = [not t or s <= 0 for t, s in zip(texts, found)]
             yield batch[["file_id", "score", "by_hand"]]
 
     return files.select(F.col(id).alias("file_id"), F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(
