@@ -525,10 +525,3 @@ def resolve_imports(imports: DataFrame, files: DataFrame, *, aliases: list[tuple
     return keyed.join(best, "_id", "left").select(
         *imports.columns, outside.alias("is_external"), F.when(outside, package).alias("package_name"), F.col("_best._target").alias("resolved_file_id"), F.col("_best._try").alias("resolved_path")
     )
-
-
-def first_mounts(mounts: DataFrame, imports: DataFrame) -> DataFrame:
-    """``(target_file_id, prefix)``: the first mount that reaches a file through an import of the mounting one."""
-    reached = mounts.join(imports.where("resolved_file_id IS NOT NULL"), "file_id").where("size(names) = 0 OR array_contains(names, mounted_name)")
-    order = Window.partitionBy("resolved_file_id").orderBy("file_id", "line")
-    return reached.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(F.col("resolved_file_id").alias("target_file_id"), F.col("canonical").alias("prefix"))
