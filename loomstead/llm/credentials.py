@@ -4,19 +4,25 @@ Method: a linear-chain conditional random field labels lexical tokens with shape
 O (outside), B (first piece of a credential), I (more of it), G (what stands between two pieces of one credential:
 quotes, plus signs, line ends). Viterbi paths give the spans; exactly the characters of B and I tokens are redacted.
 
-The field is trained here, on lines that :func:`training_lines` writes from a seed (``lines`` and ``seed`` are the
-documented bounds of that sample; nothing of the corpus is sampled). It takes a few seconds on the driver, once a process; the
-weights, of fixed size, are broadcast. Files are labelled in one pass without a shuffle. Tokens far from any keyword
-or long literal cannot leave state O, so only windows of lines around those are decoded.
+Every token of every text is scored. A path can leave O only over a stretch of tokens whose gain, bounded from above by
+the scores and the weights of the moves, is not negative; :func:`open_places` finds those stretches with running sums and
+extremes, and only they go through the recursion. The labels are those of the recursion over the whole text.
+
+The weights lie beside this module in ``credentials.npz``. ``python -m loomstead.llm.credentials FOLDER...`` makes them from
+a seed: lines that :func:`training_lines` writes, set among ordinary lines of Python's own library and of the folders given
+(``lines``, ``chunks`` and ``seed`` are the documented bounds; nothing of a corpus is sampled). They have a fixed size and are
+broadcast. Files are labelled in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import random
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,19 +34,22 @@ HASH = 1 << 15
 BEFORE, AFTER = 9, 7
 OFFSETS = [o for o in range(-BEFORE, AFTER + 1) if o]
 COLUMNS = 1 + len(OFFSETS) + 2
-TRAINING_LINES, TRAINING_SEED, ROUNDS = 4000, 7, 70
-LINES_BEFORE, LINES_AFTER = 2, 4
-
+TRAINING_LINES, TRAINING_CHUNKS, TRAINING_SEED, ROUNDS = 11000, 3000, 7, 80
+WEIGHTS = Path(__file__).with_name("credentials.npz")
+
+# The lines of a key block after its frame: header fields, then lines of at least sixteen key characters and a shorter last one.
+_BETWEEN = r"(?:\s|\\[nr]|[\"'`+,;.])"
+_CUT_BODY = (
+    rf"(?:{_BETWEEN}*(?:[A-Z][A-Za-z]+-[A-Z][A-Za-z]+: [^\n\\]*|[A-Za-z0-9+/]{{16,}}={{0,2}}))+"
+    rf"(?:{_BETWEEN}*(?:\n|\\n){_BETWEEN}*[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:[\"'`]|\\n|\n|\Z)))?"
+)
 LEXER = re.compile(
-    r"-----BEGIN [A-Z0-9 ]+-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z0-9 ]+-----|-----BEGIN [A-Z0-9 ]+-----"
+    r"(?:[A-Za-z0-9_+]|/(?!/\s))(?:[A-Za-z0-9_+/.\-#*!~%^]*[A-Za-z0-9_+/*!])?(?:(?<=[A-Za-z0-9+/]{16})={1,2}(?![\w=]))?"
     r"|\n[ \t]*|://|//(?=\s)"
-    r"|[A-Za-z0-9_+/](?:[A-Za-z0-9_+/.\-#*!~%^]*[A-Za-z0-9_+/*!])?(?:(?<=[A-Za-z0-9+/]{16})={1,2}(?![\w=]))?"
+    r"|-----BEGIN [A-Z0-9 ]+-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z0-9 ]+-----"
+    rf"|-----BEGIN [A-Z0-9 ]+-----(?:{_CUT_BODY})?"
     r"|\S"
 )
-HINTS = re.compile(
-    r"pass|pwd|pw\b|secret|token|key|auth|bearer|basic |credential|dsn|login|connect\(|curl |://[^\s/@\"']*:[^\s/@\"']+@"
-    r"|-----begin|[a-z0-9+/_\-]{20,}|\b(?:akia|asia|gh[a-z]_|xox[a-z]-|sk[-_]|rk_|aiza|eyj)"
-)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
@@ -53,29 +62,20 @@ def _hash(name: str) -> int:
 
 
 def _words(token: str) -> list[str]:
-    return [w.lower() for w in _WORDS.findall(token)[:6]] if len(token) <= 40 else []
+    return [w.lower() for w in _WORDS.findall(token)]
 
 
-def _coarse(token: str) -> str:
-    if token[0] == "\n":
-        return "line"
-    if token.startswith("-----"):
-        return "pem"
-    if not (token[0].isalnum() or token[0] in "_+/"):
-        return token[0]
-    if len(token) >= 20 and any(c.isdigit() for c in token):
-        return "long"
-    return "num" if token.isdigit() else "word" if token.replace("_", "").isalpha() else "mixed"
-
-
-# Stems of names that hold credentials, of names that hold other opaque values, and words of placeholders.
-SENSITIVE = "passw passphrase passwd pwd secret token apikey accesskey privatekey signingkey sharedkey masterkey key auth bearer basic credential pass pw dsn login".split()
+# Stems of names that hold credentials (in English, German, Spanish, French, Portuguese), of names that hold other opaque values, and words of placeholders.
+SENSITIVE = (
+    "passw passphrase passwd pwd secret token apikey accesskey privatekey signingkey sharedkey masterkey key auth bearer basic credential pass pw dsn login pin"
+    " kennwort passwort geheim schluessel zugang clave contrasena secreto motdepasse mdp jeton senha"
+).split()
 BENIGN = "hash sha md5 commit digest etag checksum integrity fingerprint thumbprint uuid trace request span label hint ref name public cert fixture revision version build image logo blob count type url primary foreign sort cache".split()
 PLACEHOLDER = "your here change replace insert real example dummy fake sample placeholder todo redacted enter put not my test xxx use own none tbd".split()
+LISTED = frozenset(SENSITIVE + BENIGN + PLACEHOLDER)
 
 
-_SENSITIVE = re.compile("(?=(" + "|".join(SENSITIVE) + "))")
-_BENIGN, _BENIGN_START, _PLACEHOLDER = frozenset(BENIGN), re.compile("|".join(BENIGN)), frozenset(PLACEHOLDER)
+_BENIGN, _PLACEHOLDER = frozenset(BENIGN), frozenset(PLACEHOLDER)
 _SHAPES = str.maketrans({c: "A" if c.isupper() else "a" if c.islower() else "0" for c in map(chr, range(128)) if c.isalnum()})
 _RUNS = re.compile(r"(?<=A)A+|(?<=a)a+|(?<=0)0+")
 _PREFIX = re.compile(r"[A-Za-z]{2,5}[-_](?:[a-z]{3,5}[-_])?")
@@ -85,71 +85,238 @@ _FORMAT = re.compile(
     r"(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})|(?P<hub>gh[pousr]_[A-Za-z0-9]{36,})|(?P<chat>xox[abprs]-[0-9A-Za-z-]{20,})|(?P<cloud>AIza[\w-]{30,})"
     r"|(?P<pay>[sr]k_(?:live|test)_[A-Za-z0-9]{16,})|(?P<model>sk-[A-Za-z0-9-]{20,})|(?P<jwt>eyJ[\w-]{10,}\.[\w-]{10,}\.?[\w.-]*)"
 )
-_DUMMY = re.compile("EXAMPLE|example|XXXX|xxxx|0000000")
+_DUMMIES = ("EXAMPLE", "example", "XXXX", "xxxx", "0000000")
 
 
-def _stems(token: str, words: list[str]) -> list[str]:
-    squashed = "".join(filter(str.isalnum, token)).lower()
-    found = list(dict.fromkeys(_SENSITIVE.findall(squashed)))
-    benign = [w for w in dict.fromkeys(words) if w in _BENIGN]
-    if start := _BENIGN_START.match(squashed):
-        if start[0] not in benign:
-            benign.append(start[0])
-    kinds = ["K:sensitive"] if found and not benign else ["K:both"] if found else ["K:benign"] if benign else []
-    return kinds + ["k:" + stem for stem in found + benign]
+_DIGITS = str.maketrans("123456789", "000000000")
+PLAIN = 16  # tokens shorter than this are told apart but for their digits
 
 
-def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
-    """What a token tells about its own label, about a neighbour at a certain distance, and about its neighbourhood."""
-    coarse = _coarse(token)
-    near = ["c:" + coarse]
-    if coarse == "line":
-        return ["bias", "C:line"], near, near
-    words = _words(token) if len(token) > 1 else []
-    around = near if coarse in ("long", "pem") else []
-    if coarse in ("word", "mixed"):
-        stems = _stems(token, words)
-        near = near + stems
-        around = stems + ["w:" + w for w in words]
-    own = ["bias", "C:" + coarse]
-    size = len(token)
-    if coarse == "pem":
-        own += ["pem:" + token.split("-----")[1].removeprefix("BEGIN "), "private" if "PRIVATE" in token[:60] else "public"]
-    elif size > 1:
-        plain = token.translate(_SHAPES)
-        shape = _RUNS.sub("", plain[:80])
-        digits, upper, lower = plain.count("0"), plain.count("A"), plain.count("a")
-        own += [
-            "n:%d" % min(size // 4, 16), "S:" + (shape if len(shape) <= 10 else "many"),
-            "mix:%d%d%d" % (digits > 0, upper > 0, lower > 0), "turns:%d" % min(len(shape) * 6 // size, 6),
-            "same:%d" % min(len(set(token)) * 8 // size, 8), "h:" + token[:4],
+def plain(token: str) -> str:
+    """What the features of a token are made of: digits of short tokens count alike, and so do letters beyond Latin-1."""
+    return token.translate(_DIGITS) if len(token) < PLAIN and token <= "\xff" * len(token) else "?" if len(token) == 1 else token
+
+
+class _Kept(dict):
+    """Results of a function of one argument; emptied when it holds half a million."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        if len(self) > 500_000:
+            self.clear()
+        self[key] = found = self.of(key)
+        return found
+
+
+def _part(part: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What a part of a name tells: ``(stems, listed words)``; stems may run over the words of the part."""
+    listed = [w for w in dict.fromkeys(_words(part)) if w in LISTED]
+    squashed = part.lower().translate(_MARKS)
+    stems = ["+" + x for x in SENSITIVE if x in squashed] + ["-" + w for w in listed if w in _BENIGN]
+    if squashed.startswith(_BENIGN_STARTS):
+        stems += ["-" + x for x in BENIGN if squashed.startswith(x) and "-" + x not in stems]
+    return tuple(stems), tuple(listed)
+
+
+def _outline(shown: str) -> tuple[str, list[str]]:
+    """What follows from the shape of a token: ``(class, features)``."""
+    size = len(shown)
+    letters = set(shown)
+    coarse = "long" if size >= 20 and "0" in letters else "num" if letters == {"0"} else "word" if letters <= _WORD_SHAPES and letters != {"_"} else "mixed"
+    found = ["bias", "C:" + coarse]
+    if size > 1:
+        shape = _RUNS.sub("", shown)
+        digits, upper, lower = shown.count("0"), shown.count("A"), shown.count("a")
+        found += [
+            "n:%d" % min(size // 4, 16), "S:" + (shape if len(shape) <= 10 else "many"), "mix:%d%d%d" % (digits > 0, upper > 0, lower > 0),
+            "turns:%d" % min(len(shape) * 6 // size, 6), "runs:%d" % min(shape.count("a"), 5),
+            "marks:" + ("" if digits + upper + lower == size else "".join(sorted(letters - _ALNUM_SHAPES))),
         ]
-        own.append("marks:" + ("" if digits + upper + lower == size else "".join(sorted(set(plain) - set("Aa0")))))
-        if digits and size >= 12 and _HEX.fullmatch(token):
-            own.append("hex:%d" % size)
-        if size == 36 and _UUID.fullmatch(token):
-            own.append("uuid")
         if size >= 16 and len(shape) > 10:
-            own.append("random")
-        if m := _PREFIX.match(token):
-            own.append("p:" + m[0])
-        own += ["W:" + w for w in words if len(w) > 2]
-        if held := sum(w in _PLACEHOLDER for w in words):
+            found.append("random")
+    return coarse, found
+
+
+_MARKS = {ord(c): None for c in map(chr, range(128)) if not c.isalnum()}
+_BENIGN_STARTS = tuple(BENIGN)
+_WORD_SHAPES, _ALNUM_SHAPES = set("Aa_"), set("Aa0")
+_PARTS, _OUTLINES = _Kept(_part), _Kept(_outline)
+
+
+def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
+    """What a token (made plain) tells about its own label, about a neighbour at a certain distance, and about its neighbourhood."""
+    first, size = token[0], len(token)
+    if first == "\n":
+        return ["bias", "C:line"], ["c:line"], ["c:line"]
+    if size > 9 and token.startswith("-----"):
+        kind = token.split("-----")[1].removeprefix("BEGIN ")
+        return ["bias", "C:pem", "pem:" + kind, "private" if "PRIVATE" in kind else "public"], ["c:pem"], ["c:pem"]
+    if not (first.isalnum() or first in "_+/"):
+        return ["bias", "C:" + first], ["c:" + first], []
+    shown = token.translate(_SHAPES)
+    coarse, outline = _OUTLINES[shown]
+    near, around = ["c:" + coarse], ["c:long"] if coarse == "long" else []
+    if size < 2:
+        return outline, near, around
+    own = [*outline, "same:%d" % min(len(set(token)) * 8 // size, 8)]
+    listed: tuple[str, ...] = ()
+    if coarse == "long":
+        listed = tuple(dict.fromkeys(w for w in _words(token) if w in LISTED))
+    elif coarse != "num":
+        stems: tuple[str, ...] = ()
+        if "." in token or "/" in token:
+            for part in token.replace("/", ".").split("."):
+                more, words = _PARTS[part]
+                stems, listed = stems + more, listed + words
+            if stems or listed:
+                stems, listed = tuple(dict.fromkeys(stems)), tuple(dict.fromkeys(listed))
+        else:
+            stems, listed = _PARTS[token]
+        if stems:
+            sensitive, benign = any(x[0] == "+" for x in stems), any(x[0] == "-" for x in stems)
+            told = ["K:both" if sensitive and benign else "K:sensitive" if sensitive else "K:benign"] + ["k:" + x[1:] for x in stems]
+            near += told
+            around += told
+        if listed:
+            around += ["w:" + w for w in listed]
+    if listed:
+        own += ["W:" + w for w in sorted(listed)]
+        if held := sum(w in _PLACEHOLDER for w in listed):
             own.append("placeholder:%d" % min(held, 2))
-        if _DUMMY.search(token):
-            own.append("dummy")
-        elif (m := _FORMAT.fullmatch(token)) and len(set(token)) > 8:
+    if m := _PREFIX.match(token):
+        own.append("p:" + m[0])
+    if size >= 7 and any(x in token for x in _DUMMIES):
+        own.append("dummy")
+    elif size >= PLAIN:
+        if (m := _FORMAT.fullmatch(token)) and len(set(token)) > 8:
             own += ["format", "format:" + m.lastgroup]
-        if 8 <= size <= 200 and size % 4 == 0 and _BASE64.fullmatch(token):
+        if size <= 200 and size % 4 == 0 and _BASE64.fullmatch(token):
             try:
                 text = base64.b64decode(token, validate=True)
                 if b":" in text and all(32 <= c < 127 for c in text):
                     own.append("pair")
             except ValueError:
                 pass
+    if size >= 12 and "0" in shown and _HEX.fullmatch(token):
+        own.append("hex:%d" % min(size, 130))
+    if size == 36 and _UUID.fullmatch(token):
+        own.append("uuid")
     return own, near, around
 
 
+# ---------------------------------------------------------------- tokens of many texts at once
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_START, _BODY, _END, _KEY, _SPACE = 1, 2, 4, 8, 16
+_CLASSES = bytes(
+    _START * (c in _LETTERS + "_+/") | _BODY * (c in _LETTERS + "_+/.-#*!~%^") | _END * (c in _LETTERS + "_+/*!") | _KEY * (c in _LETTERS + "+/") | _SPACE * c.isspace()
+    for c in map(chr, range(256))
+)
+_ZEROS = bytes(48 if 48 <= c < 58 else c for c in range(256))
+_WIDE_SPACE = re.compile(r"[\u0100-\uffff]")  # a space beyond Latin-1 becomes one that is no blank
+_PEM = re.compile(LEXER.pattern[LEXER.pattern.index("-----BEGIN") : LEXER.pattern.rindex(r"|\S")])
+_PRIME = 0x9E3779B97F4A7C15  # odd, so that it has an inverse for tokens at any place
+_INVERSE = pow(_PRIME, -1, 1 << 64)
+_LINE = np.uint64(1)  # all line ends are one token
+
+
+class _Powers:
+    """Powers of the prime and of its inverse, as many as were needed so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64)))) for base in (_PRIME, _INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(begin, end, hash)`` of the tokens that ``LEXER`` finds, by operations over all characters.
+
+    A word goes from the first character it may begin with to the last it may end with, in each run of word characters;
+    padding follows a word, the rest are single characters. The hash is that of the plain token, from running sums.
+    """
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = _WIDE_SPACE.sub(lambda m: "\v" if m[0].isspace() else m[0], text).encode("latin-1", "replace")
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    points, classes = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_CLASSES), np.uint8)
+    body = (classes & _BODY) != 0
+    change = np.zeros(n + 1, np.int8)  # +1 where a token of several characters begins, -1 after it
+    ends = np.zeros(n, np.int32)  # where the token that begins here ends; 0 for none
+    blocks: list[tuple[int, int]] = []
+    if b"-----BEGIN" in raw:
+        at = 0
+        while m := _PEM.search(text, at):
+            line = max(text.rfind("\n", 0, m.start()) + 1, blocks[-1][1] if blocks else 0)
+            inside = [w.start() for w in LEXER.finditer(text, line, m.end()) if w.start() <= m.start()]
+            at = m.start() + 1
+            if inside and inside[-1] == m.start():  # else a word has swallowed the frame
+                blocks.append(m.span())
+                at = m.end()
+    slash = points == 47
+    colons = np.flatnonzero((points[:-2] == 58) & slash[1:-1] & slash[2:]) if n > 2 else np.zeros(0, np.int64)
+    lines = np.flatnonzero(points == 10)
+    for begin, end in blocks:
+        body[begin:end] = False
+        ends[begin] = end
+        change[begin] += 1
+        change[end] -= 1
+    if blocks:
+        within = np.cumsum(change, dtype=np.int8) > 0
+        colons, lines = colons[~within[colons]], lines[~within[lines]]
+    body[colons + 1] = body[colons + 2] = False
+    blank = (points == 32) | (points == 9)
+    stops = np.append(np.flatnonzero(~blank), n)
+    after = stops[np.cumsum(~blank, dtype=np.int32)[lines]]
+    edges = np.flatnonzero(np.concatenate((body[:1], body[1:] != body[:-1], body[-1:])))
+    low, high = edges[::2], edges[1::2]
+    opens = body & ((classes & _START) != 0)
+    starts = np.append(np.flatnonzero(opens), n)
+    first = starts[np.cumsum(opens, dtype=np.int32)[low] - opens[low]]
+    words = first < high
+    first, high = first[words], high[words]
+    closes = body & ((classes & _END) != 0)
+    last = np.flatnonzero(closes)[np.cumsum(closes, dtype=np.int32)[high - 1] - 1] + 1 if len(first) else first
+    follows = np.flatnonzero((points[np.minimum(last, n - 1)] == 61) & (last < n))
+    for k in follows[high[follows] == last[follows]]:
+        at = stop = int(last[k])
+        since = at
+        while since and at - since < 16 and classes[since - 1] & _KEY:
+            since -= 1
+        while stop < n and points[stop] == 61:
+            stop += 1
+        if at - since == 16 and stop - at <= 2 and not (stop < n and (text[stop].isalnum() or text[stop] == "_")):
+            last[k] = stop
+    for begin, end in ((colons, colons + 3), (lines, after), (first, last)):
+        ends[begin] = end
+        change[begin] += 1
+        change[end] -= 1
+    alone = np.flatnonzero((np.cumsum(change[:-1], dtype=np.int8) == 0) & ((classes & _SPACE) == 0))
+    ends[alone] = alone + 1
+    begin = np.flatnonzero(ends)
+    end = ends[begin].astype(np.int64)
+    up, down = _POWERS(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.frombuffer(raw.translate(_ZEROS), np.uint8) * up, out=sums[1:])
+    hashes = (sums[end] - sums[begin]) * down[begin]
+    for k in np.flatnonzero(end - begin >= PLAIN):  # few, and told apart to the digit
+        hashes[k] = hash(raw[begin[k] : end[k]]) & 0xFFFFFFFFFFFFFFFF
+    hashes[points[begin] == 10] = _LINE
+    return begin, end, hashes
+
+
 class Places(dict):
     """Hashed places of feature names."""
 
@@ -158,38 +325,103 @@ class Places(dict):
         return found
 
 
-class Emissions(dict):
-    """Rows of scores of every token seen so far, as places in one growing matrix."""
+class Scores:
+    """Number of each token seen so far, and what each number adds to the scores: ``B``, ``I`` and ``G`` less ``O``.
+
+    A token has scores of its own, a kind of neighbour (what it adds to tokens at each distance) and a kind of
+    surroundings (what it adds to all tokens near it). The kinds are few, so that their tables stay small. Tokens are looked up by
+    their hashes, in an open table and, where two fall on one place of it, in a dictionary.
+    """
 
-    LIMIT = 1 << 17
+    LIMIT, BITS = 400_000, 21
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
-        super().__init__()
-        self.own, self.context, self.pooled = weights["own"], weights["context"], weights["pooled"]
+        less = lambda table: np.ascontiguousarray(table[..., 1:] - table[..., :1])
+        self.weights = less(weights["own"]), less(weights["context"]), less(weights["pooled"])
+        self.moves = weights["moves"]
+        self.places = Places()
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.places, self.near = Places(), {}
-        self.rows = np.zeros((1024, COLUMNS, 4), np.float32)
-        self.used = 1  # row 0 stands for places outside the text
-
-    def __missing__(self, token: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        row = self.rows[self.used]
-        own, near, around = token_features(token)
+        self.held, self.number = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
+        self.more: dict[int, int] = {}
+        self.count, self.fresh = 0, []
+        self.kinds: tuple[dict[tuple, int], dict[tuple, int]] = ({(): 0}, {(): 0})
+        self.own = np.zeros((3, 1), np.float32)  # number 0 stands for places outside the text
+        self.near, self.around = np.zeros((3, len(OFFSETS), 1), np.float32), np.zeros((3, 2, 1), np.float32)
+        self.kind_of = np.zeros((2, 1), np.int32)
+
+    def numbers(self, text: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens of a text."""
+        place = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        found = np.where(self.held[place] == hashes, self.number[place], 0)
+        missing = np.flatnonzero(found == 0)
+        if len(missing):
+            new, at, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            numbers = np.zeros(len(new), np.int32)
+            for k in order:
+                key, i = int(new[k]), missing[at[k]]
+                number = self.more.get(key)
+                if number is None:
+                    self.count += 1
+                    number = self.count
+                    self.fresh.append(plain(text[begin[i] : end[i]]))
+                    if self.number[place[i]]:
+                        self.more[key] = number
+                    else:
+                        self.held[place[i]], self.number[place[i]] = new[k], number
+                numbers[k] = number
+            found[missing] = numbers[back]
+        self.learn()
+        return found
+
+    def learn(self) -> None:
+        """Scores of the tokens that were met since the last call, all at once."""
+        if not self.fresh:
+            return
         place = self.places.__getitem__
-        row[0] = self.own[list(map(place, own))].sum(0)
-        key = tuple(near)
-        if key not in self.near:
-            self.near[key] = self.context[:, list(map(place, near))].sum(1)
-        row[1:-2] = self.near[key]
-        if around:
-            row[-2:] = self.pooled[:, list(map(place, around))].sum(1)
-        self[token] = self.used
-        self.used += 1
-        return self.used - 1
+        each = [token_features(token) for token in self.fresh]
+        self.fresh = []
+        flat = np.array([place(x) for own, _, _ in each for x in own], np.int64)
+        begin = np.cumsum([0, *[len(own) for own, _, _ in each]])[:-1]
+        self.own = np.concatenate((self.own, np.add.reduceat(self.weights[0][flat], begin, axis=0).T), 1)
+        numbers = np.empty((2, len(each)), np.int32)
+        for k, (kinds, weights) in enumerate(zip(self.kinds, self.weights[1:])):
+            new = []
+            for i, features in enumerate(each):
+                key = tuple(features[k + 1])
+                if key not in kinds:
+                    kinds[key] = len(kinds)
+                    new.append(weights[:, list(map(place, key))].sum(1))
+                numbers[k, i] = kinds[key]
+            if new:
+                rows = np.stack(new, -1).transpose(1, 0, 2)  # label, distance, kind
+                if k:
+                    self.around = np.concatenate((self.around, rows), 2)
+                else:
+                    self.near = np.concatenate((self.near, rows), 2)
+        self.kind_of = np.concatenate((self.kind_of, numbers), 1)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """Scores ``[3, n]`` of a sequence of token numbers; texts are parted by ``BEFORE`` zeros or more."""
+        near, around = self.kind_of[0][numbers], self.kind_of[1][numbers]
+        n = len(numbers)
+        at = np.arange(n)
+        first, last, following, end = np.maximum(at - BEFORE, 0), at, np.minimum(at + 1, n), np.minimum(at + AFTER + 1, n)
+        found = np.empty((3, n))
+        for label in range(3):
+            score = self.own[label][numbers]
+            for k, offset in enumerate(OFFSETS):
+                table = self.near[label, k]
+                if offset < 0:
+                    score[-offset:] += table[near[:offset]]
+                else:
+                    score[:-offset] += table[near[offset:]]
+            sums = np.zeros((2, n + 1))
+            np.cumsum(self.around[label][:, around], 1, out=sums[:, 1:])
+            found[label] = score + (sums[0][last] - sums[0][first]) + (sums[1][end] - sums[1][following])
+        return found
 
 
 def _sums(values: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -259,17 +491,17 @@ _SECRET_NAMES = (
     "password passwd pwd pass passphrase secret token api_key apikey auth_token access_token access_key access_key_id secret_key client_secret private_key"
     " signing_key shared_key service_token deploy_token bearer db_password smtp_pass root_pw webhook_secret hmac_key encryption_key refresh_token x_api_key"
     " admin_password app_secret master_key session_secret license_key key_id session_token jwt_secret cookie_secret bot_token"
+    " kennwort passwort db_kennwort geheim_key clave clave_api contrasena senha mot_de_passe mdp jeton secreto pin_code"
 ).split()
 _OTHER_NAMES = (
     "checksum etag commit base_commit last_good_sha digest integrity fixture_hash trace_id request_id build_id revision version label title message name"
     " path url host image logo color region format pattern content_hash blob thumbprint fingerprint sha sha256 md5 uuid span_id correlation_id"
     " primary_key key_name foreign_key sort_key cache_key token_count token_type max_tokens password_label password_hint secret_name secret_ref key_label token_url auth_mode"
 ).split()
-_DUMMIES = (
-    "changeme change-me change_me your-api-key YOUR_TOKEN_HERE your-password-here insert-token-here replace-me-before-deploy not-a-real-secret dummy"
-    " example placeholder redacted REDACTED todo TBD none password test secret put-your-key-here enter-your-password dummy-secret fake-token"
-    " sample-key API_KEY_HERE my-secret-key replace_with_real_key insert-password-here not-a-real-key not-a-real-token use-your-own-token"
-).split()
+# What placeholders are put together from, and the schemes of references to stores.
+_ASKS = "change insert put enter replace add paste use set fill".split()
+_THINGS = "password token secret key api-key apikey credential passphrase value pw".split()
+_STORES = "vault ssm secretsmanager keyring op sops env file gcp-sm azure-kv kms credstash pass config".split()
 
 
 class _Writer:
@@ -314,7 +546,7 @@ class _Writer:
 
     def credential(self) -> str:
         r, a = self.r, self.alnum
-        kind = r.randrange(15)
+        kind = r.randrange(17)
         if kind == 0:
             return self.chars("0123456789abcdef", r.choice([32, 40, 64]))
         if kind == 1:
@@ -337,23 +569,43 @@ class _Writer:
             return f"{self.word().title()}{self.pick('#', '!', '*', '%', '_', '-', '+', '@', '$', '&')}{r.randint(0, 9999):04d}{self.word()}"
         if kind == 13:
             return self.chars(a, r.randint(8, 18))
+        if kind == 14:  # what people choose
+            return self.pick(f"{self.word()}{r.randint(1, 9999)}", f"{self.word()}{self.pick('_', '-', '.', '')}{self.word()}{r.randint(1, 99)}", f"{self.word().title()}{r.randint(1, 999)}{self.pick('!', '#', '$', '')}")
+        if kind == 15:
+            return f"{self.word().title()}{self.pick('_', '#', '-', '.')}{r.randint(1000, 9999)}{self.word()}"
         return self.chars(a, 1) + self.chars(a + "!#%*^~", r.randint(8, 16)) + self.chars(a, 1)
 
+    def dummy(self) -> str:
+        """A placeholder: a request to put something in its place, or a word that says that it is none."""
+        r, thing, gap = self.r, self.r.choice(_THINGS), self.pick("-", "_", "", " ")
+        words = self.pick(
+            ["your", thing], ["your", thing, "here"], [thing, "here"], [r.choice(_ASKS), thing], [r.choice(_ASKS), "your", thing], [r.choice(_ASKS), "with", "your", thing], [r.choice(_ASKS), "me"],
+            [r.choice(_ASKS), "me", self.pick("in", "before", "for"), self.word()], ["not", "a", "real", thing], ["not", "the", thing], ["no", thing], ["my", thing], ["my", self.word(), thing], ["fake", thing], ["dummy", thing],
+            ["example", thing], ["sample", thing], ["test", thing], ["some", thing], ["use", "your", "own", thing], [thing, "goes", "here"], ["replace", "with", self.pick("real", "actual", "your"), thing],
+            [self.pick("changeme", "example", "placeholder", "redacted", "todo", "tbd", "none", "test", "dummy", "secret", "password", "unset", "empty", "null", "hidden", "removed", "fixme")],
+        )
+        return (gap.join(words).upper() if r.random() < 0.3 else gap.join(w.title() for w in words) if r.random() < 0.1 else gap.join(words)) + self.pick("", "", "", "!", "...")
+
+    def reference(self) -> str:
+        """Where a secret is kept."""
+        path = "/".join(self.word() for _ in range(self.r.randint(1, 3)))
+        return self.pick(f"{self.r.choice(_STORES)}:{path}", f"{self.r.choice(_STORES)}://{path}", f"{self.r.choice(_STORES)}:/{path}", f"{self.word()}-store/{path}", f"secrets/{path}", f"arn:aws:{self.r.choice(_STORES)}:{path}", f"/run/secrets/{path}")
+
     def not_credential(self) -> str:
         r, a = self.r, self.alnum
         kind = r.randrange(16)
         if kind < 3:
-            return r.choice(_DUMMIES)
+            return self.dummy()
         if kind == 3:
             return "<" + r.choice(["your-api-key", "password", "token", "secret", "api-key", "your-token"]) + ">"
         if kind == 4:
             return self.pick("x", "X", "*", "0", "-", ".") * r.randint(6, 30)
         if kind == 5:
-            return "${" + self.key_name().upper() + "}"
+            return self.pick("${", "$", "%(", "#{", "{{") + self.key_name().upper() + self.pick("}", "")
         if kind == 6:
             return "{{ " + self.cased(self.word() + "_secret", "upper") + " }}"
         if kind == 7:
-            return self.pick("vault:kv/app/", "ssm:/prod/", "secret-store/", "keyring://main/", "arn:aws:secretsmanager:", "projects/main/secrets/", "op://vault/", "file:/run/secrets/") + self.word()
+            return self.reference()
         if kind == 8:
             return self.pick("gh" + "p_", "gh" + "s_", "sk-", "sk" + "_live_", "xox" + "b-") + self.pick("X", "x", "0") * r.randint(20, 40)
         if kind == 9:
@@ -383,7 +635,10 @@ class _Writer:
         kind = self.pick("RSA PRIVATE KEY", "EC PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY") if private else self.pick("PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY")
         line = self.pick("\n", "\n", "\\n")
         body = line.join(self.chars(self.alnum + "+/", 64) for _ in range(self.r.randint(1, 4)))
-        end = f"{line}-----END {kind}-----" if self.r.random() < 0.8 else line
+        if line == "\n" and self.r.random() < 0.2:  # one literal a line
+            line = '\\n" +\n  "'
+            body = line.join(self.chars(self.alnum + "+/", 64) for _ in range(self.r.randint(1, 4)))
+        end = f"{line}-----END {kind}-----" if self.r.random() < 0.7 else ""
         return f"-----BEGIN {kind}-----{line}{body}{end}"
 
     def ordinary(self) -> str:
@@ -423,18 +678,26 @@ class _Writer:
             lambda: f"const {self.pick('deviceId', 'traceId', 'requestId', 'userId', 'tenantId', 'orderUuid')} = \"{'-'.join(self.chars('0123456789abcdef', n) for n in (8, 4, 4, 4, 12))}\";",
             lambda: (lambda v: f"  {v}.{b} = {v}.{b}.replace(/{self.pick(chr(92) + 's+', '[({]+', '^[^}]*', chr(92) + ')$')}/g, {self.pick(chr(39), chr(34))}{self.pick('', '-', '(', '}')}');")(f"{a}{r.randint(0, 9)}"),
             lambda: f"  for (const {a}Item of {b}{r.randint(0, 9)}.{a}List) {{",
+            lambda: f"{self.pick('', '    ', '        ')}{self.pick('return', 'yield', 'await', 'throw', 'raise', 'del', 'assert', 'print')} {a}{r.randint(0, 99)}{self.pick('', ';')}",
+            lambda: f"    {a} = {self.pick('os.getenv', 'os.environ.get', 'config.get', 'getenv')}(\"{b.upper()}_{self.pick('SECRET', 'TOKEN', 'KEY', 'PASSWORD')}\"{self.pick('', ', ' + chr(34) * 2, ', None')})",
             lambda: f"  {a}{r.randint(0, 9)}.{b} = {{\"{c}\": [{r.randint(0, 9)}, {r.randint(0, 9)}], \"open\": \"(\"}}",
             lambda: f"  extends {a.title()}{b.title()}Builder implements {c.title()}Key",
             lambda: "",
         ])()
 
     def pieces(self, secret: str) -> list:
-        cut = self.r.randint(max(1, len(secret) // 3), max(2, 2 * len(secret) // 3))
-        a, b = secret[:cut], secret[cut:]
-        return self.pick(
-            ['"', (a,), '" + "', (b,), '"'], ["'", (a,), "' + '", (b,), "'"],
-            ['[\n  "', (a,), '",\n  "', (b,), '",\n].join("")'], ['(\n    "', (a,), '"\n    "', (b,), '"\n)'],
+        """A credential spread over literals that are put together again."""
+        count = min(self.r.choice([2, 2, 2, 3, 3, 4, 6, 8, 10]), max(2, len(secret) // 2))
+        cuts = sorted(self.r.sample(range(1, len(secret)), count - 1))
+        parts = [secret[a:b] for a, b in zip([0, *cuts], [*cuts, len(secret)])]
+        q = self.pick('"', "'")
+        start, between, end = self.pick(
+            (q, f"{q} + {q}", q), (q, f"{q} +\n    {q}", q), (f"[\n  {q}", f"{q},\n  {q}", f"{q},\n].join({q}{q})"), (f"[{q}", f"{q}, {q}", f"{q}].join({q}{q})"), (f"(\n    {q}", f"{q}\n    {q}", f"{q}\n)"), (f"{q}{q}.join([{q}", f"{q}, {q}", f"{q}])"),
         )
+        found: list = [start]
+        for part in parts:
+            found += [(part,), between]
+        return [*found[:-1], end]
 
     def assignment(self, name: str, value: list) -> list:
         r = self.r
@@ -451,7 +714,7 @@ class _Writer:
         marked = r.random() < 0.5
         value = self.credential() if marked else self.not_credential()
         m = (lambda s: (s,)) if marked else (lambda s: s)
-        kind = r.randrange(32)
+        kind = r.randrange(36)
         name = self.key_name()
         host = self.pick("db", "cache", "queue", "mail", "api") + self.pick(".example.internal", ".example.test", ".local", "")
         user = self.pick("app", "svc", "admin", "batch", "root", self.word())
@@ -466,7 +729,7 @@ class _Writer:
         if kind == 10:
             return self.assignment(name, [self.pick(f"process.env.{name} || ", f'os.environ.get("{name}", ', f'os.getenv("{name}", ', f"process.env.{name} ?? "), *self.quoted(value, marked)])
         if kind == 11:
-            return self.assignment(name, [self.pick("process.env." + name, f'os.environ["{name}"]', f'read_secret("{self.pick("vault:kv/app/", "ssm:/prod/", "keyring://main/")}{self.word()}")', f"nextToken({r.randint(1, 99)})", f'await_secret("secret-store/{self.word()}")', f"get_token({self.word()})")])
+            return self.assignment(name, [self.pick("process.env." + name, f'os.environ["{name}"]', f'{self.pick("read", "load", "fetch", "get")}_{self.pick("secret", "key")}("{self.reference()}")', f"nextToken({r.randint(1, 99)})", f"get_token({self.word()})", f"{self.word()}.{self.cased(self.word() + '_token')}", f"input(\"{self.word()}: \")")])
         if kind == 12:
             return [self.pick("  ", "") + f'"{name}": "', m(value), '",']
         if kind == 13:
@@ -475,7 +738,7 @@ class _Writer:
                 q = '"'
             return [f"{self.pick('', '  ', '- ')}{name}: {q}", m(value), q]
         if kind == 14:
-            return [f"- name: {name}\n  value: {self.pick(chr(39), chr(34))}", m(value), "'"] if marked or r.random() < 0.5 else [f"- name: {name}\n  valueFrom: {self.pick('secret-store/', 'vault:kv/app/')}{self.word()}"]
+            return [f"- name: {name}\n  value: {self.pick(chr(39), chr(34))}", m(value), "'"] if marked or r.random() < 0.5 else [f"- name: {name}\n  valueFrom: {self.reference()}"]
         if kind == 15:
             return [f"{self.pick('export ', '', '# export ')}{name}=", *(self.quoted(value, marked) if r.random() < 0.6 or not re.fullmatch(r"[\w\-./+=#*!%]+", value) else [m(value)])]
         if kind in (16, 17):
@@ -491,11 +754,11 @@ class _Writer:
             pair = base64.b64encode(f"{user}:{self.chars(self.alnum, r.randint(8, 14))}".encode()).decode()
             return [f"{self.pick('const auth = ', 'AUTH = ', 'Authorization: ')}\"Basic ", m(pair if marked else self.pick("${encoded}", "xxxxxxxx", "<base64>", "{pair}")), '";']
         if kind == 20:
-            return [f"{self.pick('curl -s -H ', 'curl -H ')}\"{self.pick('X-Api-Key: ', 'Authorization: Bearer ', 'X-Auth-Token: ')}", m(value if marked else self.pick("$TOKEN", "<your-api-key>", "xxxxxxxxxxxxxxxx", "replace-me-before-deploy", "$API_KEY")), f'" https://{host}/v1/ping']
+            return [f"{self.pick('curl -s -H ', 'curl -H ')}\"{self.pick('X-Api-Key: ', 'Authorization: Bearer ', 'X-Auth-Token: ')}", m(value if marked else self.pick("$TOKEN", "<your-api-key>", "xxxxxxxxxxxxxxxx", self.dummy().replace(" ", "-"), "$API_KEY")), f'" https://{host}/v1/ping']
         if kind == 21:
             return [f"curl -s -u {user}:", m(self.chars(self.alnum, r.randint(8, 14))) if marked else self.pick('"$PW"', "$PASSWORD", "<password>"), f" https://{host}/health"]
         if kind == 22:
-            return [f"{self.pick('// ', '# ', '-- ')}{self.pick('old key, still works: ', 'password: ', 'token is ', 'legacy key: ', 'temporary secret: ', 'TODO rotate ', 'ops said to use ', 'works with ', 'use ')}", m(value)]
+            return [f"{self.pick('// ', '# ', '-- ')}{self.pick('', self.pick('old ', 'new ', 'prod ', 'staging ', 'legacy ', 'temporary ', 'current ', 'backup '))}{self.pick('key', 'password', 'token', 'secret', 'login', 'pw')}{self.pick(': ', ' is ', ' = ', ', works: ', ', valid until ' + self.word() + ': ')}", m(value)]
         if kind == 23:
             return [f"ALTER {self.pick('ROLE', 'USER')} {user}_{r.randint(1, 99)} WITH PASSWORD '", m(value), "';"]
         if kind == 24:
@@ -511,55 +774,104 @@ class _Writer:
             return [f"{{ user: \"{user}\", {name}: \"", m(value), '" };']
         if kind == 29:
             secret = self.chars(self.alnum, r.randint(16, 32)) if marked else self.pick("${key}", "<key>", "{api_key}", "xxxxxxxx")
-            return [f"const {self.word()}Url = `https://{host}/v1/{self.word()}?format=csv&{self.pick('api_key', 'token', 'access_token', 'key')}=", m(secret), "`;"]
+            return [f"const {self.word()}Url = `https://{host}/v1/{self.word()}{self.pick('?', '?format=csv&', '?id=7&')}{self.pick('api_key', 'token', 'access_token', 'key', 'sig', 'signature', 'apikey', 'auth')}=", m(secret), self.pick("`;", '"', "&page=2`", "'")]
+        if kind in (31, 32):  # a credential in a remark
+            who = self.pick("ops", "the team", "support", "the admin", "we", "they", self.word())
+            before = self.pick("", "", who + " " + self.pick("gave", "sent", "asked for", "want us to", "told me to", "always") + " ", "todo ", "TODO ", "fixme ", "note: ", "hint: ", "temp: ", "ask " + self.word() + " to ")
+            verb = self.pick("rotate", "revoke", "replace", "remove", "use", "try", "expire", "swap", "drop", "keep", "login with", "works with", "valid: ", "was", "still valid:", "told to use", "reset to")
+            return [f"{self.pick('', '    ', chr(9))}{self.pick('// ', '# ', '-- ', '/* ', '* ')}{before}{verb} ", m(value if marked else self.pick(self.word(), self.dummy(), self.reference(), f"{self.word()} {self.word()}", f"{self.word()}.{self.cased(self.word() + '_' + self.word())}"))]
+        if kind == 33:  # data kept in code, a literal a line
+            lines = [self.chars(self.alnum + "+/", 76) for _ in range(r.randint(1, 4))] + [self.chars(self.alnum + "+/", r.randint(4, 76)) + self.pick("", "=", "==")]
+            start, between, end = self.pick(('"', '" +\n  "', '";'), ("'", "' +\n    '", "';"), ('(\n    "', '"\n    "', '"\n)'), ('[\n  "', '",\n  "', '",\n].join("")'))
+            where = self.pick("icon", "logo", "font", "image", "sprite", "wasm", "data", "blob", "payload", "table", "chart", "map", self.word(), self.word())
+            return [self.pick(f"export const {where.upper()} =\n  ", f"const {where}{r.randint(0, 99)} =\n  ", f"{where.upper()}_DATA = ", f"module.exports = ", f"const {where} = decode("), start, between.join(lines), end]
+        if kind == 34:
+            return self.assignment(name, self.pieces(self.credential()))
         if kind == 30:  # opaque values beside harmless names
             return [self.pick(f'{{ id: "{self.word()}", hash: "', f'"{self.cased(r.choice(_OTHER_NAMES))}": "', f"{self.word()}_{r.randint(1, 99)}: \""), self.hash_like(), '",']
         return [self.pick("For staging, set `", "Set `", "Run with `"), f"{name.upper()}=", m(value), self.pick("` first.", "` in your shell.")]
 
 
-def training_lines(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> list[tuple[list[str], np.ndarray]]:
-    """Token sequences with labels, each a statement among ordinary lines."""
+_DOUBTFUL = re.compile(
+    r"(?i)-----BEGIN|(?:passw|secret|token|api_?key|pwd|credential|auth|passphrase|signature)\w*[\"']?\s*(?:[:=]|=>|,|\()\s*[^\s]*[\"'`][^\"'`\s]{5,}[\"'`]|://[^\s/:]+:[^\s/@]+@|\b(?:basic|bearer) [a-z0-9+/=._-]{8,}"
+    r"|\b(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk[-_]|eyJ)[\w-]{12,}"
+)
+_ORDINARY_FILES = re.compile(r"\.(?:py|[cm]?js|ts|tsx|json|ya?ml|sh|md|css|sql|go|toml|cfg|ini)$")
+
+
+def ordinary_texts(folders: list[str], most: int = 6000, seed: int = TRAINING_SEED) -> list[list[str]]:
+    """Lines of up to ``most`` files of the folders, drawn by a seed; tests and key stores are left out."""
+    paths = [
+        os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder) for name in names
+        if _ORDINARY_FILES.search(name) and not re.search(r"(?i)[\\/](?:tests?|__pycache__|testing|fixtures?)[\\/]", at + "/")
+    ]
+    paths.sort()
+    found = []
+    for path in random.Random(seed).sample(paths, min(most, len(paths))):
+        try:
+            text = Path(path).read_text("utf-8")
+        except (OSError, UnicodeDecodeError):
+            continue
+        if 0 < len(text) < 1_000_000:
+            found.append(text.split("\n"))
+    return found
+
+
+def _chunk(writer: _Writer, texts: list[list[str]], least: int, most: int) -> str:
+    """Some neighbouring lines of an ordinary file that hold nothing like a credential."""
+    for _ in range(20):
+        lines = writer.r.choice(texts)
+        at = writer.r.randrange(len(lines))
+        chunk = "\n".join(lines[at : at + writer.r.randint(least, most)])
+        if len(chunk) < 2000 and not _DOUBTFUL.search(chunk):
+            return chunk
+    return ""
+
+
+def labelled(parts: list) -> tuple[list[str], np.ndarray]:
+    """Tokens and labels of a list of plain strings and marked pieces (one-tuples)."""
+    text, spans, first = "", [], True
+    for part in parts:
+        if isinstance(part, tuple):
+            spans.append((len(text), len(text) + len(part[0]), first))
+            text += part[0]
+            first = False
+        else:
+            text += part
+            if "\n" in part and not part.startswith(('"', "'", "[", "(")):
+                first = True
+    tokens, labels = [], []
+    for m in LEXER.finditer(text):
+        # a frame's token may reach beyond the marked piece, never before it
+        inside = [s for s in spans if s[0] <= m.start() < s[1]]
+        tokens.append(m[0])
+        labels.append((B if m.start() == inside[0][0] and inside[0][2] else I) if inside else O)
+    marks = np.array(labels, np.int8)
+    hits = np.flatnonzero(marks)
+    for a, b in zip(hits, hits[1:]):
+        if marks[b] == I:
+            marks[a + 1 : b] = G
+    return tokens, marks
+
+
+def training_lines(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED, texts: list[list[str]] = (), chunks: int = 0) -> list[tuple[list[str], np.ndarray]]:
+    """Token sequences with labels: ``lines`` statements among ordinary lines, and ``chunks`` of ordinary text without any."""
     writer = _Writer(seed)
+
+    def around() -> list:
+        if texts and writer.r.random() < 0.5:
+            chunk = _chunk(writer, texts, 1, 4)
+            return [chunk, "\n"] if chunk else []
+        return [x for _ in range(writer.r.randint(0, 2)) for x in (writer.ordinary() if writer.r.random() < 0.8 else "", "\n")]
+
     found = []
     for _ in range(lines):
-        parts: list = []
-        for _ in range(writer.r.randint(0, 2)):
-            parts += [writer.ordinary(), "\n"]
-        parts += writer.sample()
-        for _ in range(writer.r.randint(0, 2)):
-            parts += ["\n", writer.ordinary() if writer.r.random() < 0.6 else ""]
+        parts = [*around(), *writer.sample(), "\n"]
         if writer.r.random() < 0.4:
-            parts += ["\n", *writer.sample()]
-        text, spans, first = "", [], True
-        for part in parts:
-            if isinstance(part, tuple):
-                spans.append((len(text), len(text) + len(part[0]), first))
-                text += part[0]
-                first = False
-            else:
-                text += part
-                if "\n" in part and not part.startswith(('"', "'", "[", "(")) and not part.startswith('",\n'):
-                    first = True
-        tokens, labels = [], []
-        for m in LEXER.finditer(text):
-            inside = [s for s in spans if s[0] <= m.start() < s[1]]
-            label = O
-            if inside:
-                label = B if m.start() == inside[0][0] and inside[0][2] else I
-            tokens.append(m[0])
-            labels.append(label)
-        labels = np.array(labels, np.int8)
-        if any(t.startswith("-----BEGIN") and "-----END" not in t for t in tokens):
-            # a block cut short: its body is left to the reader, only the frame counts
-            frame = [i for i, t in enumerate(tokens) if t.startswith("-----BEGIN")]
-            labels[[i for i in range(len(tokens)) if labels[i] == I and i > frame[0]]] = O
-        hits = np.flatnonzero(labels)
-        for a, b in zip(hits, hits[1:]):
-            if labels[b] == I:
-                labels[a + 1 : b] = G
-        if tokens:
-            found.append((tokens, labels))
-    return found
+            parts += [*writer.sample(), "\n"]
+        found.append(labelled([*parts, *around()]))
+    found += [labelled([_chunk(writer, texts, 3, 12)]) for _ in range(chunks if texts else 0)]
+    return [pair for pair in found if pair[0]]
 
 
 def _ragged(rows: list[list[int]]) -> np.ndarray:
@@ -607,11 +919,29 @@ class _Bucket:
         return (self.onehot - posterior) * live[..., None], self.moves - joint.sum((0, 1))
 
 
-def train(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights that maximise the penalised likelihood of the training lines (Adam over all of them)."""
+def train(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED, rounds: int = ROUNDS, folders: list[str] = (), chunks: int = TRAINING_CHUNKS) -> dict[str, np.ndarray]:
+    """Weights fitted to the training lines; with ``folders``, once more with the ordinary lines that the first fit took for credentials."""
+    texts = ordinary_texts(folders) if folders else []
+    data = training_lines(lines, seed, texts, chunks)
+    weights = fit(data, rounds)
+    if texts:
+        taken = []
+        for whole, pieces in zip(texts, label_texts(["\n".join(t) for t in texts], Scores(weights))):
+            text = "\n".join(whole)
+            for at in sorted({text.count("\n", 0, start) for start, _, label in pieces if label == B}):
+                chunk = "\n".join(whole[max(0, at - 2) : at + 3])
+                if len(chunk) < 2000 and not _DOUBTFUL.search(chunk):
+                    taken.append(chunk)
+        random.Random(seed).shuffle(taken)
+        weights = fit(data + [labelled([chunk]) for chunk in taken[:chunks]], rounds)
+    return weights
+
+
+def fit(sequences: list[tuple[list[str], np.ndarray]], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights that maximise the penalised likelihood of labelled sequences (Adam over all of them)."""
     names: dict[str, int] = {}
     data = sorted(
-        ((np.array([names.setdefault(t, len(names) + 1) for t in tokens]), labels) for tokens, labels in training_lines(lines, seed)),
+        ((np.array([names.setdefault(plain(t), len(names) + 1) for t in tokens]), labels) for tokens, labels in sequences),
         key=lambda pair: len(pair[0]),
     )
     buckets = [_Bucket(data[i : i + 250]) for i in range(0, len(data), 250)]
@@ -678,87 +1008,151 @@ def train(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED, rounds: int =
 _MODELS: dict[tuple, dict[str, np.ndarray]] = {}
 
 
-def model(lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> dict[str, np.ndarray]:
-    """The trained weights, kept for the process."""
+def save(weights: dict[str, np.ndarray], path: Path = WEIGHTS) -> None:
+    """The rows of features that were learnt, to half precision."""
+    rows = {name: np.flatnonzero(np.abs(weights[name]).reshape(-1, HASH, 4).sum((0, 2)) > 1e-3) for name in ("own", "context", "pooled")}
+    np.savez_compressed(
+        path, moves=weights["moves"], **{f"{name}_rows": r for name, r in rows.items()}, **{name: weights[name][..., r, :].astype(np.float16) for name, r in rows.items()}
+    )
+
+
+def load(path: Path = WEIGHTS) -> dict[str, np.ndarray]:
+    held = np.load(path)
+    found = {"moves": held["moves"]}
+    for name, shape in (("own", (HASH, 4)), ("context", (len(OFFSETS), HASH, 4)), ("pooled", (2, HASH, 4))):
+        found[name] = np.zeros(shape, np.float32)
+        found[name][..., held[f"{name}_rows"], :] = held[name]
+    return found
+
+
+def model(lines: int | None = None, seed: int = TRAINING_SEED) -> dict[str, np.ndarray]:
+    """The weights that are shipped; with ``lines``, weights trained on so many written lines alone. Kept for the process."""
     if (lines, seed) not in _MODELS:
-        _MODELS[lines, seed] = train(lines, seed)
+        _MODELS[lines, seed] = load() if lines is None else train(lines, seed)
     return _MODELS[lines, seed]
 
 
 # ---------------------------------------------------------------- applying
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Character ranges of whole lines around everything that could make a token leave state O."""
-    lowered = text.lower()
-    if len(lowered) != len(text):  # a few letters change their length; ASCII is all that matters here
-        lowered = "".join(c.lower() if c < "\x80" else c for c in text)
-    found: list[tuple[int, int]] = []
-    line_end = -1
-    for m in HINTS.finditer(lowered):
-        block = m[0] == "-----begin"
-        if m.end() <= line_end and not block:
-            continue  # the line has been dealt with
-        start = m.start()
-        for _ in range(LINES_BEFORE + 1):
-            start = text.rfind("\n", 0, start)
-            if start < 0:
-                break
-        line_end = text.find("\n", m.end())
-        line_end = end = len(text) if line_end < 0 else line_end
-        for _ in range(LINES_AFTER):
-            end = text.find("\n", end + 1)
-            if end < 0:
-                end = len(text)
+PADDING = max(BEFORE, AFTER) + 1
+SLICE = 120_000  # characters that are scored at once, but for a longer text
+
+
+def open_places(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Places that a best path may leave O for: those that some stretch covers whose gain is bounded by no less than 0.
+
+    ``scores`` are those of B, I and G less O; texts are parted by places of far lower scores. The bound of a stretch adds
+    the move into B, at each further place the best of the three states with the best move into it, and the best move out.
+    """
+    gain = np.where(ALLOWED, moves, NEVER) - moves[O, O]
+    into, out = gain[1:, 1:].max(0), gain[1:, O].max()
+    further = np.cumsum((scores + into[:, None]).max(0))
+    before = np.maximum.accumulate(scores[0] + gain[O, B] - further)  # the best beginning no later
+    after = np.maximum.accumulate(further[::-1])[::-1]  # the best end no earlier
+    return before + after + out >= -1e-6
+
+
+def _decode(scores: np.ndarray, begin: np.ndarray, end: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Labels of all places, those of ``begin`` to ``end`` (both inside O on either side) by the recursion, the others O."""
+    labels = np.zeros(scores.shape[1], np.int8)
+    order = np.argsort(end - begin, kind="stable")
+    at = 0
+    while at < len(order):
+        last = at
+        while last < len(order) and (last == at or (last - at + 1) * (end[order[last]] - begin[order[last]] + 2) <= 200_000):
+            last += 1
+        chosen = order[at:last]
+        lengths = end[chosen] - begin[chosen] + 2
+        emission = np.zeros((len(chosen), int(lengths.max()), 4))
+        for row, a, b in zip(emission, begin[chosen], end[chosen]):
+            row[1 : b - a + 1, 1:] = scores[:, a:b].T
+            row[0, 1:] = row[b - a + 1, 1:] = NEVER
+        for row, a, b in zip(viterbi(emission, moves, lengths), begin[chosen], end[chosen]):
+            labels[a:b] = row[1 : b - a + 1]
+        at = last
+    return labels
+
+
+def _slices(texts: list[str]) -> Iterator[range]:
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > SLICE:
+            yield range(begin, i)
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield range(begin, len(texts))
+
+
+#: Literals that are put together: parted by plus signs, commas, blanks and line ends only.
+_CHAIN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"(?:\s*[+,.]?\s*\"(?:[^\"\\\n]|\\.)*\")+|'(?:[^'\\\n]|\\.)*'(?:\s*[+,.]?\s*'(?:[^'\\\n]|\\.)*')+")
+_LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'")
+
+
+def whole_chains(text: str, pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``pieces`` with the rest of each chain of literals that holds two pieces of one credential: all of a chain or none."""
+    joined = [k for k in range(1, len(pieces)) if pieces[k][2] == I and pieces[k][0] > pieces[k - 1][1] and re.search("[\"']", text[pieces[k - 1][1] : pieces[k][0]])]
+    if not joined:
+        return pieces
+    found = dict.fromkeys((start, end) for start, end, _ in pieces)
+    kinds = {(start, end): label for start, end, label in pieces}
+    done = -1
+    for k in joined:
+        if pieces[k][0] < done:
+            continue
+        low = pieces[k - 1][0]
+        for m in _CHAIN.finditer(text, max(0, text.rfind("\n\n", 0, low))):
+            if m.start() > low:
                 break
-        if block:
-            close = text.find("-----END", m.end())
-            if 0 <= close:
-                tail = text.find("\n", close)
-                end = max(end, len(text) if tail < 0 else tail)
-        start = max(start + 1, 0)
-        if found and start <= found[-1][1]:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
-        else:
-            found.append((start, end))
-    return found
+            if m.end() <= pieces[k][0]:
+                continue
+            first = True
+            for literal in _LITERAL.finditer(text, m.start(), m.end()):
+                span = literal.span(1 if literal[1] is not None else 2)
+                for old in [x for x in found if span[0] <= x[0] < span[1]]:
+                    del found[old]
+                found[span] = None
+                kinds[span] = B if first else I
+                first = False
+            done = m.end()
+            break
+    return sorted((start, end, kinds[start, end]) for start, end in found)
 
 
-def label_texts(texts: list[str], emissions: Emissions, moves: np.ndarray) -> list[list[tuple[int, int, int]]]:
+def label_texts(texts: list[str], scores: Scores) -> list[list[tuple[int, int, int]]]:
     """Labelled pieces ``(start, end, label)`` of each text, label B or I."""
-    sequences: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
-    if len(emissions) > emissions.LIMIT:
-        emissions.reset()
-    for i, text in enumerate(texts):
-        for start, end in windows(text):
-            spans, places = [], []
-            for m in LEXER.finditer(text, start, end):
-                spans.append(m.span())
-                places.append(emissions[m[0]])
-            if spans:
-                sequences.append((i, spans, np.array(places, np.int64)))
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    sequences.sort(key=lambda s: len(s[1]))
-    begin = 0
-    while begin < len(sequences):
-        end = begin
-        while end < len(sequences) and (end == begin or (end - begin + 1) * len(sequences[end][1]) <= 200_000):
-            end += 1
-        group = sequences[begin:end]
-        lengths = np.array([len(s[1]) for s in group])
-        padded = np.zeros((len(group), lengths.max()), np.int64)
-        for row, (_, _, places) in zip(padded, group):
-            row[: len(places)] = places
-        labels = viterbi(score(padded, emissions.rows), moves, lengths)
-        for k, j in zip(*np.nonzero((labels == B) | (labels == I))):
-            if j < lengths[k]:
-                i, spans, _ = group[k]
-                found[i].append((*spans[j], int(labels[k, j])))
-        begin = end
-    for pieces in found:
-        pieces.sort()
+    for part in _slices(texts):
+        if scores.count > scores.LIMIT:
+            scores.reset()
+        joined = "\0".join([texts[i] for i in part])
+        offsets = np.cumsum([0, *[len(texts[i]) + 1 for i in part]])
+        begin, end, hashes = cut(joined)
+        owner = np.repeat(np.arange(len(part)), np.diff(np.searchsorted(begin, offsets)))
+        inside = begin < offsets[owner + 1] - 1  # not what parts the texts
+        begin, end, owner = begin[inside], end[inside], owner[inside]
+        at = np.arange(len(begin)) + PADDING * (owner + 1)
+        flat = np.zeros(len(begin) + PADDING * (len(part) + 1), np.int64)
+        flat[at] = scores.numbers(joined, begin, end, hashes[inside])
+        each = scores.of(flat)
+        each[:, flat == 0] = -1e4
+        open_at = open_places(each, scores.moves)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], open_at, [0])).astype(np.int8)))
+        if not len(edges):
+            continue
+        labels = _decode(each, edges[::2], edges[1::2], scores.moves)[at]
+        for k in np.flatnonzero((labels == B) | (labels == I)):
+            i = owner[k]
+            found[part[i]].append((int(begin[k] - offsets[i]), int(end[k] - offsets[i]), int(labels[k])))
+        for i in {part[owner[k]] for k in np.flatnonzero(labels == I)}:
+            found[i] = whole_chains(texts[i], found[i])
     return found
 
 
+#: Escapes stay, and so does a plus sign between two literals.
+_KEY_CHARACTERS = re.compile(r"(\\[nrt]|(?<![A-Za-z0-9+/=])\+(?![A-Za-z0-9+/=]))|([A-Za-z0-9+/=]+)")
+
+
 def redact(text: str, pieces: list[tuple[int, int, int]]) -> str:
     """The text with each letter and digit of the pieces read as ``x``; key block frames and line ends stay."""
     out, at = [], 0
@@ -768,7 +1162,7 @@ def redact(text: str, pieces: list[tuple[int, int, int]]) -> str:
             head = piece.index("-----", 10) + 5
             tail = piece.rfind("-----END")
             tail = len(piece) if tail < 0 else tail
-            hidden = piece[:head] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]", "x", piece[head:tail]) + piece[tail:]
+            hidden = piece[:head] + _KEY_CHARACTERS.sub(lambda m: m[1] or "x" * len(m[2]), piece[head:tail]) + piece[tail:]
         else:
             hidden = "x" * len(piece)
         out += [text[at:start], hidden]
@@ -776,18 +1170,18 @@ def redact(text: str, pieces: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-_EMISSIONS: dict[int, Emissions] = {}
+_SCORES: dict[int, Scores] = {}
 
 
-def _worker_emissions(weights: dict[str, np.ndarray]) -> Emissions:
+def _worker_scores(weights: dict[str, np.ndarray]) -> Scores:
     """One cache per worker process and model, shared by its tasks."""
-    if id(weights) not in _EMISSIONS:
-        _EMISSIONS.clear()
-        _EMISSIONS[id(weights)] = Emissions(weights)
-    return _EMISSIONS[id(weights)]
+    if id(weights) not in _SCORES:
+        _SCORES.clear()
+        _SCORES[id(weights)] = Scores(weights)
+    return _SCORES[id(weights)]
 
 
-def scan(files: DataFrame, *, id: str = "file_id", content: str = "content", lines: int = TRAINING_LINES, seed: int = TRAINING_SEED) -> DataFrame:
+def scan(files: DataFrame, *, id: str = "file_id", content: str = "content", lines: int | None = None, seed: int = TRAINING_SEED) -> DataFrame:
     """``(file_id, lines, redacted)`` of every row: the lines on which credentials begin, and the text without them.
 
     Lines are counted from 1 and parted by LF. Null content gives no lines and null, empty content no lines and the
@@ -796,11 +1190,10 @@ def scan(files: DataFrame, *, id: str = "file_id", content: str = "content", lin
     shared = files.sparkSession.sparkContext.broadcast(model(lines, seed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
-        emissions = _worker_emissions(weights)
+        scores = _worker_scores(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch["content"]]
-            labelled = label_texts(texts, emissions, weights["moves"])
+            labelled = label_texts(texts, scores)
             yield pd.DataFrame({
                 "file_id": batch["file_id"],
                 "lines": [sorted({t.count("\n", 0, start) + 1 for start, _, label in pieces if label == B}) for t, pieces in zip(texts, labelled)],
@@ -815,3 +1208,9 @@ def scan(files: DataFrame, *, id: str = "file_id", content: str = "content", lin
 def credential_lines(files: DataFrame, **options) -> DataFrame:
     """``(file_id, line)`` of each line on which a credential begins, once."""
     return scan(files, **options).select("file_id", F.explode("lines").alias("line")).distinct()
+
+
+if __name__ == "__main__":
+    import sys
+
+    save(train(folders=[os.path.dirname(os.__file__), *sys.argv[1:]]))

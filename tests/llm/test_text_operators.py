@@ -150,17 +150,67 @@ def field():
     return credentials.model(1500, 7)
 
 
+def labels_of(scores, text, full=False):
+    """Labels of the tokens of a text, from the open stretches alone or from the recursion over all of it."""
+    begin, end, hashes = credentials.cut(text)
+    flat = np.concatenate((np.zeros(credentials.PADDING, int), scores.numbers(text, begin, end, hashes), np.zeros(credentials.PADDING, int)))
+    each = scores.of(flat)
+    each[:, flat == 0] = -1e4
+    open_at = credentials.open_places(each, scores.moves)
+    edges = np.array([1, len(flat) - 1]) if full else np.flatnonzero(np.diff(np.concatenate(([0], open_at, [0])).astype(np.int8)))
+    return credentials._decode(each, edges[::2], edges[1::2], scores.moves)[credentials.PADDING : -credentials.PADDING], open_at.mean()
+
+
 def test_credentials_held_out(field):
-    emissions = credentials.Emissions(field)
+    scores = credentials.Scores(field)
     hit = wrong = missed = 0
-    for words, gold in credentials.training_lines(400, 99):
-        places = np.array([[emissions[w] for w in words]])
-        found = credentials.viterbi(credentials.score(places, emissions.rows), field["moves"], np.array([len(words)]))[0]
+    writer = credentials._Writer(99)
+    for _ in range(400):
+        parts = [writer.ordinary(), "\n", *writer.sample(), "\n", writer.ordinary()]
+        gold = credentials.labelled(parts)[1]
+        found = labels_of(scores, "".join(p if isinstance(p, str) else p[0] for p in parts))[0]
         a, b = set(np.flatnonzero(gold == 1)), set(np.flatnonzero(found == 1))
         hit, wrong, missed = hit + len(a & b), wrong + len(b - a), missed + len(a - b)
     assert hit / (hit + wrong) > 0.9 and hit / (hit + missed) > 0.85
 
 
+def test_tokens_of_many_texts_are_those_of_the_lexer():
+    r = random.Random(3)
+    pieces = ["a", "B", "7", "/", "//", "://", "+", "=", "==", "-", "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----", "\n", " ", "\t", '"', ".", "#", "*", "é", "ABCDEFGHIJKLMNOPQRST", "\r\n", "_", ":", "\u2003", "\\n", "中"]
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 25)))
+        begin, end, _ = credentials.cut(text)
+        assert list(zip(begin.tolist(), end.tolist())) == [m.span() for m in credentials.LEXER.finditer(text)], repr(text)
+
+
+def test_open_stretches_give_the_labels_of_the_whole(field):
+    scores, writer, shares = credentials.Scores(field), credentials._Writer(5), []
+    for _ in range(60):
+        parts = [x for _ in range(12) for x in (*(writer.sample() if writer.r.random() < 0.2 else [writer.ordinary()]), "\n")]
+        text = "".join(p if isinstance(p, str) else p[0] for p in parts)
+        found, share = labels_of(scores, text)
+        assert np.array_equal(found, labels_of(scores, text, full=True)[0])
+        shares.append(share)
+    assert np.mean(shares) < 0.8
+
+
+def test_shipped_weights_redact_whole_secrets():
+    scores = credentials.Scores(credentials.model())
+    hidden = lambda text: credentials.redact(text, credentials.label_texts([text], scores)[0])
+    body = ["MIIEpAIBAAKCAQEA" + c * 4 + "k3Lm9QzX2vB7nY5tR8wE1uI4oP6aS0dFgHjKlZxC" for c in "aBcDeF"]
+    frame = "-----BEGIN RSA " + "PRIVATE KEY-----"
+    for text in (frame + "\n" + "\n".join(body), "x = 1\npem = '''" + frame + "\n" + "\n".join(body) + "\n'''\ny = 2\n", '"' + frame + "\\n" + '" +\n  "'.join(b + "\\n" for b in body) + '"'):
+        shown = hidden(text)
+        assert frame in shown and not any(b[:16] in shown or b[-16:] in shown for b in body) and shown.count("\n") == text.count("\n")
+    assert "y = 2" in hidden("x = 1\npem = '''" + frame + "\n" + "\n".join(body) + "\n'''\ny = 2\n")
+    key = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0dF3hJ6kL9n"
+    parts = [key[i : i + 5] for i in range(0, 40, 5)]
+    shown = hidden("const apiKey = [\n  " + ",\n  ".join(f'"{p}"' for p in parts) + ',\n].join("");\n')
+    assert not any(p in shown for p in parts) and ".join(" in shown
+    for text, secret in [('const dbPassword = "hunter2";', "hunter2"), ('const clave = "Tulipan#4821rio";', "4821rio"), ('kennwort = "Blume_9921haus"', "Blume_9921haus")]:
+        assert secret not in hidden(text), text
+
+
 def test_gradient_of_the_field_is_right():
     random_state = np.random.default_rng(2)
     bucket = credentials._Bucket([(np.array([1, 2, 3]), np.array([0, 1, 0])), (np.array([2, 1]), np.array([1, 0]))])
