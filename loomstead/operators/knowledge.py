@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions.text import collapse, content_hash, redact
 from loomstead.operators.search import search
+from loomstead.session import normal_path
 
 # Default importance by kind of record, days that a kind lasts, task statuses and what may follow each.
 IMPORTANCE = {"DECISION": 0.9, "CONSTRAINT": 0.85, "BUG": 0.7, "PATTERN": 0.7, "DISCOVERY": 0.6, "FACT": 0.5, "HISTORY": 0.3}
@@ -108,10 +109,10 @@ def handoff(sessions: DataFrame, tasks: DataFrame, requirements: DataFrame) -> D
 def cache_state(cache: DataFrame, current: DataFrame) -> DataFrame:
     """``(id, project_id, stale, missing, state)`` of cache entries against the files as they are.
 
-    ``stale`` and ``missing`` count the entry's files with another hash and without an active file. The state is
+    Paths compare as :func:`loomstead.session.normal_path` reads them. ``stale`` and ``missing`` count the entry's files with another hash and without an active file. The state is
     ``hit`` if none is either, ``incremental`` for up to three stale files and none missing, else ``miss``.
     """
-    wanted = cache.select("id", "project_id", F.explode_outer("files").alias("f")).select("id", "project_id", F.col("f.path").alias("relative_path"), F.col("f.hash").alias("hash"))
+    wanted = cache.select("id", "project_id", F.explode_outer("files").alias("f")).select("id", "project_id", normal_path(F.col("f.path")).alias("relative_path"), F.col("f.hash").alias("hash"))
     now = current.groupBy("project_id", "relative_path").agg(F.max("hash").alias("now_hash"))
     joined = wanted.join(now, ["project_id", "relative_path"], "left")
     stale = F.count_if(F.col("now_hash").isNotNull() & ~F.col("now_hash").eqNullSafe(F.col("hash")))
@@ -123,8 +124,8 @@ def cache_state(cache: DataFrame, current: DataFrame) -> DataFrame:
 
 def invalidate(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """``cache`` without the entries that hold a changed path of their project: ``changed`` has ``(project_id, relative_path)``."""
-    held = cache.select("id", "project_id", F.explode("files").alias("f")).select("id", "project_id", F.col("f.path").alias("relative_path"))
-    touched = held.join(changed.select("project_id", "relative_path").distinct(), ["project_id", "relative_path"], "left_semi")
+    held = cache.select("id", "project_id", F.explode("files").alias("f")).select("id", "project_id", normal_path(F.col("f.path")).alias("relative_path"))
+    touched = held.join(changed.select("project_id", normal_path(F.col("relative_path")).alias("relative_path")).distinct(), ["project_id", "relative_path"], "left_semi")
     return cache.join(touched.select("id").distinct(), "id", "left_anti")
 
 

@@ -28,11 +28,12 @@ def _frequency(tokens: Column, term: str, prefix: bool) -> Column:
     return F.size(F.filter(tokens, match))
 
 
-def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 25, key: str = "id", within: tuple[str, ...] = ()) -> DataFrame:
+def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 25, key: str = "id", within: tuple[str, ...] = (), repeated: bool = False) -> DataFrame:
     """The ``k`` best rows for a query, per combination of the ``within`` columns: ``(key, ..., score, relevance)``.
 
     ``columns`` gives the weight of each searched text column. Relevance is the score stretched to 0..1 among the rows
     returned (1 if all are equal), to 4 digits. Null texts are empty; ties go by key; a query of stop words finds nothing.
+    With ``repeated``, rows that repeat a key count once; only their frequencies are shuffled for that, never the texts.
     """
     terms = clauses(query)
     keep = [*within, key]
@@ -42,6 +43,8 @@ def search(docs: DataFrame, query: str, columns: dict[str, float], *, k: int = 2
     weighted = [reduce(lambda a, b: a + b, [_frequency(F.col(f"_t{i}"), t, p) * float(w) for i, w in enumerate(columns.values())]) for t, p in terms]
     size = reduce(lambda a, b: a + b, [F.size(F.col(f"_t{i}")) for i in range(len(columns))])
     rows = tokens.select(*keep, size.alias("_size"), *[x.alias(f"_f{i}") for i, x in enumerate(weighted)])
+    if repeated:
+        rows = rows.dropDuplicates(keep)
     figures = rows.agg(
         F.count("*").alias("_n"), F.avg("_size").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))]
     ).first()

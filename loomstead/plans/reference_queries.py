@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstead.functions import text as T
 from loomstead.operators import context, contracts, extract, graph, ingest, knowledge, orphans, search
 from loomstead.session import materialise, normal_path, table
+from loomstead.streaming import watch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,7 +100,7 @@ def skip_reasons(spark, root):
 
 @query("SELECT sha256(content) AS hash, count(DISTINCT file_id) AS copies, min(file_id) AS first_file FROM file_search WHERE content IS NOT NULL GROUP BY ALL HAVING count(DISTINCT file_id) > 1")
 def duplicate_content(spark, root):
-    rows = table(spark, root, "file_search").where("content IS NOT NULL").select(F.sha2("content", 256).alias("hash"), "file_id").distinct()
+    rows = table(spark, root, "file_search").where("content IS NOT NULL").select(F.sha2("content", 256).alias("hash"), "file_id").distinct()  # hashes, not texts
     return rows.groupBy("hash").agg(F.count("*").alias("copies"), F.min("file_id").alias("first_file")).where("copies > 1")
 
 
@@ -109,9 +110,9 @@ _DETECTED = ", ".join(f"len(regexp_extract_all(content, '{_quoted(p)}')) AS {n}"
 
 @query(f"SELECT * FROM (UNPIVOT (SELECT file_id, {_DETECTED} FROM (SELECT DISTINCT file_id, content FROM file_search)) ON {', '.join(n for n, _ in T.SECRET_PATTERNS)} INTO NAME detector VALUE occurrences) WHERE occurrences > 0")
 def secret_findings(spark, root):
-    rows = table(spark, root, "file_search").select("file_id", "content").distinct()
+    rows = table(spark, root, "file_search").select("file_id", "content")
     each = F.array(*[F.struct(F.lit(n).alias("detector"), F.size(F.regexp_extract_all("content", F.lit(f"({T.java(p)})"), 1)).cast("long").alias("occurrences")) for n, p in T.SECRET_PATTERNS])
-    return rows.select("file_id", F.explode(each).alias("x")).select("file_id", "x.detector", "x.occurrences").where("occurrences > 0")
+    return rows.select("file_id", F.explode(each).alias("x")).select("file_id", "x.detector", "x.occurrences").where("occurrences > 0").distinct()
 
 
 def _redact_sql(column: str) -> str:
@@ -146,9 +147,9 @@ def identifier_terms(spark, root):
     return rows.groupBy("term").agg(F.count("*").alias("files"))
 
 
-@query("SELECT type, count(*) AS symbols, count_if(exported) AS exported FROM (SELECT DISTINCT * FROM symbols) GROUP BY ALL")
+@query("SELECT type, count(*) AS symbols, count_if(exported) AS exported FROM (SELECT DISTINCT id, type, exported FROM symbols) GROUP BY ALL")
 def symbols_by_type(spark, root):
-    return table(spark, root, "symbols").distinct().groupBy("type").agg(F.count("*").alias("symbols"), F.count_if("exported").alias("exported"))
+    return table(spark, root, "symbols").select("id", "type", "exported").distinct().groupBy("type").agg(F.count("*").alias("symbols"), F.count_if("exported").alias("exported"))
 
 
 @query(f"""WITH {_STATE}, s AS (SELECT DISTINCT s.* FROM symbols s WHERE file_id IN (SELECT id FROM live)), hits AS (
@@ -156,7 +157,7 @@ def symbols_by_type(spark, root):
 SELECT id AS symbol_id, tier FROM hits WHERE tier = (SELECT min(tier) FROM hits) ORDER BY exported DESC, length(name), name, id LIMIT 25""")
 def find_symbol(spark, root):
     own = live(spark, root).select("file_id")
-    rows = table(spark, root, "symbols").distinct().join(own, "file_id", "left_semi")
+    rows = table(spark, root, "symbols").select("id", "file_id", "name", "qualified_name", "exported").distinct().join(own, "file_id", "left_semi")
     exact = (F.lower("name") == "dispatch") | (F.lower("qualified_name") == "dispatch")
     hits = rows.where(F.col("name").ilike("%dispatch%") | F.col("qualified_name").ilike("%dispatch%")).withColumn("tier", F.when(exact, 0).otherwise(1))
     best = hits.agg(F.min("tier")).first()[0]
@@ -169,7 +170,7 @@ def find_symbol(spark, root):
 SELECT project_id, name, arg_max(id, (score, -id)) AS symbol_id, max(score) AS score, count(*) AS candidates FROM scored GROUP BY ALL HAVING count(*) > 1""")
 def definition_pick(spark, root):
     own = live(spark, root).select("file_id")
-    rows = table(spark, root, "symbols").distinct().join(own, "file_id", "left_semi")
+    rows = table(spark, root, "symbols").select("id", "project_id", "file_id", "name", "type", "exported").distinct().join(own, "file_id", "left_semi")
     score = F.col("exported").cast("int") * 3 + F.when(F.col("type").isin("class", "interface", "function", "type", "component", "hook"), 2).when(F.col("type").isin("variable", "property"), -2).otherwise(0)
     return rows.withColumn("score", score).groupBy("project_id", F.lower("name").alias("name")).agg(
         F.max_by("id", F.struct("score", -F.col("id"))).alias("symbol_id"), F.max("score").alias("score"), F.count("*").alias("candidates")
@@ -179,7 +180,7 @@ def definition_pick(spark, root):
 @query("""SELECT project_id, count(*) AS total, count_if(NOT is_external) AS internal, count_if(NOT is_external AND resolved_file_id IS NULL) AS unresolved, count(DISTINCT CASE WHEN is_external THEN package_name END) AS packages
 FROM (SELECT DISTINCT * FROM imports) GROUP BY ALL""")
 def import_stats(spark, root):
-    return table(spark, root, "imports").distinct().groupBy("project_id").agg(
+    return table(spark, root, "imports").select("id", "project_id", "is_external", "resolved_file_id", "package_name").distinct().groupBy("project_id").agg(
         F.count("*").alias("total"), F.count_if(~F.col("is_external")).alias("internal"), F.count_if(~F.col("is_external") & F.col("resolved_file_id").isNull()).alias("unresolved"),
         F.countDistinct(F.when(F.col("is_external"), F.col("package_name"))).alias("packages"),
     )
@@ -232,21 +233,22 @@ def impact_depth3(spark, root):
     return _impact(spark, root)
 
 
-@query(_reach_sql(f" AND regexp_matches(lower(l.relative_path), '{T.TEST_PATH}')"))
+@query(_reach_sql(f" AND regexp_matches(lower(l.relative_path), '{T.TEST_PATH}')") + f" UNION ALL SELECT id, relative_path, 0, true FROM live WHERE id % 100 = 0 AND regexp_matches(lower(relative_path), '{T.TEST_PATH}')")
 def affected_tests(spark, root):
-    return _impact(spark, root).where("is_test")
+    own = live(spark, root).where("file_id % 100 = 0").where(T.looks_like_test(F.col("relative_path"))).select(F.col("file_id").alias("origin"), "relative_path", F.lit(0).alias("depth"), F.lit(True).alias("is_test"))
+    return _impact(spark, root).where("is_test").unionByName(own)
 
 
 @query(f"""WITH {_STATE}, r AS (SELECT DISTINCT * FROM symbol_references WHERE file_id IN (SELECT id FROM live))
 SELECT project_id, name, kind, count(*) AS refs, count(DISTINCT file_id) AS files, min(line) AS first_line FROM r GROUP BY ALL""")
 def references_grouped(spark, root):
-    rows = table(spark, root, "symbol_references").distinct().join(live(spark, root).select("file_id"), "file_id", "left_semi")
+    rows = table(spark, root, "symbol_references").select("id", "project_id", "file_id", "name", "kind", "line").distinct().join(live(spark, root).select("file_id"), "file_id", "left_semi")
     return rows.groupBy("project_id", "name", "kind").agg(F.count("*").alias("refs"), F.countDistinct("file_id").alias("files"), F.min("line").alias("first_line"))
 
 
 @query(f"""WITH {_STATE}, c AS (SELECT DISTINCT ON (id) * FROM context_cache), f AS (SELECT id, project_id, unnest(files) AS f FROM c),
 now AS (SELECT project_id, relative_path, max(hash) AS h FROM live GROUP BY ALL),
-j AS (SELECT c.id, c.project_id, f.f.path AS path, f.f.hash AS hash, now.h FROM c LEFT JOIN f ON f.id = c.id LEFT JOIN now ON now.project_id = c.project_id AND now.relative_path = f.f.path),
+j AS (SELECT c.id, c.project_id, f.f.path AS path, f.f.hash AS hash, now.h FROM c LEFT JOIN f ON f.id = c.id LEFT JOIN now ON now.project_id = c.project_id AND now.relative_path = regexp_replace(replace(f.f.path, '\\', '/'), '^\\./', '')),
 n AS (SELECT id, project_id, count_if(h IS NOT NULL AND h IS DISTINCT FROM hash) AS stale, count_if(path IS NOT NULL AND h IS NULL) AS missing FROM j GROUP BY ALL)
 SELECT *, CASE WHEN stale = 0 AND missing = 0 THEN 'hit' WHEN stale <= 3 AND missing = 0 THEN 'incremental' ELSE 'miss' END AS state FROM n""")
 def cache_validation(spark, root):
@@ -280,7 +282,12 @@ def intent_of_tasks(spark, root):
     return rows.groupBy(T.detect_intent(F.col("task")).alias("intent")).agg(F.count("*").alias("tasks"))
 
 
-@query("SELECT id, project_id, source, tool, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS summary, trim(regexp_replace(detail, '\\s+', ' ', 'g')) AS detail, outcome FROM (SELECT DISTINCT id, project_id, source, tool, summary, detail, outcome FROM activity WHERE id > 500 ORDER BY id DESC LIMIT 100)")
+def _short_sql(column: str, limit: int) -> str:
+    flat = f"trim(regexp_replace({_redact_sql(column)}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) > {limit} THEN substr({flat}, 1, {limit - 1}) || '…' ELSE {flat} END AS {column}"
+
+
+@query(f"SELECT id, project_id, source, tool, {_short_sql('summary', 200)}, {_short_sql('detail', 400)}, outcome FROM (SELECT DISTINCT id, project_id, source, tool, summary, detail, outcome FROM activity WHERE id > 500 ORDER BY id DESC LIMIT 100)")
 def activity_page(spark, root):
     return knowledge.feed(table(spark, root, "activity"), 500)
 
@@ -296,15 +303,14 @@ def activity_by_agent(spark, root):
     return table(spark, root, "activity").where("agent IS NOT NULL").groupBy(F.lower(F.trim("agent")).alias("agent")).agg(F.countDistinct("id").alias("events"), F.countDistinct("project_id").alias("projects"))
 
 
-@query("""WITH e AS (SELECT DISTINCT id, project_id, "at" AS moment FROM activity WHERE source = 'file' AND "at" IS NOT NULL AND project_id IS NOT NULL),
-f AS (SELECT *, CASE WHEN moment - lag(moment) OVER w <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY project_id ORDER BY moment, id)),
-n AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY moment, id) AS batch FROM f)
-SELECT project_id, CAST(batch AS BIGINT) AS batch, count(*) AS events, epoch_us(min(moment)) AS start_us FROM n GROUP BY ALL""")
+@query(f"""WITH e AS (SELECT DISTINCT project_id, coalesce(summary, '') AS p, "at" AS moment FROM activity WHERE source = 'file' AND "at" IS NOT NULL AND project_id IS NOT NULL),
+f AS (SELECT *, CASE WHEN moment - lag(moment) OVER w <= INTERVAL 300 MILLISECOND THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY project_id ORDER BY moment, p)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY project_id ORDER BY moment, p) AS batch FROM f)
+SELECT project_id, epoch_us(min(moment)) AS start_us, epoch_us(max(moment)) + 300000 AS end_us, CAST(count(DISTINCT p) AS BIGINT) AS paths FROM n GROUP BY project_id, batch""")
 def debounce_batches(spark, root):
-    rows = table(spark, root, "activity").where("source = 'file' AND at IS NOT NULL AND project_id IS NOT NULL").select("id", "project_id", orphans.utc_micros(F.col("at")).alias("us")).distinct()
-    w = Window.partitionBy("project_id").orderBy("us", "id")
-    fresh = F.coalesce(F.col("us") - F.lag("us").over(w) > 60_000_000, F.lit(True)).cast("long")
-    return rows.withColumn("fresh", fresh).withColumn("batch", F.sum("fresh").over(w)).groupBy("project_id", "batch").agg(F.count("*").alias("events"), F.min("us").alias("start_us"))
+    rows = table(spark, root, "activity").where("source = 'file' AND at IS NOT NULL AND project_id IS NOT NULL")
+    events = rows.select("project_id", F.coalesce("summary", F.lit("")).alias("relative_path"), F.timestamp_micros(orphans.utc_micros(F.col("at"))).alias("at"))
+    return watch.debounce(events, ignore=False).select("project_id", F.unix_micros("started").alias("start_us"), F.unix_micros("ended").alias("end_us"), F.size("paths").cast("long").alias("paths"))
 
 
 @query("""WITH cut AS (SELECT quantile_disc(indexed_at, 0.5) AS c FROM files), f AS (SELECT DISTINCT project_id, id, relative_path, hash, status, indexed_at FROM files),
@@ -347,8 +353,8 @@ def search_documents(spark, root):
 
 @query(_bm25_sql("SELECT DISTINCT file_id, path, content, identifiers FROM file_search", "file_id", {"path": 8, "content": 1, "identifiers": 4}, FILE_QUERY, 25))
 def search_files(spark, root):
-    rows = table(spark, root, "file_search").select("file_id", "path", "content", "identifiers").distinct()
-    return search.search(rows, FILE_QUERY, {"path": 8, "content": 1, "identifiers": 4}, key="file_id").select("file_id", "relevance")
+    rows = table(spark, root, "file_search").select("file_id", "path", "content", "identifiers")
+    return search.search(rows, FILE_QUERY, {"path": 8, "content": 1, "identifiers": 4}, key="file_id", repeated=True).select("file_id", "relevance")
 
 
 @query(_bm25_sql(f"SELECT DISTINCT id AS symbol_id, {_SPLIT.format('name')} AS name, {_SPLIT.format('qualified_name')} AS qualified_name, signature FROM symbols", "symbol_id", {"name": 10, "qualified_name": 6, "signature": 1}, SYMBOL_QUERY, 25))
@@ -359,13 +365,13 @@ def search_symbols(spark, root):
 
 @query()
 def canonical_routes(spark, root):
-    found = contracts.endpoints(table(spark, root, "file_search").select("file_id", "project_id", "content").distinct())
+    found = contracts.endpoints(table(spark, root, "file_search"))
     return found.groupBy("role", "method", "canonical").agg(F.count("*").alias("sites"))
 
 
 @query()
 def contracts_matched(spark, root):
-    found = contracts.endpoints(table(spark, root, "file_search").select("file_id", "project_id", "content").distinct())
+    found = contracts.endpoints(table(spark, root, "file_search"))
     return contracts.match(found.where("role = 'consumes'"), found.where("role = 'provides'"))
 
 
@@ -390,13 +396,13 @@ def overview_totals(spark, root):
     return out
 
 
-_TASKS = "SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'PLANNED' END AS status FROM orders"
+_TASKS = "SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'PLANNING' END AS status FROM orders"
 
 
 @query(f"""WITH t AS ({_TASKS}), r AS (SELECT l_orderkey AS task_id, count_if(l_linestatus = 'F') AS done, count(*) AS total FROM lineitem GROUP BY ALL)
 SELECT t.task_id, t.status, coalesce(done, 0) AS done, coalesce(total, 0) AS total, CAST(CASE WHEN coalesce(total, 0) > 0 THEN round(100.0::DOUBLE * done / total) WHEN t.status = 'COMPLETED' THEN 100 ELSE 0 END AS BIGINT) AS percent FROM t LEFT JOIN r USING (task_id)""")
 def task_board(spark, root):
-    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "IN_PROGRESS").otherwise("PLANNED")
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "IN_PROGRESS").otherwise("PLANNING")
     tasks = table(spark, root, "orders").select(F.col("o_orderkey").alias("task_id"), status.alias("status"))
     needs = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_linestatus") == "F").alias("done"))
     return knowledge.progress(tasks, needs)
@@ -424,22 +430,21 @@ def recall_scored(spark, root):
 @query()
 def extracted_symbols(spark, root):
     """Symbols read from the present text of every file."""
-    rows = table(spark, root, "file_search").select("file_id", "path", "content").distinct()
-    return extract.extract_symbols(rows).select("file_id", "ordinal", "name", "qualified_name", "type", "line_start", "line_end", "exported")
+    rows = table(spark, root, "file_search").select("file_id", "path", "content")
+    return extract.extract_symbols(rows).select("file_id", "ordinal", "name", "qualified_name", "type", "line_start", "line_end", "exported").distinct()
 
 
 @query()
 def extracted_references(spark, root):
     """References read from the present text of every file, with the symbol around each."""
-    rows = table(spark, root, "file_search").select("file_id", "project_id", "path", "content").distinct()
-    return extract.extract_references(rows).select("file_id", "project_id", "ordinal", "name", "kind", "line", "from_ordinal")
+    rows = table(spark, root, "file_search").select("file_id", "project_id", "path", "content")
+    return extract.extract_references(rows).select("file_id", "project_id", "ordinal", "name", "kind", "line", "from_ordinal").distinct()
 
 
 @query()
 def resolved_imports(spark, root):
     """Imports read from the present text, resolved against the files that are active."""
-    rows = table(spark, root, "file_search").select("file_id", "project_id", "path", "content").distinct()
-    found = extract.extract_imports(rows)
+    found = extract.extract_imports(table(spark, root, "file_search")).distinct()
     return extract.resolve_imports(found, live(spark, root).select("project_id", "relative_path", "file_id")).select("file_id", "specifier", "kind", "line", "is_external", "package_name", "resolved_path")
 
 
@@ -535,16 +540,14 @@ def relinked_imports(spark, root):
     return linked.where(~F.col("resolved_file_id").eqNullSafe(F.col("before"))).select(F.col("id").alias("import_id"), F.col("resolved_file_id").alias("linked"), "before")
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract(text, '^(?:# )?([^\n]{3,80})\n', 1) AS title, text FROM documents)
-SELECT doc_id, title, substr(sha256('readme|' || trim(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))), 1, 32) AS content_hash FROM d WHERE title <> '' AND length(text) = octet_length(encode(text))""")
-def record_hashes(spark, root):
-    rows = table(spark, root, "documents").where(F.length("text") == F.octet_length("text")).withColumn("title", F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1)).where("title <> ''")
-    return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))
+_BLANK_SQL = "[\\s\\x{0b}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+_clean_sql = lambda column: f"trim(regexp_replace(lower(coalesce({column}, '')), '{_BLANK_SQL}', ' ', 'g'))"
 
 
-@query()
-def document_hashes(spark, root):
-    """Record hash of every document, whatever its letters; one without a title line has a null title, which counts as empty."""
+@query(f"""WITH d AS (SELECT doc_id, nullif(regexp_extract(text, '^(?:# )?([^\n]{{3,80}})\n', 1), '') AS title, text FROM documents)
+SELECT doc_id, title, substr(sha256('readme|' || {_clean_sql('title')} || '|' || {_clean_sql('text')}), 1, 32) AS content_hash FROM d""")
+def record_hashes(spark, root):
+    """Record hash of every document; one without a title line has a null title, which counts as empty."""
     title = F.nullif(F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1), F.lit(""))
     rows = table(spark, root, "documents").withColumn("title", title)
     return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))

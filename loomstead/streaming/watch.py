@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from loomstead.functions.text import skip_reason
 
 
-def debounce(events: DataFrame, *, quiet: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+def debounce(events: DataFrame, *, quiet: str = "300 milliseconds", late: str = "10 seconds", ignore: bool = True) -> DataFrame:
     """Bursts of ``(project_id, relative_path, at)`` events as one batch each: ``(project_id, started, ended, paths)``.
 
-    A burst ends when nothing happens for ``quiet``. Works on a stream (append mode, with a watermark) and on a table.
+    A burst ends when nothing happens for ``quiet``; with ``ignore``, paths that a scan leaves out do not count. Works on a stream (append mode, with a watermark) and on a table.
     """
-    wanted = events.where(skip_reason(F.col("relative_path"), F.lit(0)).isNull())
+    wanted = events.where(skip_reason(F.col("relative_path"), F.lit(0)).isNull()) if ignore else events
     timed = wanted.withWatermark("at", late) if wanted.isStreaming else wanted
     return timed.groupBy("project_id", F.session_window("at", quiet).alias("w")).agg(F.array_sort(F.collect_set("relative_path")).alias("paths")).select(
         "project_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths"
