@@ -121,7 +121,7 @@ def _part(part: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(stems), tuple(listed)
 
 
-def _outline(shown: str) -> tuple[str, list[str]]:
+def _outline(shown: str) -> tuple[str, tuple[str, ...]]:
     """What follows from the shape of a token: ``(class, features)``."""
     size = len(shown)
     letters = set(shown)
@@ -137,76 +137,110 @@ def _outline(shown: str) -> tuple[str, list[str]]:
         ]
         if size >= 16 and len(shape) > 10:
             found.append("random")
-    return coarse, found
+    return _SHARED.setdefault((coarse, *found), (coarse, tuple(found)))
+
+
+def _tellers():
+    """Whether a lower-case text holds a stem, a listed word or a mark of a dummy."""
+    needles = {*SENSITIVE, *LISTED, *(x.lower() for x in _DUMMIES)}
+    try:
+        import ahocorasick
+    except ImportError:
+        pattern = re.compile("|".join(sorted(needles, key=len, reverse=True)))
+        return lambda text: pattern.search(text) is not None
+    automaton = ahocorasick.Automaton()
+    for needle in needles:
+        automaton.add_word(needle, True)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None
 
 
 _MARKS = {ord(c): None for c in map(chr, range(128)) if not c.isalnum()}
 _BENIGN_STARTS = tuple(BENIGN)
 _WORD_SHAPES, _ALNUM_SHAPES = set("Aa_"), set("Aa0")
+_SHARED: dict[tuple, tuple] = {}
 _PARTS, _OUTLINES = _Kept(_part), _Kept(_outline)
+_TELLS = _tellers()
+_EMPTY: tuple[str, ...] = ()
 
 
-def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
-    """What a token (made plain) tells about its own label, about a neighbour at a certain distance, and about its neighbourhood."""
+def signature(token: str) -> tuple:
+    """All that the features of a token (made plain) follow from; far fewer than there are tokens."""
     first, size = token[0], len(token)
     if first == "\n":
-        return ["bias", "C:line"], ["c:line"], ["c:line"]
+        return ("line",)
     if size > 9 and token.startswith("-----"):
-        kind = token.split("-----")[1].removeprefix("BEGIN ")
-        return ["bias", "C:pem", "pem:" + kind, "private" if "PRIVATE" in kind else "public"], ["c:pem"], ["c:pem"]
+        return ("pem", token.split("-----")[1].removeprefix("BEGIN "))
     if not (first.isalnum() or first in "_+/"):
-        return ["bias", "C:" + first], ["c:" + first], []
+        return ("mark", first)
     shown = token.translate(_SHAPES)
-    coarse, outline = _OUTLINES[shown]
-    near, around = ["c:" + coarse], ["c:long"] if coarse == "long" else []
+    outline = _OUTLINES[shown]
     if size < 2:
-        return outline, near, around
-    own = [*outline, "same:%d" % min(len(set(token)) * 8 // size, 8)]
-    listed: tuple[str, ...] = ()
-    if coarse == "long":
-        listed = tuple(dict.fromkeys(w for w in _words(token) if w in LISTED))
-    elif coarse != "num":
-        stems: tuple[str, ...] = ()
-        if "." in token or "/" in token:
+        return (outline, 0, _EMPTY, _EMPTY, _EMPTY)
+    coarse, stems, listed, more = outline[0], _EMPTY, _EMPTY, _EMPTY
+    if coarse != "num" and _TELLS(token.lower()):
+        if coarse == "long":
+            listed = tuple(sorted({w for w in _words(token) if w in LISTED}))
+        elif "." in token or "/" in token:
             for part in token.replace("/", ".").split("."):
-                more, words = _PARTS[part]
-                stems, listed = stems + more, listed + words
-            if stems or listed:
-                stems, listed = tuple(dict.fromkeys(stems)), tuple(dict.fromkeys(listed))
+                if part:
+                    found, words = _PARTS[part]
+                    stems, listed = stems + found, listed + words
+            stems, listed = tuple(sorted(set(stems))), tuple(sorted(set(listed)))
         else:
             stems, listed = _PARTS[token]
-        if stems:
-            sensitive, benign = any(x[0] == "+" for x in stems), any(x[0] == "-" for x in stems)
-            told = ["K:both" if sensitive and benign else "K:sensitive" if sensitive else "K:benign"] + ["k:" + x[1:] for x in stems]
-            near += told
-            around += told
-        if listed:
-            around += ["w:" + w for w in listed]
-    if listed:
-        own += ["W:" + w for w in sorted(listed)]
-        if held := sum(w in _PLACEHOLDER for w in listed):
-            own.append("placeholder:%d" % min(held, 2))
-    if m := _PREFIX.match(token):
-        own.append("p:" + m[0])
-    if size >= 7 and any(x in token for x in _DUMMIES):
-        own.append("dummy")
-    elif size >= PLAIN:
-        if (m := _FORMAT.fullmatch(token)) and len(set(token)) > 8:
-            own += ["format", "format:" + m.lastgroup]
+        if any(x in token for x in _DUMMIES):
+            more += ("dummy",)
+    if "_" in token[2:6] or "-" in token[2:6]:
+        if m := _PREFIX.match(token):
+            more += ("p:" + m[0],)
+    if size >= 12 and "0" in shown and _HEX.fullmatch(token):
+        more += ("hex:%d" % min(size, 130),)
+    if size >= PLAIN:
+        if "dummy" not in more and (m := _FORMAT.fullmatch(token)) and len(set(token)) > 8:
+            more += ("format", "format:" + m.lastgroup)
         if size <= 200 and size % 4 == 0 and _BASE64.fullmatch(token):
             try:
                 text = base64.b64decode(token, validate=True)
                 if b":" in text and all(32 <= c < 127 for c in text):
-                    own.append("pair")
+                    more += ("pair",)
             except ValueError:
                 pass
-    if size >= 12 and "0" in shown and _HEX.fullmatch(token):
-        own.append("hex:%d" % min(size, 130))
-    if size == 36 and _UUID.fullmatch(token):
-        own.append("uuid")
+        if size == 36 and _UUID.fullmatch(token):
+            more += ("uuid",)
+    return (outline, min(len(set(token)) * 8 // size, 8), stems, listed, more)
+
+
+def features_of(sign: tuple) -> tuple[list[str], list[str], list[str]]:
+    """What a token tells about its own label, about a neighbour at a certain distance, and about its neighbourhood."""
+    if sign[0] == "line":
+        return ["bias", "C:line"], ["c:line"], ["c:line"]
+    if sign[0] == "pem":
+        return ["bias", "C:pem", "pem:" + sign[1], "private" if "PRIVATE" in sign[1] else "public"], ["c:pem"], ["c:pem"]
+    if sign[0] == "mark":
+        return ["bias", "C:" + sign[1]], ["c:" + sign[1]], []
+    (coarse, outline), same, stems, listed, more = sign
+    own, near, around = [*outline, *more], ["c:" + coarse], ["c:long"] if coarse == "long" else []
+    if len(outline) > 2:
+        own.append("same:%d" % same)
+    if stems:
+        sensitive, benign = any(x[0] == "+" for x in stems), any(x[0] == "-" for x in stems)
+        told = ["K:both" if sensitive and benign else "K:sensitive" if sensitive else "K:benign"] + ["k:" + x[1:] for x in stems]
+        near += told
+        around += told
+    if listed:
+        own += ["W:" + w for w in listed]
+        if coarse != "long":
+            around += ["w:" + w for w in listed]
+        if held := sum(w in _PLACEHOLDER for w in listed):
+            own.append("placeholder:%d" % min(held, 2))
     return own, near, around
 
 
+def token_features(token: str) -> tuple[list[str], list[str], list[str]]:
+    return features_of(signature(plain(token)))
+
+
 # ---------------------------------------------------------------- tokens of many texts at once
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -326,9 +360,9 @@ class Places(dict):
 
 
 class Scores:
-    """Number of each token seen so far, and what each number adds to the scores: ``B``, ``I`` and ``G`` less ``O``.
+    """Number of the signature of each token seen so far, and what each number adds to the scores: ``B``, ``I`` and ``G`` less ``O``.
 
-    A token has scores of its own, a kind of neighbour (what it adds to tokens at each distance) and a kind of
+    A signature has scores of its own, a kind of neighbour (what it adds to tokens at each distance) and a kind of
     surroundings (what it adds to all tokens near it). The kinds are few, so that their tables stay small. Tokens are looked up by
     their hashes, in an open table and, where two fall on one place of it, in a dictionary.
     """
@@ -345,7 +379,7 @@ class Scores:
     def reset(self) -> None:
         self.held, self.number = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
         self.more: dict[int, int] = {}
-        self.count, self.fresh = 0, []
+        self.count, self.known, self.fresh = 0, {}, []
         self.kinds: tuple[dict[tuple, int], dict[tuple, int]] = ({(): 0}, {(): 0})
         self.own = np.zeros((3, 1), np.float32)  # number 0 stands for places outside the text
         self.near, self.around = np.zeros((3, len(OFFSETS), 1), np.float32), np.zeros((3, 2, 1), np.float32)
@@ -365,8 +399,11 @@ class Scores:
                 number = self.more.get(key)
                 if number is None:
                     self.count += 1
-                    number = self.count
-                    self.fresh.append(plain(text[begin[i] : end[i]]))
+                    sign = signature(plain(text[begin[i] : end[i]]))
+                    number = self.known.get(sign)
+                    if number is None:
+                        number = self.known[sign] = len(self.known) + 1
+                        self.fresh.append(sign)
                     if self.number[place[i]]:
                         self.more[key] = number
                     else:
@@ -381,7 +418,7 @@ class Scores:
         if not self.fresh:
             return
         place = self.places.__getitem__
-        each = [token_features(token) for token in self.fresh]
+        each = [features_of(sign) for sign in self.fresh]
         self.fresh = []
         flat = np.array([place(x) for own, _, _ in each for x in own], np.int64)
         begin = np.cumsum([0, *[len(own) for own, _, _ in each]])[:-1]
@@ -404,23 +441,26 @@ class Scores:
         self.kind_of = np.concatenate((self.kind_of, numbers), 1)
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
-        """Scores ``[3, n]`` of a sequence of token numbers; texts are parted by ``BEFORE`` zeros or more."""
-        near, around = self.kind_of[0][numbers], self.kind_of[1][numbers]
+        """Scores ``[3, n]`` of a sequence of token numbers; texts are parted, begun and ended by ``BEFORE`` zeros or more."""
+        near, around = self.kind_of[0][numbers].astype(np.intp), self.kind_of[1][numbers].astype(np.intp)
         n = len(numbers)
-        at = np.arange(n)
-        first, last, following, end = np.maximum(at - BEFORE, 0), at, np.minimum(at + 1, n), np.minimum(at + AFTER + 1, n)
-        found = np.empty((3, n))
+        found, part, sums = np.empty((3, n)), np.empty(n, np.float32), np.zeros((2, n + 1))
         for label in range(3):
-            score = self.own[label][numbers]
+            score = np.take(self.own[label], numbers)
             for k, offset in enumerate(OFFSETS):
-                table = self.near[label, k]
+                np.take(self.near[label, k], near, out=part, mode="clip")
                 if offset < 0:
-                    score[-offset:] += table[near[:offset]]
+                    score[-offset:] += part[:offset]
                 else:
-                    score[:-offset] += table[near[offset:]]
-            sums = np.zeros((2, n + 1))
-            np.cumsum(self.around[label][:, around], 1, out=sums[:, 1:])
-            found[label] = score + (sums[0][last] - sums[0][first]) + (sums[1][end] - sums[1][following])
+                    score[:-offset] += part[offset:]
+            for side in (0, 1):
+                np.cumsum(np.take(self.around[label, side], around), dtype=np.float64, out=sums[side, 1:])
+            total = found[label]
+            total[:] = score
+            total[BEFORE:] += sums[0, BEFORE:-1] - sums[0, : n - BEFORE]
+            total[:BEFORE] += sums[0, : min(BEFORE, n)]
+            total[: n - AFTER] += sums[1, AFTER + 1 :] - sums[1, 1 : n - AFTER + 1]
+            total[n - AFTER :] += sums[1, n] - sums[1, n - AFTER + 1 : n + 1]
         return found
 
 
