@@ -21,7 +21,7 @@ TRANSITIONS = {
     "COMPLETED": ["IN_PROGRESS", "TESTING"], "ARCHIVED": ["READY", "IDEA"],
 }
 OPEN = ["PLANNING", "READY", "IN_PROGRESS", "BLOCKED", "TESTING"]
-STATUSES = ["IN_PROGRESS", "TESTING", "BLOCKED", "READY", "PLANNING", "IDEA", "COMPLETED", "ARCHIVED"]
+STATUSES = ["IN_PROGRESS", "BLOCKED", "TESTING", "READY", "PLANNING", "IDEA", "COMPLETED", "ARCHIVED"]
 
 
 def rank(column: Column, order: list[str]) -> Column:

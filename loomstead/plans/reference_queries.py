@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
-from loomstead.operators import context, contracts, extract, graph, ingest, knowledge, orphans, search
+from loomstead.operators import context, extract, graph, ingest, knowledge, orphans, search
 from loomstead.session import materialise, normal_path, table
 from loomstead.streaming import watch
 
@@ -363,18 +363,6 @@ def search_symbols(spark, root):
     return search.search(rows, SYMBOL_QUERY, {"name": 10, "qualified_name": 6, "signature": 1}, key="symbol_id").select("symbol_id", "relevance")
 
 
-@query()
-def canonical_routes(spark, root):
-    found = contracts.endpoints(table(spark, root, "file_search"))
-    return found.groupBy("role", "method", "canonical").agg(F.count("*").alias("sites"))
-
-
-@query()
-def contracts_matched(spark, root):
-    found = contracts.endpoints(table(spark, root, "file_search"))
-    return contracts.match(found.where("role = 'consumes'"), found.where("role = 'provides'"))
-
-
 @query("SELECT id AS project_id, lower(trim(remote_url)) AS remote, 'proj_' || substr(sha256(coalesce('remote:' || lower(trim(remote_url)), 'path:' || root_path)), 1, 10) AS identity FROM projects")
 def project_identities(spark, root):
     none = F.lit(None).cast("string")
@@ -417,16 +405,6 @@ def remembered_records(spark, root):
     return knowledge.remember(rows).groupBy("project_id", "type").agg(F.count("*").alias("records"), F.sum("times").alias("times"))
 
 
-@query("""SELECT doc_id, round(0.5 + 0.3 * CASE kind WHEN 'memory' THEN 0.9 WHEN 'task' THEN 0.7 ELSE 0.5 END + 0.1 * pow(0.5, greatest(0, date_diff('day', CAST(created_at AS DATE), DATE '2016-06-01')) / 90.0) + 0.05, 4) AS score
-FROM documents WHERE created_at IS NOT NULL ORDER BY score DESC, doc_id LIMIT 50""")
-def recall_scored(spark, root):
-    weight = F.when(F.col("kind") == "memory", 0.9).when(F.col("kind") == "task", 0.7).otherwise(0.5)
-    age = F.datediff(F.lit("2016-06-01").cast("date"), F.col("created_at").cast("date"))
-    rows = table(spark, root, "documents").where("created_at IS NOT NULL")
-    score = F.round(knowledge.recall_score(F.lit(1.0), weight, age, F.lit(1.0), F.lit(0)), 4)
-    return rows.select("doc_id", score.alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
-
-
 @query()
 def extracted_symbols(spark, root):
     """Symbols read from the present text of every file."""
@@ -513,14 +491,6 @@ def context_budget_fill(spark, root):
     return context.fill_budget(ranked.join(sizes, ["project_id", "path"]).select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
 
 
-@query("""WITH s AS (SELECT project_id, agent, min("at") AS started FROM (SELECT DISTINCT id, project_id, lower(trim(agent)) AS agent, "at" FROM activity WHERE agent IS NOT NULL AND project_id IS NOT NULL AND "at" IS NOT NULL) GROUP BY ALL)
-SELECT project_id, agent, epoch_us(started) AS started_us, epoch_us(lead(started) OVER (PARTITION BY project_id ORDER BY started, agent)) AS ended_us FROM s""")
-def work_sessions(spark, root):
-    rows = table(spark, root, "activity").where("agent IS NOT NULL AND project_id IS NOT NULL AND at IS NOT NULL").select("project_id", F.lower(F.trim("agent")).alias("session_id"), orphans.utc_micros(F.col("at")).alias("us"))
-    starts = rows.groupBy("project_id", "session_id").agg(F.min("us").alias("started_at")).withColumn("ended_at", F.lit(None).cast("long"))
-    return knowledge.close_sessions(starts).select("project_id", F.col("session_id").alias("agent"), F.col("started_at").alias("started_us"), F.col("ended_at").alias("ended_us"))
-
-
 @query("SELECT project_id, outcome, count(DISTINCT id) AS events, count(DISTINCT CASE WHEN duration_ms > 1000 THEN id END) AS slow FROM activity WHERE project_id IS NOT NULL GROUP BY ALL")
 def activity_outcomes(spark, root):
     return table(spark, root, "activity").where("project_id IS NOT NULL").groupBy("project_id", "outcome").agg(F.countDistinct("id").alias("events"), F.countDistinct(F.when(F.col("duration_ms") > 1000, F.col("id"))).alias("slow"))
