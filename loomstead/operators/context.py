@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.functions.text import STOPWORDS, looks_like_test
+from loomstead.functions.text import detect_intent, estimate_tokens, looks_like_test, redact, request_paths, request_symbols
 from loomstead.operators.search import search_many
 
 # The weight of each kind of evidence.
@@ -68,9 +68,7 @@ def neighbours(scored: DataFrame, edges: DataFrame, *, seeds: int = 6) -> DataFr
 
 def named_symbols(asks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Evidence from symbols that a request names, five a name: 1 where the name is equal, 0.7 where it is but for case or the qualifier."""
-    task = F.col("task")
-    every = F.concat(*[F.regexp_extract_all(task, F.lit(p), 1) for p in (r"`([A-Za-z_$][\w$.]*)(?:\(\))?`", r"(?<![\w$])([A-Za-z_$][\w$]*)\(", r"(?<![\w$])([A-Z][a-z0-9]+[A-Z][\w$]*|[a-z]+[A-Z][\w$]*|[A-Z][A-Za-z0-9]{2,}|[A-Za-z][a-z0-9]*_[\w$]+)")])
-    names = asks.select("request_id", "project_id", F.explode(F.slice(F.array_distinct(F.filter(every, lambda w: ~F.lower(w).isin(sorted(STOPWORDS)))), 1, 12)).alias("wanted")).withColumn("_low", F.lower("wanted"))
+    names = asks.select("request_id", "project_id", F.explode(request_symbols(F.col("task"))).alias("wanted")).withColumn("_low", F.lower("wanted"))
     held = symbols.select("project_id", "id", "path", "name", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("_low"))
     order = Window.partitionBy("request_id", "wanted").orderBy((F.col("name") == F.col("wanted")).desc(), "id")
     best = names.join(held, ["project_id", "_low"]).withColumn("_r", F.row_number().over(order)).where("_r <= 5")
@@ -79,7 +77,7 @@ def named_symbols(asks: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def named_paths(asks: DataFrame, files: DataFrame) -> DataFrame:
     """Evidence from files of the project whose path a request spells out."""
-    found = asks.select("request_id", "project_id", F.explode(paths_in(F.col("task"))).alias("path"))
+    found = asks.select("request_id", "project_id", F.explode(F.transform(request_paths(F.col("task")), lambda p: F.regexp_replace(p, r"^\./", ""))).alias("path"))
     return found.join(files.select("project_id", "path").distinct(), ["project_id", "path"]).select("request_id", "path", F.lit("explicit").alias("component"), F.lit(1.0).alias("strength"), F.lit("named in the request").alias("reason"))
 
 
@@ -110,17 +108,20 @@ def rank(scored: DataFrame) -> DataFrame:
     return scored.withColumn("relevance", F.when(top > 0, F.round(F.col("score") / top, 3)).otherwise(0.0))
 
 
-def fill_budget(ranked: DataFrame, *, budget: int = 6000, max_files: int = 12) -> DataFrame:
+def fill_budget(ranked: DataFrame, *, budget: int = 6000, max_files: int = 12, sources: int | None = None) -> DataFrame:
     """Which files of each request fit: a greedy prefix that stops at the first file that does not fit even as an outline.
 
-    ``ranked`` has ``(request_id, path, relevance, full_tokens, outline_tokens)``. A file whose full form does not fit is
-    tried once as an outline. Result: ``(request_id, path, level, tokens, position)``, level 2 for full, 1 for outline.
+    ``ranked`` has ``(request_id, path, relevance, full_tokens, outline_tokens)`` and, if there is one, ``header_tokens``, which every
+    answer costs beside its files. A file whose full form does not fit, or that comes after the first ``sources`` files, is
+    tried as an outline; a null full form means that there is only the outline. Result: ``(request_id, path, level, tokens, position,
+    truncated)``, level 2 for full, 1 for outline; ``truncated`` tells whether some file of the request was left out.
     """
     order = Window.partitionBy("request_id").orderBy(F.col("relevance").desc(), "path")
-    # files past the first max_files cannot be taken: the fold sees a bounded list, whatever was ranked
-    few = ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_files)
-    listed = few.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_r", "path", "full_tokens", "outline_tokens"))).alias("files"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("stop"), F.array().cast("array<struct<path:string,level:int,tokens:bigint>>").alias("taken"))
+    # files past the first max_files cannot be taken, and one more tells that some are left out: the fold sees a bounded list
+    few = ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_files + 1)
+    header = F.max("header_tokens") if "header_tokens" in ranked.columns else F.lit(0)
+    listed = few.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_r", "path", "full_tokens", "outline_tokens"))).alias("files"), F.coalesce(header, F.lit(0)).cast("long").alias("_header"))
+    start = F.struct(F.col("_header").alias("used"), F.lit(False).alias("stop"), F.array().cast("array<struct<path:string,level:int,tokens:bigint>>").alias("taken"))
 
     def step(state, file):
         fits = lambda n: state["used"] + n <= F.lit(budget)
@@ -129,10 +130,95 @@ def fill_budget(ranked: DataFrame, *, budget: int = 6000, max_files: int = 12) -
             F.concat(state["taken"], F.array(F.struct(file["path"].alias("path"), F.lit(level).alias("level"), n.cast("long").alias("tokens")))).alias("taken"),
         )
         halt = F.struct(state["used"].alias("used"), F.lit(True).alias("stop"), state["taken"].alias("taken"))
-        return F.when(state["stop"], state).when(fits(file["full_tokens"]), take(2, file["full_tokens"])).when(fits(file["outline_tokens"]), take(1, file["outline_tokens"])).otherwise(halt)
+        with_source = file["full_tokens"].isNotNull() & (F.lit(True) if sources is None else F.size(state["taken"]) < sources)
+        return (
+            F.when(state["stop"], state).when(F.size(state["taken"]) >= max_files, halt)
+            .when(with_source & fits(file["full_tokens"]), take(2, file["full_tokens"])).when(fits(file["outline_tokens"]), take(1, file["outline_tokens"])).otherwise(halt)
+        )
+
+    taken = listed.select("request_id", F.aggregate("files", start, step).alias("s"))
+    return taken.select("request_id", F.col("s.stop").alias("truncated"), F.posexplode("s.taken").alias("position", "t")).select("request_id", "t.path", "t.level", "t.tokens", "position", "truncated")
+
+
+# What kinds of symbols weigh in an outline.
+SYMBOL_WEIGHTS = {"class": 2, "interface": 2, "component": 2, "function": 1, "method": 1, "hook": 1, "route": 1, "variable": -2, "property": -2}
+
+
+def outlines(wanted: DataFrame, symbols: DataFrame, *, most: int = 12, within: int = 100) -> DataFrame:
+    """``(request_id, project_id, path, symbols, target)`` of ranked files: their ``most`` weightiest symbols, of the first ``within`` by line, and where to read.
+
+    ``wanted`` has ``(request_id, project_id, path, highlighted)``, names that weigh ten more; exported ones weigh three more, kinds as
+    ``SYMBOL_WEIGHTS``; ties go by line. ``target`` is the first highlighted symbol's ``(line_start, line_end)``, else the first one's. Files without symbols have an empty list.
+    """
+    by_line = Window.partitionBy("request_id", "project_id", "path").orderBy("line_start", "id")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in SYMBOL_WEIGHTS.items() for x in pair])[F.col("type")], F.lit(0))
+    held = wanted.join(symbols.select("project_id", "path", "id", "name", "qualified_name", "type", "signature", "exported", "line_start", "line_end"), ["project_id", "path"], "left")
+    marked = F.coalesce(F.array_contains("highlighted", F.col("name")), F.lit(False))
+    weight = F.when(marked, 10).otherwise(0) + F.when(F.col("exported"), 3).otherwise(0) + kind
+    rows = held.withColumn("_n", F.row_number().over(by_line)).where(F.col("_n") <= within).withColumn("_w", weight).withColumn("_marked", marked)
+    entry = F.struct(F.col("qualified_name").alias("name"), "type", F.array("line_start", "line_end").alias("lines"), "signature", F.when(F.col("exported"), True).alias("exported"))
+    order = F.struct((-F.col("_w")).alias("w"), F.col("line_start").alias("l"), F.col("id").alias("i"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(order.alias("o"), entry.alias("e")))))
+    lines = F.struct("line_start", "line_end")
+    return rows.groupBy("request_id", "project_id", "path").agg(
+        F.transform(F.slice(listed, 1, most), lambda x: x["e"]).alias("symbols"),
+        F.min_by(lines, F.when(F.col("id").isNotNull(), F.struct((~F.col("_marked")).alias("m"), "_n"))).alias("target"),
+    )
+
+
+def entries(ranked: DataFrame, files: DataFrame, symbols: DataFrame, texts: DataFrame, *, max_files: int = 12, source_lines: int = 80) -> DataFrame:
+    """What each of the best files of a request costs: ``(request_id, project_id, path, relevance, outline_tokens, full_tokens, outline, source)``.
+
+    ``ranked`` has ``(request_id, project_id, path, relevance, reasons, highlighted, with_source)``. An outline is JSON of the path, language, relevance,
+    reasons and symbols; the full form holds the redacted lines of the target symbol too, or the first forty. Texts are joined for ``max_files + 1`` files of a request.
+    """
+    order = Window.partitionBy("request_id").orderBy(F.col("relevance").desc(), "path")
+    few = ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_files + 1).drop("_r")
+    shown = few.join(outlines(few.select("request_id", "project_id", "path", "highlighted"), symbols), ["request_id", "project_id", "path"], "left")
+    shown = shown.join(files.groupBy("project_id", "path").agg(F.max("language").alias("language")), ["project_id", "path"], "left")
+    held = texts.select("project_id", "path", "content").join(few.select("project_id", "path").distinct(), ["project_id", "path"], "left_semi").groupBy("project_id", "path").agg(F.max("content").alias("content"))
+    shown = shown.join(held, ["project_id", "path"], "left")
+    first = F.coalesce(F.col("target.line_start"), F.lit(1)).cast("int")
+    last = F.when(F.col("target").isNull(), 40).otherwise(F.least(F.col("target.line_end"), F.col("target.line_start") + source_lines - 1)).cast("int")
+    text = F.array_join(F.slice(F.split("content", "\r?\n"), F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))), "\n")
+    source = F.when(F.col("with_source") & F.col("content").isNotNull(), F.struct(F.array(first, last).alias("lines"), redact(text).alias("text")))
+    parts = ["path", "language", "relevance", "reasons", "symbols"]
+    rows = shown.withColumn("source", source)
+    return rows.select(
+        "request_id", "project_id", "path", "relevance", estimate_tokens(F.to_json(F.struct(*parts))).alias("outline_tokens"), F.when(F.col("source").isNotNull(), estimate_tokens(F.to_json(F.struct(*parts, "source")))).alias("full_tokens"),
+        F.to_json(F.struct(*parts)).alias("outline"), "source",
+    )
+
+
+def answers(asks: DataFrame, ranked: DataFrame, filled: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for each request: ``(request_id, intent, files, tests, token_estimate, considered, selected, avoided, truncated)``.
+
+    ``files`` are the paths in order, ``tests`` those among them that look like tests, ``considered`` all candidates and ``avoided`` the files of the project that were left out.
+    """
+    considered = ranked.groupBy("request_id").agg(F.countDistinct("path").alias("considered"))
+    chosen = filled.groupBy("request_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]).alias("files"), F.sum("tokens").alias("_tokens"), F.count("*").alias("selected"), F.bool_or("truncated").alias("truncated"),
+        F.array_sort(F.collect_set(F.when(looks_like_test(F.col("path")), F.col("path")))).alias("tests"),
+    )
+    held = files.groupBy("project_id").agg(F.count("*").alias("_held"))
+    base = asks.select("request_id", "project_id", detect_intent(F.col("task")).alias("intent"), *(["header_tokens"] if "header_tokens" in asks.columns else []))
+    joined = base.join(considered, "request_id", "left").join(chosen, "request_id", "left").join(held, "project_id", "left")
+    none = F.array().cast("array<string>")
+    cost = F.coalesce("_tokens", F.lit(0)) + (F.coalesce("header_tokens", F.lit(0)) if "header_tokens" in asks.columns else F.lit(0))
+    return joined.select(
+        "request_id", "project_id", "intent", F.coalesce("files", none).alias("files"), F.coalesce("tests", none).alias("tests"), cost.alias("token_estimate"), F.coalesce("considered", F.lit(0)).alias("considered"), F.coalesce("selected", F.lit(0)).alias("selected"),
+        F.greatest(F.lit(0), F.coalesce("_held", F.lit(0)) - F.coalesce("selected", F.lit(0))).alias("avoided"), F.coalesce("truncated", F.coalesce("considered", F.lit(0)) > 0).alias("truncated"),
+    )
 
-    taken = listed.select("request_id", F.aggregate("files", start, step)["taken"].alias("taken"))
-    return taken.select("request_id", F.posexplode("taken").alias("position", "t")).select("request_id", "t.path", "t.level", "t.tokens", "position")
+
+def of_tasks(tasks: DataFrame) -> DataFrame:
+    """Requests for the context of tasks: ``(request_id, project_id, task)`` from the title, what is left of the requirements, and the task's paths and symbols.
+
+    ``tasks`` has ``(task_id, project_id, title, requirements, paths, symbols)``, requirements as ``stores.with_requirements`` gives them.
+    """
+    left = F.transform(F.filter("requirements", lambda r: ~r["done"]), lambda r: r["text"])
+    named = F.concat(F.coalesce("paths", F.array().cast("array<string>")), F.transform(F.coalesce("symbols", F.array().cast("array<string>")), lambda x: F.concat(F.lit("`"), x, F.lit("`"))))
+    return tasks.select(F.col("task_id").alias("request_id"), "project_id", F.concat_ws("\n", "title", F.array_join(left, "\n"), F.array_join(named, " ")).alias("task"))
 
 
 def workspace_budget(total: int, projects: int) -> int:

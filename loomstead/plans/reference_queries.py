@@ -357,10 +357,10 @@ def search_files(spark, root):
     return search.search(rows, FILE_QUERY, {"path": 8, "content": 1, "identifiers": 4}, key="file_id", repeated=True).select("file_id", "relevance")
 
 
-@query(_bm25_sql(f"SELECT DISTINCT id AS symbol_id, {_SPLIT.format('name')} AS name, {_SPLIT.format('qualified_name')} AS qualified_name, signature FROM symbols", "symbol_id", {"name": 10, "qualified_name": 6, "signature": 1}, SYMBOL_QUERY, 25))
+@query(_bm25_sql(f"WITH {_STATE} SELECT DISTINCT s.id AS symbol_id, {_SPLIT.format('s.name')} AS name, {_SPLIT.format('s.qualified_name')} AS qualified_name, s.signature, l.relative_path FROM symbols s JOIN live l ON l.id = s.file_id", "symbol_id", {"name": 10, "qualified_name": 6, "signature": 1, "relative_path": 2}, SYMBOL_QUERY, 25))
 def search_symbols(spark, root):
-    rows = table(spark, root, "symbols").select(F.col("id").alias("symbol_id"), T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified_name"), "signature").distinct()
-    return search.search(rows, SYMBOL_QUERY, {"name": 10, "qualified_name": 6, "signature": 1}, key="symbol_id").select("symbol_id", "relevance")
+    rows = table(spark, root, "symbols").select(F.col("id").alias("symbol_id"), "file_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified_name"), "signature").distinct().join(live(spark, root).select("file_id", "relative_path"), "file_id")
+    return search.search(rows, SYMBOL_QUERY, {"name": 10, "qualified_name": 6, "signature": 1, "relative_path": 2}, key="symbol_id").select("symbol_id", "relevance")
 
 
 @query("SELECT id AS project_id, lower(trim(remote_url)) AS remote, 'proj_' || substr(sha256(coalesce('remote:' || lower(trim(remote_url)), 'path:' || root_path)), 1, 10) AS identity FROM projects")
@@ -483,12 +483,40 @@ def context_all_evidence(spark, root):
     return _ranked_context(spark, root)[0].select("request_id", "project_id", "path", "score", "relevance", "reasons")
 
 
+def _costs(files: DataFrame) -> DataFrame:
+    return files.groupBy("project_id", "path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
+
+
 @query()
 def context_budget_fill(spark, root):
     """Context of every cached request: all evidence, neighbours in the import graph, ranking, budget."""
     ranked, files = _ranked_context(spark, root)
-    sizes = files.groupBy("project_id", "path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
-    return context.fill_budget(ranked.join(sizes, ["project_id", "path"]).select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
+    return context.fill_budget(ranked.join(_costs(files), ["project_id", "path"]).select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
+
+
+_FILL = f"""{_STATE}, asks AS (SELECT DISTINCT id AS request_id, project_id, task FROM context_cache WHERE task IS NOT NULL),
+words AS (SELECT request_id, project_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(task), '[a-z0-9_$]{{2,}}'), lambda w: length(w) >= 4))) AS word FROM asks),
+path_words AS (SELECT DISTINCT project_id, relative_path AS path, unnest(string_split(trim(regexp_replace(lower(relative_path), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM live),
+hits AS (SELECT w.request_id, p.path, 0.85 * least(1.0, count(DISTINCT w.word) / 3.0) AS part FROM words w JOIN path_words p ON p.project_id = w.project_id AND p.word = w.word GROUP BY ALL),
+late AS (SELECT DISTINCT project_id, relative_path AS path FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY last_modified DESC, relative_path) AS r FROM live) WHERE r <= 10),
+evidence AS (SELECT request_id, path, part FROM hits UNION ALL SELECT request_id, path, 0.3 FROM asks JOIN late USING (project_id)),
+scored AS (SELECT request_id, path, round(sum(part), 6) AS score FROM evidence GROUP BY ALL), ranked AS (SELECT *, round(score / max(score) OVER (PARTITION BY request_id), 3) AS relevance FROM scored),
+costs AS (SELECT project_id, relative_path AS path, CAST(max(ceil(size / 4.0)) AS BIGINT) AS full_t FROM live GROUP BY ALL), outs AS (SELECT project_id, relative_path AS path, max(20 + 12 * coalesce(n, 0)) AS out_t FROM live l JOIN (SELECT id, arg_max({{'v': symbol_count}}, indexed_at).v AS n FROM files GROUP BY id) USING (id) GROUP BY ALL),
+r AS (SELECT k.request_id, k.path, full_t, out_t, 40 + length(a.task) AS header, row_number() OVER (PARTITION BY k.request_id ORDER BY relevance DESC, k.path) AS i FROM ranked k JOIN asks a USING (request_id) JOIN costs c ON c.project_id = a.project_id AND c.path = k.path JOIN outs o ON o.project_id = a.project_id AND o.path = k.path),
+fill AS (SELECT request_id, CAST(0 AS BIGINT) AS i, CAST(max(header) AS BIGINT) AS used, 0 AS taken, false AS stop, CAST(NULL AS VARCHAR) AS path, 0 AS level, CAST(0 AS BIGINT) AS tokens FROM r GROUP BY ALL
+ UNION ALL SELECT f.request_id, r.i, f.used + CASE WHEN f.taken >= 6 THEN 0 WHEN f.taken < 4 AND f.used + full_t <= 1500 THEN full_t WHEN f.used + out_t <= 1500 THEN out_t ELSE 0 END, f.taken + CASE WHEN f.taken < 6 AND ((f.taken < 4 AND f.used + full_t <= 1500) OR f.used + out_t <= 1500) THEN 1 ELSE 0 END,
+ NOT (f.taken < 6 AND ((f.taken < 4 AND f.used + full_t <= 1500) OR f.used + out_t <= 1500)), r.path, CASE WHEN f.taken < 4 AND f.used + full_t <= 1500 THEN 2 ELSE 1 END, CASE WHEN f.taken < 4 AND f.used + full_t <= 1500 THEN full_t ELSE out_t END FROM fill f JOIN r ON r.request_id = f.request_id AND r.i = f.i + 1 WHERE NOT f.stop)"""
+
+
+@query(f"WITH RECURSIVE {_FILL} SELECT request_id, path, level, tokens, CAST(taken - 1 AS BIGINT) AS position, bool_or(stop) OVER (PARTITION BY request_id) AS truncated FROM fill WHERE i > 0 QUALIFY NOT stop")
+def context_fill_by_path(spark, root):
+    """Context of every cached request from path words and recent changes: ranking, header, four files with source, six in all, 1,500 tokens."""
+    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
+    files = live(spark, root).select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
+    ranked = context.rank(context.combine(_evidence(spark, root).unionByName(context.recent_changes(asks, files))))
+    costed = ranked.join(asks.select("request_id", "project_id", (40 + F.length("task")).alias("header_tokens")), "request_id").join(_costs(files), ["project_id", "path"])
+    found = context.fill_budget(costed, budget=1500, max_files=6, sources=4)
+    return found.withColumn("position", F.col("position").cast("long"))
 
 
 @query("SELECT project_id, outcome, count(DISTINCT id) AS events, count(DISTINCT CASE WHEN duration_ms > 1000 THEN id END) AS slow FROM activity WHERE project_id IS NOT NULL GROUP BY ALL")
