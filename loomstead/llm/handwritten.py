@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.session import materialise
+
 BITS = 17
 SAMPLE = 8000
 TRAINING_BYTES = 160 << 20
@@ -278,8 +280,8 @@ def fit(files: DataFrame, *, id: str = "file_id", project: str = "project_id", p
     # a vector has six bytes for each of its distinct n-grams and words, and each row has two vectors
     most = max(200, min(sample, int(TRAINING_BYTES / (2 * 12 * min(length + 200, 2 << BITS)))))
     # a quarter of files at most are given away; draw enough rows by hash for both labels
-    drawn = _drawn(base, min(1.0, 6.0 * most / size), min(1.0, 1.3 * most / size))
-    rows = drawn.orderBy("o").collect() if size <= 2 * most else [r for labelled in (True, False) for r in drawn.where(F.col("kind").isNotNull() == labelled).orderBy("o").limit(most).collect()]
+    drawn = materialise(_drawn(base, min(1.0, 6.0 * most / size), min(1.0, 1.3 * most / size)))  # read twice, so that no more than wanted is sent
+    rows = [r for labelled in (True, False) for r in drawn.where(F.col("kind").isNotNull() == labelled).orderBy("o").limit(most).collect()]
     read = lambda at, value: (np.frombuffer(at, np.int32), np.frombuffer(value, np.float16).astype(np.float32))
     found = [(r.project, r.kind, read(r["at"], r["value"]), read(r["masked_at"], r["masked_value"])) for r in sorted(rows, key=lambda r: r.o)]
     return train(found)
