@@ -28,6 +28,7 @@ from loomstead.session import materialise
 
 BLOCK = 1 << 15
 ROUNDS = 4
+COMPANY_ROUNDS = 2  # after these rounds, which features tell is settled
 SHARE = 0.25
 INFORMATIVE = 0.4
 ALPHA = 0.2
@@ -71,11 +72,8 @@ def _sentences(line: str, small_nouns: bool) -> list[str]:
 
 
 def _language(text: str) -> int:
-    votes = [0] * len(LANGUAGES)
-    for word in text.lower().split():
-        if (k := _FREQUENT.get(word)) is not None:
-            votes[k] += 1
-    return votes.index(max(votes))
+    told = [_FREQUENT[word] for word in text.lower().split() if word in _FREQUENT]
+    return max(range(len(LANGUAGES)), key=told.count)
 
 
 def statements(text: str | None) -> list[str]:
@@ -251,10 +249,11 @@ def expect(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, weight: np
     tell = telling[flat]
     about = np.maximum.reduceat(tell, begin) >= INFORMATIVE
     useful = np.flatnonzero(tell >= INFORMATIVE * 0.6)  # the others are many and add nothing
-    sums = np.zeros((len(useful) + 1, kinds))
-    np.cumsum(weight[flat[useful]], 0, dtype=np.float64, out=sums[1:])
     edges = np.searchsorted(useful, np.append(begin, len(flat)))
-    scores = (sums[edges[1:]] - sums[edges[:-1]]).astype(np.float32)
+    scores = np.zeros((len(lengths), kinds), np.float32)
+    some = np.flatnonzero(edges[1:] > edges[:-1])
+    if len(some):
+        scores[some] = np.add.reduceat(weight[flat[useful]], edges[some])
     doc = np.repeat(np.arange(n_docs), counts)
     prior = np.zeros((n_docs, kinds), np.float32)
     if fixed is not None:
@@ -388,18 +387,20 @@ def fit(prepared: DataFrame, marked: DataFrame, names: list[str]) -> tuple[np.nd
     kinds = len(names)
     own, told = _first_counts(marked, {s: i for i, s in enumerate(names)})
     weight, telling = weights_of(own), telling_of(told)
-    for _ in range(ROUNDS):
-        shared = prepared.sparkSession.sparkContext.broadcast((weight, telling))
+    for k in range(ROUNDS):
+        shared, company = prepared.sparkSession.sparkContext.broadcast((weight, telling)), k < COMPANY_ROUNDS
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((FEATURES, 2 * kinds))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, company=company) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((FEATURES, kinds * (1 + company)))
             for batch in batches:
                 for _, _, flat, lengths, counts in slices(batch):
-                    total += partial_counts(flat, lengths, counts, *shared.value, company=True)
+                    total += partial_counts(flat, lengths, counts, *shared.value, company=company)
             yield _counts_batch(total)
 
-        found = _collect_counts(prepared.select("tokens", "sizes").mapInArrow(run, "place int, c array<float>"), 2 * kinds)
-        weight, telling = weights_of(own + found[:, :kinds]), telling_of(told + found[:, kinds:])
+        found = _collect_counts(prepared.select("tokens", "sizes").mapInArrow(run, "place int, c array<float>"), kinds * (1 + company))
+        weight = weights_of(own + found[:, :kinds])
+        if company:
+            telling = telling_of(told + found[:, kinds:])
     return weight, telling
 
 
