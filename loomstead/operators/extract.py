@@ -9,9 +9,10 @@ import keyword
 import re
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Symbol kinds that the parsers tell apart.
@@ -496,9 +497,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, *, aliases: list[tuple
     relative = spec.startswith(".")
 
     def normal(column):
-        for _ in range(8):  # each pass takes one folder back
-            column = F.regexp_replace(column, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-        return F.regexp_replace(F.regexp_replace(column, r"(?:^|(?<=/))\./", ""), r"/{2,}", "/")
+        """The path without ``.`` and with each ``..`` taken off together with the folder before it, however many there are."""
+        none = F.array().cast("array<string>")
+        step = lambda done, x: (
+            F.when((x == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1)).when(x.isin(".", ""), done).otherwise(F.concat(done, F.array(x)))
+        )
+        return F.array_join(F.aggregate(F.split(column, "/"), none, step), "/")
 
     joined = normal(F.concat(folder, spec))
     inner = F.lit(None).cast("string")
@@ -516,12 +520,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame, *, aliases: list[tuple
     bases = F.when(relative, F.array(F.concat(folder, F.repeat(F.lit("../"), F.length(F.regexp_extract(spec, r"^\.+", 0)) - 1)))).otherwise(roots)
     from_python = F.flatten(F.transform(bases, lambda b: F.array(normal(F.concat(b, dotted, F.lit(".py"))), normal(F.concat(b, dotted, F.lit("/__init__.py"))))))
     tries = F.when(script & (relative | inner.isNotNull()), from_script).when(~script, from_python).otherwise(F.array().cast("array<string>"))
-    keyed = imports.withColumn("_id", F.xxhash64("file_id", "specifier", "kind", "line"))
-    spread = keyed.select("_id", "project_id", F.posexplode(tries).alias("_order", "_try"))
+    keys = ["project_id", "file_id", "path", "specifier", "kind", "line"]
+    spread = imports.select(*keys, F.posexplode(tries).alias("_order", "_try"))
     known = files.groupBy("project_id", F.col("relative_path").alias("_try")).agg(F.min("file_id").alias("_target"))
-    best = spread.join(known, ["project_id", "_try"]).groupBy("_id").agg(F.min_by(F.struct("_target", "_try"), "_order").alias("_best"))
+    best = spread.join(known, ["project_id", "_try"]).groupBy(*keys).agg(F.min_by(F.struct("_target", "_try"), "_order").alias("_best"))
     package = F.when(spec.startswith("node:"), "node").when(spec.startswith("@"), F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1)).when(script, F.regexp_extract(spec, r"^([^/]+)", 1)).otherwise(F.regexp_extract(spec, r"^([^.]+)", 1))
     outside = F.col("_best").isNull() & ~relative & inner.isNull()
-    return keyed.join(best, "_id", "left").select(
+    same = reduce(lambda a, b: a & b, [F.col(f"i.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+    return imports.alias("i").join(best.alias("b"), same, "left").select("i.*", "b._best").select(
         *imports.columns, outside.alias("is_external"), F.when(outside, package).alias("package_name"), F.col("_best._target").alias("resolved_file_id"), F.col("_best._try").alias("resolved_path")
     )

@@ -9,6 +9,9 @@ from loomstead.functions.text import looks_like_test
 from loomstead.session import materialise
 
 
+UNBROKEN = 3
+
+
 def import_edges(imports: DataFrame, live: DataFrame) -> DataFrame:
     """``(project_id, source, target, kind)``: resolved imports between files that are active, each once."""
     own = live.select("file_id")
@@ -33,7 +36,7 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int = 3) -> DataFrame:
     """``(origin, node, depth)``: what depends on each origin within ``depth`` (1 to 10) hops, at its least depth.
 
     A bounded breadth-first search over all origins at once: each hop is one join and one anti-join with what was
-    seen, checkpointed so that the plan does not grow. Origins themselves have no row; cycles end.
+    seen; from the third on it is checkpointed, so that the plan does not grow. Origins themselves have no row; cycles end.
     """
     depth = max(1, min(10, depth))
     back = edges.select(F.col("target").alias("node"), F.col("source").alias("following")).where("node <> following").distinct()
@@ -44,9 +47,10 @@ def reach(edges: DataFrame, origins: DataFrame, depth: int = 3) -> DataFrame:
             front.join(back, "node").select("origin", F.col("following").alias("node")).distinct()
             .join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
         )
-        front = materialise(front)
-        if front.isEmpty():
-            break
+        if hop >= UNBROKEN:  # the plan of the first hops is short enough to stay whole
+            front = materialise(front)
+            if front.isEmpty():
+                break
         seen = seen.unionByName(front.withColumn("depth", F.lit(hop)))
     return seen.where("depth > 0")
 

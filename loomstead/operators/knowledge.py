@@ -122,6 +122,14 @@ def cache_state(cache: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def cache_differences(cache: DataFrame, current: DataFrame) -> DataFrame:
+    """``(id, path, what)`` of each path of an entry that has another hash now (``stale``) or no active file (``missing``)."""
+    wanted = cache.select("id", "project_id", F.explode("files").alias("f")).select("id", "project_id", normal_path(F.col("f.path")).alias("relative_path"), F.col("f.hash").alias("hash")).where("relative_path IS NOT NULL")
+    now = current.groupBy("project_id", "relative_path").agg(F.max("hash").alias("now_hash"))
+    joined = wanted.join(now, ["project_id", "relative_path"], "left").where(F.col("now_hash").isNull() | ~F.col("now_hash").eqNullSafe(F.col("hash")))
+    return joined.select("id", F.col("relative_path").alias("path"), F.when(F.col("now_hash").isNull(), "missing").otherwise("stale").alias("what"))
+
+
 def invalidate(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """``cache`` without the entries that hold a changed path of their project: ``changed`` has ``(project_id, relative_path)``."""
     held = cache.select("id", "project_id", F.explode("files").alias("f")).select("id", "project_id", normal_path(F.col("f.path")).alias("relative_path"))

@@ -289,3 +289,12 @@ def cache_entries(log: DataFrame) -> DataFrame:
     stored = kept.where("event = 'stored'").groupBy("project_id", "key").agg(F.max(F.struct(*ORDER)).alias("_stored"), F.min("at").alias("created_at"), last_known("token_estimate").alias("token_estimate"), last_known("files").alias("files"))
     used = kept.where("event = 'used'").join(stored.select("project_id", "key", "_stored"), ["project_id", "key"]).where("struct(at, seq) > _stored").groupBy("project_id", "key").agg(F.countDistinct("seq").alias("hits"), F.max("at").alias("_used"))
     return stored.join(used, ["project_id", "key"], "left").select("project_id", "key", "token_estimate", "files", "created_at", F.coalesce("_used", "_stored.at").alias("last_used_at"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def status_bundle(projects: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``projects`` with the figures of each part ``(project_id, ...)``; a count without rows is 0, other figures are null."""
+    joined = projects
+    for part in parts:
+        joined = joined.join(part, "project_id", "left")
+    counts = [name for part in parts for name, kind in part.dtypes if name != "project_id" and not name.endswith("_us") and kind in ("bigint", "int")]
+    return joined.fillna(0, counts)

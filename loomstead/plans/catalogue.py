@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomstead.plans import contract_queries, data_quality, index_queries, reference_queries, store_queries
+from loomstead.plans import contract_queries, data_quality, index_queries, lookup_queries, reference_queries, store_queries
 
 FLAGSHIP = "search_documents"
-QUERIES = {**data_quality.QUERIES, **reference_queries.QUERIES, **store_queries.QUERIES, **contract_queries.QUERIES, **index_queries.QUERIES}
-SQL = {**data_quality.SQL, **reference_queries.SQL, **store_queries.SQL, **contract_queries.SQL, **index_queries.SQL}
+QUERIES = {**data_quality.QUERIES, **reference_queries.QUERIES, **store_queries.QUERIES, **contract_queries.QUERIES, **index_queries.QUERIES, **lookup_queries.QUERIES}
+SQL = {**data_quality.SQL, **reference_queries.SQL, **store_queries.SQL, **contract_queries.SQL, **index_queries.SQL, **lookup_queries.SQL}
