@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.operators import ingest
+
 
 def check(files: DataFrame, symbols: DataFrame, imports: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """``(project_id, problem, rows)`` of every check that finds something.
@@ -33,3 +35,21 @@ def check(files: DataFrame, symbols: DataFrame, imports: DataFrame, runs: DataFr
 def decide(permission: Column) -> Column:
     """Whether a call may go ahead: reading, writing and executing may, destroying asks first, anything else may not."""
     return F.when(permission.isin("READ", "WRITE", "EXECUTE"), "allow").when(permission == "DESTRUCTIVE", "confirm").otherwise("deny")
+
+
+def repair(files: DataFrame, symbols: DataFrame, imports: DataFrame, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables without what :func:`check` finds and can be mended from the files as they are.
+
+    Of active files at one path the one with the greatest id stays, the others are deleted; derived rows of files that are gone go, imports are linked anew and
+    runs that never finished are abandoned. Files without a hash are left for the next scan.
+    """
+    same = files.where("status = 'active'").groupBy("project_id", "relative_path").agg(F.max("file_id").alias("_kept"))
+    marked = files.join(same, ["project_id", "relative_path"], "left")
+    status = F.when((F.col("status") == "active") & (F.col("file_id") != F.col("_kept")), "deleted").otherwise(F.col("status"))
+    mended = marked.withColumn("status", status).select(*files.columns)
+    own = mended.where("status = 'active'")
+    keys = own.select("file_id")
+    found = {"files": mended, "symbols": symbols.join(keys, "file_id", "left_semi"), "imports": ingest.relink(imports.join(keys, "file_id", "left_semi"), own)}
+    if runs is not None:
+        found["runs"] = runs.withColumn("status", F.when(F.col("status") == "running", "abandoned").otherwise(F.col("status")))
+    return found

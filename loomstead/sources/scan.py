@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,3 +75,53 @@ def skip_counts(listing: DataFrame, *, rules: list[tuple[bool, str]] = (), max_b
     first = skip_reason(F.col("relative_path"), F.col("size"), max_bytes)
     order = F.when(first == "sensitive", first).when(reason.isNotNull(), reason).otherwise(first)
     return listing.groupBy(F.coalesce(order, F.lit("kept")).alias("reason")).agg(F.count("*").alias("files"))
+
+
+def walk(spark: SparkSession, root: str, *, follow_links: bool = False, rules: list[tuple[bool, str]] = ()) -> DataFrame:
+    """``(relative_path, size, modified_ms)`` below a local folder, ignored folders not entered; links only with ``follow_links``, no folder twice. Runs on the driver."""
+    compiled = [(ignores, re.compile(pattern)) for ignores, pattern in rules]
+
+    def ignored(path: str) -> bool:
+        verdict = False
+        for ignores, pattern in compiled:
+            verdict = ignores if pattern.search(path) else verdict
+        return verdict
+
+    rows, seen = [], set()
+    for at, folders, names in os.walk(root, followlinks=follow_links):
+        real = os.path.realpath(at)
+        if real in seen:
+            folders.clear()
+            continue
+        seen.add(real)
+        inside = lambda name: os.path.relpath(os.path.join(at, name), root).replace(os.sep, "/")  # noqa: E731, B023
+        folders[:] = sorted(f for f in folders if not ignored(inside(f) + "/"))
+        for name in names:
+            full = os.path.join(at, name)
+            if os.path.isfile(full) and (follow_links or not os.path.islink(full)):
+                told = os.stat(full)
+                rows.append((inside(name), told.st_size, int(told.st_mtime * 1000)))
+    return spark.createDataFrame(rows, "relative_path string, size long, modified_ms long")
+
+
+def scan(listing: DataFrame, *, rules: list[tuple[bool, str]] = (), max_bytes: int = 1 << 20, max_files: int | None = None) -> DataFrame:
+    """``listing`` with ``reason``, why a scan leaves a file out; null for the files it keeps.
+
+    Checks in order: sensitive, ignored by a rule or a folder, binary, too large. Of the rest the first ``max_files`` by path are kept and the others have the reason ``limit``.
+    """
+    first = skip_reason(F.col("relative_path"), F.col("size"), max_bytes)
+    reason = F.when(first == "sensitive", first).when(is_ignored(F.col("relative_path"), list(rules)), "ignored").otherwise(first)
+    rows = listing.withColumn("reason", reason)
+    if max_files is None:
+        return rows
+    within = rows.where("reason IS NULL").select("relative_path").orderBy("relative_path").limit(max_files).withColumn("_within", F.lit(True))
+    return rows.join(within, "relative_path", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_within").isNull(), "limit"))).drop("_within")
+
+
+def scan_report(scanned: DataFrame) -> DataFrame:
+    """One row ``(kept, bytes, skipped, truncated)``: files kept, their size, a map of the others by reason, and whether a limit was met."""
+    by_reason = scanned.groupBy("reason").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    return by_reason.agg(
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("b"))), F.lit(0)).alias("bytes"),
+        F.map_from_entries(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))).alias("skipped"), F.coalesce(F.bool_or(F.col("reason") == "limit"), F.lit(False)).alias("truncated"),
+    )
