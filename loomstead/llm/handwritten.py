@@ -189,6 +189,7 @@ def _descend(rows: list[tuple], seed: int) -> dict:
     for _ in range(EPOCHS):
         for i in random.permutation(len(examples)):
             where, much, y = examples[i]
+            much = much.astype(np.float32)  # kept at half precision, as they were sent
             t += 1
             wrong = (y != 0) & (y * (much @ weights[where] + bias) < 1)
             if wrong.any():
@@ -205,7 +206,7 @@ def _descend(rows: list[tuple], seed: int) -> dict:
 
 
 def _margins(rows: list[tuple], model: dict) -> np.ndarray:
-    return np.array([much @ model["weights"][where] + model["bias"] for _, _, (where, much), _ in rows]).reshape(-1, len(KINDS))
+    return np.array([much.astype(np.float32) @ model["weights"][where] + model["bias"] for _, _, (where, much), _ in rows]).reshape(-1, len(KINDS))
 
 
 def train(rows: list[tuple], seed: int = 5) -> dict:
@@ -282,7 +283,7 @@ def fit(files: DataFrame, *, id: str = "file_id", project: str = "project_id", p
     # a quarter of files at most are given away; draw enough rows by hash for both labels
     drawn = materialise(_drawn(base, min(1.0, 6.0 * most / size), min(1.0, 1.3 * most / size)))  # read twice, so that no more than wanted is sent
     rows = [r for labelled in (True, False) for r in drawn.where(F.col("kind").isNotNull() == labelled).orderBy("o").limit(most).collect()]
-    read = lambda at, value: (np.frombuffer(at, np.int32), np.frombuffer(value, np.float16).astype(np.float32))
+    read = lambda at, value: (np.frombuffer(at, np.int32), np.frombuffer(value, np.float16))
     found = [(r.project, r.kind, read(r["at"], r["value"]), read(r["masked_at"], r["masked_value"])) for r in sorted(rows, key=lambda r: r.o)]
     return train(found)
 
