@@ -1,23 +1,30 @@
-"""One object per data directory with the calls a client of the index makes; every call gives a lazy DataFrame."""
+"""One object per data directory with the calls that a client of the index makes.
+
+Calls give DataFrames. Those of names, searches, impact and context run small jobs of their own while they are built (counts, figures,
+ranks); the others are lazy. What clients tell (records, tasks, sessions) is appended to logs in the ``state`` folder and folded on reading.
+"""
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
-from functools import cached_property
+import time
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
-from loomstead.operators import context, contracts, graph, health, ingest, knowledge, search
-from loomstead.session import table
+from loomstead.operators import context, contracts, graph, health, ingest, knowledge, postings, search, stores
+from loomstead.session import materialise, table
 
 
 class Index:
     """The tables of a data directory, optionally narrowed to some projects (a workspace)."""
 
-    def __init__(self, spark: SparkSession, root: str, projects: list[str] | None = None) -> None:
-        self.spark, self.root, self.projects = spark, root, projects
+    def __init__(self, spark: SparkSession, root: str, projects: list[str] | None = None, state: str | None = None) -> None:
+        self.spark, self.root, self.projects, self.state = spark, root, projects, state
 
     def _table(self, name: str) -> DataFrame:
         rows = table(self.spark, self.root, name)
@@ -112,30 +119,136 @@ class Index:
         snippet = self.texts.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("path"), F.substring(F.trim(T.redact(F.get(hit, F.lit(0)))), 1, 200).alias("snippet"))
         return merged.join(snippet, ["kind", "id"], "left").orderBy(F.col("relevance").desc(), "kind", "id")
 
-    def get_context(self, task: str, *, paths: list[str] = (), budget: int = 6000, max_files: int = 12, depth: int = 1) -> DataFrame:
-        """Files for a task within a token budget: ``(path, level, tokens, relevance, reasons)``."""
-        row = lambda rows, kind, strength, why: rows.select(F.lit(0).alias("request_id"), "path", F.lit(kind).alias("component"), strength.alias("strength"), F.lit(why).alias("reason"))
-        own = self.files.select(F.col("relative_path").alias("path"), "file_id", "size", "symbol_count", "last_modified")
-        mentioned = [*paths, *re.findall(r"[\w@./-]+/[\w.-]+\.\w+", task)]
-        found = search.search(self.texts, task, {"path": 8, "content": 1, "identifiers": 4}, k=15, key="file_id")
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("relevance").desc(), "file_id")) - 1
-        named = [w for w in re.findall(r"[A-Za-z_$][\w$]{3,}", task) if re.search(r"[a-z][A-Z]|_", w)][:12]
-        words = [w for w in T.query_terms(task) if len(w) >= 4]
-        parts = F.split(F.lower("path"), "[^a-z0-9]+")
-        evidence = row(own.where(F.col("path").isin(mentioned)), "explicit", F.lit(1.0), "named in the task")
-        evidence = evidence.unionByName(row(found.join(own, "file_id").withColumn("s", context.rank_decay(place)), "search", F.col("s"), "matches the task"))
-        if named:
-            evidence = evidence.unionByName(row(self.symbols.where(F.lower("name").isin([w.lower() for w in named])).select(F.col("relative_path").alias("path")).distinct(), "symbol", F.lit(1.0), "defines a named symbol"))
-        if words:
-            share = F.size(F.array_intersect(parts, F.array(*map(F.lit, words)))) / F.lit(float(len(words)))
-            evidence = evidence.unionByName(row(own.withColumn("s", share).where("s > 0"), "pathMatch", F.col("s"), "path holds words of the task"))
-        scored = context.combine(evidence)
+    def get_context(self, task: str, *, paths: list[str] = (), budget: int = 6000, max_files: int = 12, include_source: bool | None = None, changed: list[str] | str = ()) -> DataFrame:
+        """Files for a task within a token budget, in each project of the index: ``(project_id, path, level, tokens, relevance, reasons, position, truncated)``.
+
+        All kinds of evidence count, each within its project. Source is included for requests about errors, or as ``include_source`` says, for four files.
+        ``changed`` are paths that were changed lately, as git tells them, or ``latest`` for the ten that were modified last.
+        """
+        asked = self.files.select("project_id").distinct().select(F.col("project_id").alias("request_id"), "project_id", F.lit(" ".join([task, *paths])).alias("task"))
+        return self._contexts(asked, budget, max_files, include_source, changed)
+
+    def _contexts(self, asked: DataFrame, budget: int, max_files: int, include_source: bool | None, changed: list[str] | str = ()) -> DataFrame:
+        asks = asked.withColumn("intent", T.detect_intent(F.col("task")))
+        files = self.files.drop("path").withColumnRenamed("relative_path", "path")
+        own = files.select("project_id", "file_id", "path")
+        symbols = self.symbols.withColumnRenamed("relative_path", "path")
+        texts = self.texts.drop("path").join(own.select("file_id", "path"), "file_id")
+        named = symbols.select("id", "project_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified"), "signature", F.col("path").alias("relative_path"))
+        by_symbol = postings.search(postings.build(named, {"name": 10, "qualified": 6, "signature": 1, "relative_path": 2}), asks, k=20).join(symbols.select(F.col("id").alias("key"), "path"), "key")
+        by_text = postings.search(postings.build(texts, {"path": 8, "content": 1, "identifiers": 4}, key="file_id"), asks, k=15).join(own.select(F.col("file_id").alias("key"), "path"), "key")
+        row = lambda rows, kind, strength, why: rows.select("request_id", "path", F.lit(kind).alias("component"), strength.alias("strength"), F.lit(why).alias("reason"))
+        parts = [
+            context.named_paths(asks, own), context.named_symbols(asks, symbols), row(by_symbol, "search", F.col("relevance"), "symbol match"), row(by_text, "search", F.col("relevance") * 0.8, "content match"),
+            context.words_in_paths(asks, own),
+        ]
+        if changed == "latest":
+            parts.append(context.recent_changes(asks, files))
+        elif changed:
+            parts.append(row(asks.select("request_id", "project_id").join(own.where(F.col("path").isin(list(changed))), "project_id"), "recent", F.lit(1.0), "changed lately"))
+        if (records := self._memory()) is not None:
+            told = records.where("status = 'active'").select("project_id", F.col("memory_id").alias("id"), F.concat_ws(" ", "title", "content", F.array_join("paths", " ")).alias("text"), "importance")
+            parts.append(context.remembered(asks, told, own))
+        evidence = materialise(reduce(DataFrame.unionByName, parts))
+        scored = context.combine(evidence).join(asks.select("request_id", "project_id", "intent"), "request_id")
         names = own.select("file_id", "path")
-        edges = self.edges.join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select(F.col("_s").alias("source"), F.col("_t").alias("target"))
-        ranked = context.rank(context.combine(evidence.unionByName(context.expand(scored, edges, depth=depth))))
-        sizes = own.groupBy("path").agg(F.max(F.ceil(F.col("size") / 4)).alias("full_tokens"), F.max(20 + 12 * F.coalesce("symbol_count", F.lit(0))).alias("outline_tokens"))
-        filled = context.fill_budget(ranked.join(sizes, "path"), budget=budget, max_files=max_files)
-        return filled.join(ranked.select("path", "relevance", "reasons"), "path").orderBy("position").select("path", "level", "tokens", "relevance", "reasons")
+        edges = self.edges.join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
+        wanted = F.col("intent") == "debug" if include_source is None else F.lit(include_source)
+        highlighted = evidence.where("component = 'symbol'").groupBy("request_id", "path").agg(F.collect_set(F.regexp_replace("reason", "^defines ", "")).alias("highlighted"))
+        ranked = context.rank(context.combine(evidence.unionByName(context.neighbours(scored, edges)))).join(asks.select("request_id", "project_id", "intent"), "request_id").join(highlighted, ["request_id", "path"], "left")
+        ranked = ranked.withColumn("with_source", wanted).withColumn("highlighted", F.coalesce("highlighted", F.array().cast("array<string>")))
+        costed = context.entries(ranked, files, symbols, texts, max_files=max_files)
+        filled = context.fill_budget(costed, budget=budget, max_files=max_files, sources=4)
+        return filled.join(ranked.select("request_id", "project_id", "path", "relevance", "reasons"), ["request_id", "path"]).select("request_id", "project_id", "path", "level", "tokens", "relevance", "reasons", "position", "truncated").orderBy("request_id", "position")
+
+    # what clients tell
+    _clock = itertools.count()
+    LOGS = {
+        "memory": "project_id string, memory_id string, at long, seq long, event string, type string, title string, content string, importance double, confidence double, tags array<string>, paths array<string>, branch string, expires_at long, supersedes string",
+        "tasks": "project_id string, task_id string, at long, seq long, status string, title string, priority string, blocked_reason string, tags array<string>, paths array<string>, branch string",
+        "sessions": "project_id string, session_id string, at long, seq long, event string, agent string, task_id string, summary string, next_step string, files array<string>",
+    }
+
+    def _append(self, name: str, **fields) -> str:
+        if self.state is None:
+            raise ValueError("an index without a state folder cannot be told anything")
+        now = time.time_ns() // 1000
+        key = {"memory": "memory_id", "tasks": "task_id", "sessions": "session_id"}[name]
+        row = {"at": now, "seq": now * 1000 + next(self._clock) % 1000, key: fields.get(key) or f"{name[:3]}_{now:x}_{next(self._clock)}"} | {k: v for k, v in fields.items() if v is not None}
+        columns = [c.split()[0] for c in re.split(r", (?=\w+ )", self.LOGS[name])]
+        self.spark.createDataFrame([tuple(row.get(c) for c in columns)], self.LOGS[name]).coalesce(1).write.mode("append").parquet(f"{self.state}/{name}")
+        return row[key]
+
+    def _log(self, name: str) -> DataFrame | None:
+        if self.state is None or not os.path.isdir(f"{self.state}/{name}"):
+            return None
+        rows = self.spark.read.schema(self.LOGS[name]).parquet(f"{self.state}/{name}")
+        return rows.where(F.col("project_id").isin(self.projects)) if self.projects is not None else rows
+
+    def _memory(self) -> DataFrame | None:
+        log = self._log("memory")
+        return None if log is None else stores.memory_state(log)
+
+    def remember(self, project_id: str, kind: str, title: str, content: str, **fields) -> str:
+        """Id of the record, that of an identical one if there is one, which is reinforced."""
+        records = self._memory()
+        if records is not None:
+            asked = self.spark.createDataFrame([(0, project_id, kind, title, content)], "ask_id int, project_id string, type string, title string, content string")
+            known = stores.find_by_hash(records, asked).first()
+            if known:
+                return self._append("memory", project_id=project_id, memory_id=known.memory_id, event="reinforced", **fields)
+        return self._append("memory", project_id=project_id, event="remembered", type=kind, title=title, content=content, **fields)
+
+    def forget(self, project_id: str, memory_id: str, *, hard: bool = False) -> None:
+        self._append("memory", project_id=project_id, memory_id=memory_id, event="forgotten" if hard else "archived")
+
+    def recall(self, query: str | None = None, **options) -> DataFrame:
+        records = self._memory()
+        rows = self.spark.createDataFrame([], self.LOGS["memory"]) if records is None else records
+        rows = stores.memory_state(rows) if records is None else rows
+        times = rows.withColumn("updated_at", F.timestamp_micros("updated_at")).withColumn("expires_at", F.timestamp_micros("expires_at"))
+        return knowledge.recall(times, F.current_timestamp(), query=query, **options)
+
+    def task_create(self, project_id: str, title: str, status: str = "IDEA", **fields) -> str:
+        return self._append("tasks", project_id=project_id, title=title, status=status, **fields)
+
+    def task_update(self, project_id: str, task_id: str, **fields) -> None:
+        self._append("tasks", project_id=project_id, task_id=task_id, **fields)
+
+    def task_status(self, **options) -> DataFrame:
+        log = self._log("tasks")
+        return stores.task_list(stores.task_state(self.spark.createDataFrame([], self.LOGS["tasks"]) if log is None else log), **options)
+
+    def task_context(self, task_id: str, *, budget: int = 6000, max_files: int = 12) -> DataFrame:
+        """Context of a task: its title, paths and tags as the request."""
+        tasks = self.task_status().where(F.col("task_id") == task_id).select("task_id", "project_id", "title", "paths", F.array().cast("array<string>").alias("symbols"), F.array().cast("array<struct<position:int,text:string,done:boolean>>").alias("requirements"))
+        return self._contexts(context.of_tasks(tasks), budget, max_files, None)
+
+    def session_start(self, project_id: str, agent: str, **fields) -> str:
+        return self._append("sessions", project_id=project_id, event="started", agent=agent, **fields)
+
+    def session_end(self, project_id: str, session_id: str, **fields) -> None:
+        self._append("sessions", project_id=project_id, session_id=session_id, event="ended", **fields)
+
+    def sessions(self) -> DataFrame:
+        log = self._log("sessions")
+        return stores.session_state(self.spark.createDataFrame([], self.LOGS["sessions"]) if log is None else log)
+
+    # projects
+    def project_list(self) -> DataFrame:
+        rows = table(self.spark, self.root, "projects").withColumnRenamed("id", "project_id")
+        return rows.where(F.col("project_id").isin(self.projects)) if self.projects is not None else rows
+
+    def project_status(self) -> DataFrame:
+        """What there is of each project: files, bytes, symbols, imports."""
+        count = lambda rows, name: rows.groupBy("project_id").agg(F.count("*").alias(name))
+        own = self.files.groupBy("project_id").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        keep = self.files.select("file_id")
+        return stores.status_bundle(self.project_list().select("project_id", "name"), [own, count(self.symbols, "symbols"), count(self.imports.join(keep, "file_id", "left_semi"), "imports")])
+
+    def project_map(self, folders: int = 40) -> DataFrame:
+        """The fullest folders of each project, two levels deep: ``(project_id, directory, files, languages, place, truncated)``."""
+        return graph.project_map(self.files, folders)
 
     # contracts, safety, state
     def endpoints(self) -> DataFrame:
@@ -143,7 +256,15 @@ class Index:
 
     def api_contracts(self) -> DataFrame:
         found = self.endpoints()
-        return contracts.match(found.where("role = 'consumes'"), found.where("role = 'provides'"))
+        return contracts.match(found.where("role = 'consumes'"), contracts.provided(found, self.imports))
+
+    def api_links(self) -> DataFrame:
+        """Call keys with their call sites and the routes these meet."""
+        found = self.endpoints()
+        return contracts.links(found.where("role = 'consumes'"), contracts.provided(found, self.imports))
+
+    def callers_of(self, path: str) -> DataFrame:
+        return contracts.callers_of(self.endpoints().where("role = 'consumes'"), path)
 
     def security_status(self) -> DataFrame:
         """``(path, detectors)`` of files that hold something like a secret."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.functions.text import detect_intent, estimate_tokens, looks_like_test, redact, request_paths, request_symbols
+from loomstead.functions.text import detect_intent, estimate_tokens, looks_like_test, redact, request_paths, request_symbols, request_terms
 from loomstead.operators.search import search_many
 
 # The weight of each kind of evidence.
@@ -81,6 +81,18 @@ def named_paths(asks: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(files.select("project_id", "path").distinct(), ["project_id", "path"]).select("request_id", "path", F.lit("explicit").alias("component"), F.lit(1.0).alias("strength"), F.lit("named in the request").alias("reason"))
 
 
+def words_in_paths(asks: DataFrame, files: DataFrame, *, per_term: int = 6) -> DataFrame:
+    """Evidence from files whose path holds a word of a request of four letters and more: of each word the ``per_term`` shortest paths, with falling strength.
+
+    The paths of a word are ranked once a project, before requests come to them, so that a word that stands everywhere stays as short as any other.
+    """
+    terms = asks.select("request_id", "project_id", F.explode(F.filter(request_terms(F.col("task")), lambda w: F.length(w) >= 4)).alias("word"))
+    held = files.select("project_id", "path", F.explode(F.array_distinct(F.split(F.lower("path"), "[^a-z0-9]+"))).alias("word")).distinct()
+    order = Window.partitionBy("project_id", "word").orderBy(F.length("path"), "path")
+    few = held.join(terms.select("project_id", "word").distinct(), ["project_id", "word"], "left_semi").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_term)
+    return terms.join(few, ["project_id", "word"]).select("request_id", "path", F.lit("pathMatch").alias("component"), rank_decay(F.col("_r") - 1).alias("strength"), F.concat(F.lit("path holds "), "word").alias("reason"))
+
+
 def recent_changes(asks: DataFrame, files: DataFrame, *, k: int = 10) -> DataFrame:
     """Evidence from the files of the project that changed last."""
     order = Window.partitionBy("project_id").orderBy(F.col("last_modified").desc(), "path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import looks_like_test
@@ -60,3 +60,13 @@ def impact(edges: DataFrame, live: DataFrame, origins: DataFrame, *, depth: int
     return reach(edges, origins, depth).join(live.select(F.col("file_id").alias("node"), "relative_path"), "node").select(
         "origin", "relative_path", "depth", looks_like_test(F.col("relative_path")).alias("is_test")
     )
+
+
+def project_map(live: DataFrame, folders: int = 40) -> DataFrame:
+    """``(project_id, directory, files, languages, place, truncated)``: the ``folders`` fullest folders of each project, two levels deep; ``truncated`` tells whether it has more."""
+    parts = F.split("relative_path", "/")
+    folder = F.when(F.size(parts) < 2, ".").otherwise(F.array_join(F.slice(parts, 1, F.least(F.lit(2), F.size(parts) - 1)), "/"))
+    rows = live.groupBy("project_id", folder.alias("directory")).agg(F.count("*").alias("files"), F.array_sort(F.collect_set(F.coalesce("language", F.lit("other")))).alias("languages"))
+    whole = Window.partitionBy("project_id")
+    placed = rows.withColumn("place", F.row_number().over(whole.orderBy(F.col("files").desc(), "directory"))).withColumn("truncated", F.count("*").over(whole) > folders)
+    return placed.where(F.col("place") <= folders)

@@ -62,3 +62,27 @@ def test_contracts_and_state(index, spark):
     assert index.security_status().count() == 0
     assert {r.problem for r in index.health().collect()} == {"symbols_of_missing_file"}
     assert check_operation(spark, "git reset --hard")[0] == "dangerous"
+
+
+def test_what_clients_tell(spark, index, tmp_path):
+    told = Index(spark, index.root, ["p"], state=str(tmp_path))
+    first = told.remember("p", "DECISION", "Pay once", "Payments are verified once, in src/payment-service.ts.", paths=["src/payment-service.ts"])
+    assert told.remember("p", "DECISION", "Pay once", "Payments are verified once,  in src/payment-service.ts.") == first
+    second = told.remember("p", "FACT", "Forms", "Forms have no state of their own.")
+    assert [r.memory_id for r in told.recall().collect()] == [first, second] and [r.memory_id for r in told.recall("payments").collect()] == [first]
+    told.forget("p", second)
+    assert [r.memory_id for r in told.recall().collect()] == [first]
+    task = told.task_create("p", "verifyPayment runs twice", "READY", paths=["src/payment-service.ts"])
+    told.task_update("p", task, status="IN_PROGRESS")
+    assert [(r.task_id, r.status) for r in told.task_status(open_only=True).collect()] == [(task, "IN_PROGRESS")]
+    assert told.task_context(task).first().path == "src/payment-service.ts"
+    one = told.session_start("p", "agent")
+    two = told.session_start("p", "agent")
+    told.session_end("p", two, summary="done")
+    assert {r.session_id: r.status for r in told.sessions().collect()} == {one: "ended", two: "ended"}
+    with pytest.raises(ValueError):
+        index.session_start("p", "agent")
+    assert index.recall().count() == 0 and index.task_status().count() == 0
+    assert [(r.directory, r.files) for r in index.project_map().collect()] == [("src", 4), ("tests", 1)]
+    got = index.get_context("anything at all", changed=["src/login-form.ts"]).collect()
+    assert [r.path for r in got] == ["src/login-form.ts"] and got[0].request_id == "p"
