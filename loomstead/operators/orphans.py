@@ -5,8 +5,9 @@ with a map-side combine, tells whether a parent exists and since when. Keys with
 after some child, are kept; their records are then listed and counted per table and month.
 
 Scale: the grouping moves one combined row per key and task, so a key with a third of all rows costs nothing extra.
-Records come back through a join on the kept keys only; the keys are repeated over ``SALTS`` salts and each record picks
-one by its id, so that no key's records meet in one task.
+Records come back through a join on the kept keys only. A key with more than ``ROWS_PER_SALT`` records is repeated over as
+many salts as it has such parts, and each of its records picks one by its id; these keys are few (never more than ``MOST_HOT``,
+as the size of a part grows with the records beyond that) and are broadcast to the records.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.session import normal_path, utc_micros
+from loomstead.session import materialise, normal_path, utc_micros
 
-SALTS = 16
+ROWS_PER_SALT = 500_000
+MOST_HOT = 20_000
 
 
 def file_states(files: DataFrame) -> DataFrame:
@@ -80,22 +82,22 @@ def tagged_parents(live: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def orphan_keys(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Keys that lack a parent, or whose parent came after a child: ``(project_id, kind, key, seen_us)``.
+    """Keys that lack a parent, or whose parent came after a child: ``(project_id, kind, key, seen_us, n)``.
 
-    ``seen_us`` is null where there is no parent at all. A child without a time counts as older than any parent.
+    ``seen_us`` is null where there is no parent at all; ``n`` counts the children. A child without a time counts as older than any parent.
     """
     long = parents.select("project_id", "kind", "key", "seen_us", F.lit(None).cast("long").alias("us")).unionByName(
         children.select("project_id", "kind", "key", F.lit(None).cast("long").alias("seen_us"), F.coalesce("us", F.lit(-(1 << 62))).alias("us"))
     )
     return (
         long.groupBy("project_id", "kind", "key")
-        .agg(F.min("seen_us").alias("seen_us"), F.min("us").alias("first_us"))
+        .agg(F.min("seen_us").alias("seen_us"), F.min("us").alias("first_us"), F.count("us").alias("n"))
         .where("first_us IS NOT NULL AND (seen_us IS NULL OR seen_us > first_us)")
-        .select("project_id", "kind", "key", "seen_us")
+        .select("project_id", "kind", "key", "seen_us", "n")
     )
 
 
-def orphan_references(files: DataFrame, symbols: DataFrame, imports: DataFrame, references: DataFrame, cache: DataFrame) -> DataFrame:
+def orphan_references(files: DataFrame, symbols: DataFrame, imports: DataFrame, references: DataFrame, cache: DataFrame, *, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """References that point nowhere: ``(table_name, record_id, ref_key, us)``, one row per distinct triple and time.
 
     Imports and references count only if their own file is active now. A path exists if an active file of the project
@@ -105,13 +107,14 @@ def orphan_references(files: DataFrame, symbols: DataFrame, imports: DataFrame,
     """
     live = file_states(files).where("active").select("file_id", "project_id", "relative_path", F.coalesce("seen_us", F.lit(-(1 << 62))).alias("seen_us"))
     children = tagged_children(live, imports, references, cache)
-    keys = orphan_keys(tagged_parents(live, symbols), children)
-    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    child = children.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    same = (
-        F.col("c.project_id").eqNullSafe(F.col("k.project_id"))
-        & (F.col("c.kind") == F.col("k.kind")) & (F.col("c.key") == F.col("k.key")) & (F.col("c.salt") == F.col("k.salt"))
-    )
+    keys = materialise(orphan_keys(tagged_parents(live, symbols), children))
+    part = max(rows_per_salt, (keys.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {part}"))))
+    hot = F.broadcast(keys.where(F.col("n") > part).select("project_id", "kind", "key", F.expr(f"(n - 1) div {part} + 1").alias("salts")))
+    on_key = lambda a, b: F.col(f"{a}.project_id").eqNullSafe(F.col(f"{b}.project_id")) & (F.col(f"{a}.kind") == F.col(f"{b}.kind")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+    salts = F.coalesce("h.salts", F.lit(1).cast("long"))
+    child = children.alias("x").join(hot.alias("h"), on_key("x", "h"), "left").select("x.*", F.pmod(F.xxhash64("x.record_id"), salts).alias("salt"))
+    same = on_key("c", "k") & (F.col("c.salt") == F.col("k.salt"))
     return (
         child.alias("c").join(salted.alias("k"), same)
         .where("k.seen_us IS NULL OR c.us IS NULL OR k.seen_us > c.us")

@@ -90,6 +90,8 @@ def test_orphans(spark):
         ("imports", "1", "b.ts"), ("symbol_references", "2", "late"), ("symbol_references", "4", "dead"), ("symbol_references", "6", "KNOWN"), ("context_cache", "c", "gone.ts")
     }
     assert {tuple(r) for r in orphan_report(got).collect()} == {("imports", "2024-01", 1, 1), ("symbol_references", "2024-01", 3, 3), ("context_cache", "2024-02", 1, 1)}
+    hot = refs.unionByName(spark.range(100, 400).select(F.col("id"), F.lit("p").alias("project_id"), F.lit(1).cast("long").alias("file_id"), F.lit("nowhere").alias("name"), F.lit(day(3)).cast("timestamp_ntz").alias("indexed_at")))
+    assert orphan_references(files, symbols, imports, hot, cache, rows_per_salt=20).where("ref_key = 'nowhere'").count() == 300
     assert orphan_references(files.limit(0), symbols.limit(0), imports.limit(0), refs.limit(0), cache.limit(0)).count() == 0
 
 
