@@ -549,3 +549,7 @@ def record_hashes(spark, root):
     title = F.nullif(F.regexp_extract("text", r"^(?:# )?([^\n]{3,80})\n", 1), F.lit(""))
     rows = table(spark, root, "documents").withColumn("title", title)
     return rows.select("doc_id", "title", T.content_hash(F.lit("readme"), F.col("title"), F.col("text")).alias("content_hash"))
+
+
+document_hashes = record_hashes  # both names are in use
+QUERIES["document_hashes"], SQL["document_hashes"] = record_hashes, SQL["record_hashes"]
