@@ -27,9 +27,20 @@ def build_session(master: str = "local[*]", app: str = "loomstead", **conf: str)
     return spark
 
 
+# Tables of whole texts, which take far longer to work through than to read.
+TEXTS = ("file_search", "documents")
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One parquet table of a data directory."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """One parquet table of a data directory.
+
+    A table of texts that is read in fewer parts than there are cores is spread over them. That is so only while it is small (under one
+    split a core); a larger one is never shuffled for this.
+    """
+    rows = spark.read.parquet(f"{root}/{name}.parquet")
+    if name in TEXTS and rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        return rows.repartition(cores)
+    return rows
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
