@@ -93,6 +93,144 @@ def words_in_paths(asks: DataFrame, files: DataFrame, *, per_term: int = 6) -> D
     return terms.join(few, ["project_id", "word"]).select("request_id", "path", F.lit("pathMatch").alias("component"), rank_decay(F.col("_r") - 1).alias("strength"), F.concat(F.lit("path holds "), "word").alias("reason"))
 
 
+# Requests of more distinct words than this, and those of several projects, have their pairs with paths grouped.
+WIDE = 24
+
+
+def request_words(task: Column) -> Column:
+    """Words of four letters and more of a request that paths are held against."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(task), F.lit("([a-z0-9_$]{2,})"), 1), lambda w: F.length(w) >= 4))
+
+
+def path_words(path: Column) -> Column:
+    """Words of four letters and more of a path."""
+    parts = F.split(F.trim(F.regexp_replace(F.lower(path), "[^a-z0-9]+", " ")), " ")
+    return F.array_distinct(F.filter(parts, lambda w: F.length(w) >= 4))
+
+
+def worded(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(plain, other)`` of ``(request_id, project_id, task)`` rows: ``(request_id, project_id, words)``, each plain request once and in one project."""
+    known = asks.where("project_id IS NOT NULL").select("request_id", "project_id", request_words(F.col("task")).alias("words"))
+    whole = known.groupBy("request_id").agg(F.min("project_id").alias("project_id"), F.max("project_id").alias("_last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+    plain = (F.col("project_id") == F.col("_last")) & (F.size("words") <= WIDE)
+    return whole.where(plain).drop("_last"), known.join(whole.where(~plain).select("request_id"), "request_id", "left_semi")
+
+
+def asked_words(asks: DataFrame, files: DataFrame) -> DataFrame:
+    """``(project_id, path, held)``: the words of each path that some request of its project holds, sorted; paths without one are left out.
+
+    The paths alone are shuffled, once; they stand in order, so that those shuffled on from here pack well.
+    """
+    wanted = asks.select("project_id", F.explode("words").alias("word")).distinct()
+    each = files.select("project_id", "path").distinct().select("project_id", "path", F.explode(path_words(F.col("path"))).alias("word"))
+    return each.join(F.broadcast(wanted), ["project_id", "word"], "left_semi").groupBy("project_id", "path").agg(F.array_sort(F.collect_set("word")).alias("held")).sortWithinPartitions("project_id", "path")
+
+
+# Pairs are many more than the rows that they are made of tell: parts of the paths of a word (a power of two), and the least number of tasks a core.
+SALTS, TASKS = 4, 8
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), TASKS * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _bits(words: Column) -> Column:
+    """A bit of 64 for each word; two words may have the same."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda all, w: all.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))))
+
+
+def _salt() -> Column:
+    return F.hash("path").bitwiseAND(F.lit(SALTS - 1))
+
+
+def path_hits(plain: DataFrame, held: DataFrame, *, but: DataFrame | None = None) -> DataFrame:
+    """``(request_id, ..., path, n)``: every path that holds ``n`` words of a request of its project, each pair once; other columns of ``plain`` are kept.
+
+    A pair is made at the first word that both hold and nowhere else, so only the words of requests and of paths are shuffled, never
+    their pairs. The ``(request_id, word, path)`` of ``but``, ``word`` being a pair's first one, are left out.
+    """
+    kept = [c for c in plain.columns if c not in ("project_id", "words")]
+    asked = plain.select(*kept, "project_id", "words", F.explode("words").alias("word")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if but is not None:
+        asked = asked.join(but.groupBy("request_id", "word", _salt().alias("_salt")).agg(F.collect_set("path").alias("_but")), ["request_id", "word", "_salt"], "left")
+    posted = held.select("project_id", "path", "held", F.explode("held").alias("word"), _salt().alias("_salt"))
+    split = lambda df: df.repartition(_tasks(df), "project_id", "word", "_salt")
+    asked = split(asked).withColumn("_asked", _bits(F.col("words"))).withColumn("_apart", F.bit_count("_asked") == F.size("words"))
+    pairs = split(posted).withColumn("_bits", _bits(F.col("held"))).join(asked, ["project_id", "word", "_salt"])
+    # the words of the request have bits of their own and only one is met: that is the word at hand, and there is no other
+    single = F.col("_apart") & (F.bit_count(F.col("_bits").bitwiseAND(F.col("_asked"))) == 1)
+    both = F.array_intersect("held", "words")
+    pairs = pairs.where(F.when(single, True).otherwise(F.get(both, F.lit(0)) == F.col("word")))
+    if but is not None:
+        pairs = pairs.where(~F.coalesce(F.array_contains("_but", F.col("path")), F.lit(False)))
+    return pairs.select(*kept, "path", F.when(single, 1).otherwise(F.size(both)).alias("n"))
+
+
+def best_path_hits(plain: DataFrame, held: DataFrame, *, k: int) -> DataFrame:
+    """The rows of ``path_hits`` of two words and more, and of those of one word the first ``k`` paths of each word.
+
+    So the ``k`` best paths of a request are all there, by words and then by path, whatever else speaks for some paths, if the paths for
+    which something else speaks are added. Pairs are met by two words at once.
+    """
+    order = Window.partitionBy("project_id", "word").orderBy("path")
+    first = held.select("project_id", "path", F.explode("held").alias("word")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    both = F.array_intersect(path_words(F.col("path")), F.col("words"))
+    one = first.join(plain.select("request_id", "project_id", "words", F.explode("words").alias("word")), ["project_id", "word"]).where(F.size(both) == 1)
+    twos = lambda c: F.explode(F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    split = lambda df: df.select("*", "_w.a", "_w.b").drop("_w").repartition(_tasks(df), "project_id", "a", "b")
+    posted = split(held.where(F.size("held") > 1).select("project_id", "path", "held", twos(F.col("held")).alias("_w")))
+    asked = split(plain.where(F.size("words") > 1).select("request_id", "project_id", "words", twos(F.col("words")).alias("_w")))
+    common = F.array_intersect("held", "words")
+    more = posted.join(asked, ["project_id", "a", "b"]).where((F.get(common, F.lit(0)) == F.col("a")) & (F.get(common, F.lit(1)) == F.col("b")))
+    return one.select("request_id", "path", F.lit(1).alias("n")).unionByName(more.select("request_id", "path", F.size(common).alias("n")))
+
+
+def most_hits(plain: DataFrame, held: DataFrame) -> DataFrame:
+    """``(request_id, n)``: the most words, 3 at most, that a path of the project shares with a request. Groups of words are held against each other, not paths."""
+    def groups(c):
+        later = lambda i: F.slice(c, i + 2, F.size(c))
+        ones = F.transform(c, lambda a: F.array(a))
+        twos = F.flatten(F.transform(c, lambda a, i: F.transform(later(i), lambda b: F.array(a, b))))
+        threes = F.flatten(F.flatten(F.transform(c, lambda a, i: F.transform(c, lambda b, j: F.when(j > i, F.transform(later(j), lambda d: F.array(a, b, d))).otherwise(F.array().cast("array<array<string>>"))))))
+        return F.explode(F.concat(ones, twos, threes))
+
+    there = held.select("project_id", groups(F.col("held")).alias("_g")).select("project_id", F.array_join("_g", " ").alias("_g")).distinct()
+    asked = plain.select("request_id", "project_id", groups(F.col("words")).alias("_g")).select("request_id", "project_id", F.size("_g").alias("n"), F.array_join("_g", " ").alias("_g"))
+    return asked.join(there, ["project_id", "_g"]).groupBy("request_id").agg(F.max("n").alias("n"))
+
+
+def hits_of(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """``(request_id, path, n, word)`` of the given ``(request_id, path)``, paths of the request's project, that share words with their plain request; ``word`` is the first one."""
+    both = F.array_sort(F.array_intersect(path_words(F.col("path")), F.col("words")))
+    found = pairs.select("request_id", "path").distinct().join(plain.select("request_id", "words"), "request_id").select("request_id", "path", both.alias("_both"))
+    return found.where(F.size("_both") > 0).select("request_id", "path", F.size("_both").alias("n"), F.get("_both", F.lit(0)).alias("word"))
+
+
+def grouped_hits(other: DataFrame, files: DataFrame) -> DataFrame:
+    """``(request_id, path, n)`` as ``path_hits``, of requests that are not plain."""
+    wanted = other.select("request_id", "project_id", F.explode("words").alias("word"))
+    held = files.select("project_id", "path", F.explode(path_words(F.col("path"))).alias("word"))
+    held = held.join(F.broadcast(wanted.select("project_id", "word").distinct()), ["project_id", "word"], "left_semi").distinct()
+    return wanted.join(held, ["project_id", "word"]).groupBy("request_id", "path").agg(F.countDistinct("word").alias("n"))
+
+
+WORDS_REASON = "words of the request in the path"
+
+
+def words_strength(n: Column) -> Column:
+    return F.least(F.lit(1.0), n / 3.0)
+
+
+def words_evidence(hits: DataFrame) -> DataFrame:
+    """Evidence of ``(request_id, path, n)`` rows."""
+    return hits.select("request_id", "path", F.lit("pathMatch").alias("component"), words_strength(F.col("n")).alias("strength"), F.lit(WORDS_REASON).alias("reason"))
+
+
+def words_score(n: Column) -> Column:
+    """The score of a file for which nothing but its words speaks, as ``combine`` gives it."""
+    return F.round(WEIGHTS["pathMatch"] * words_strength(n), 6)
+
+
 def recent_changes(asks: DataFrame, files: DataFrame, *, k: int = 10) -> DataFrame:
     """Evidence from the files of the project that changed last."""
     order = Window.partitionBy("project_id").orderBy(F.col("last_modified").desc(), "path")
@@ -116,8 +254,11 @@ def paths_in(text: Column) -> Column:
 
 def rank(scored: DataFrame) -> DataFrame:
     """``relevance``: the score as a share of the request's best, to 3 digits."""
-    top = F.max("score").over(Window.partitionBy("request_id"))
-    return scored.withColumn("relevance", F.when(top > 0, F.round(F.col("score") / top, 3)).otherwise(0.0))
+    return scored.withColumn("relevance", share_of(F.col("score"), F.max("score").over(Window.partitionBy("request_id"))))
+
+
+def share_of(score: Column, top: Column) -> Column:
+    return F.when(top > 0, F.round(score / top, 3)).otherwise(0.0)
 
 
 def fill_budget(ranked: DataFrame, *, budget: int = 6000, max_files: int = 12, sources: int | None = None) -> DataFrame:

@@ -40,14 +40,16 @@ def query(sql: str | None = None):
     return add
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The files as they are: the last row of each id."""
+def current(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The files as they are: the last row of each id; only the given ``columns`` of it, if some are given."""
     files = table(spark, root, "files").where("id IS NOT NULL")
+    if columns:
+        files = files.select(*dict.fromkeys(["id", "indexed_at", *columns]))
     return ingest.latest(files, ["id"], [F.col("indexed_at")]).withColumnRenamed("id", "file_id")
 
 
-def live(spark: SparkSession, root: str) -> DataFrame:
-    return current(spark, root).where("status = 'active'")
+def live(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return current(spark, root, *(("status", *columns) if columns else ())).where("status = 'active'")
 
 
 def _edges(spark: SparkSession, root: str) -> DataFrame:
@@ -433,19 +435,30 @@ hits AS (SELECT w.request_id, p.path, count(DISTINCT w.word) AS n FROM words w J
 SELECT request_id, path, round(0.85 * least(1.0, n / 3.0), 6) AS score, round(least(1.0, n / 3.0) / max(least(1.0, n / 3.0)) OVER (PARTITION BY request_id), 3) AS relevance FROM hits"""
 
 
-def _evidence(spark: SparkSession, root: str) -> DataFrame:
-    """Path evidence of every cached request at once: files whose path holds words of the request."""
-    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
-    wanted = asks.select("request_id", "project_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("task"), F.lit("([a-z0-9_$]{2,})"), 1), lambda w: F.length(w) >= 4))).alias("word"))
-    parts = F.split(F.trim(F.regexp_replace(F.lower("relative_path"), "[^a-z0-9]+", " ")), " ")
-    held = live(spark, root).select("project_id", F.col("relative_path").alias("path"), F.explode(parts).alias("word")).distinct()
-    hits = wanted.join(held, ["project_id", "word"]).groupBy("request_id", "path").agg(F.countDistinct("word").alias("n"))
-    return hits.select("request_id", "path", F.lit("pathMatch").alias("component"), F.least(F.lit(1.0), F.col("n") / 3.0).alias("strength"), F.lit("words of the request in the path").alias("reason"))
+def _asks(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
+
+
+def _evidence(spark: SparkSession, root: str, *, k: int | None = None) -> DataFrame:
+    """Path evidence of every cached request at once: files whose path holds words of the request; with ``k``, enough of it for the ``k`` best."""
+    plain, other = context.worded(_asks(spark, root))
+    files = live(spark, root, "project_id", "relative_path").select("project_id", F.col("relative_path").alias("path"))
+    held = context.asked_words(plain, files)
+    hits = context.path_hits(plain, held) if k is None else context.best_path_hits(plain, held, k=k)
+    return context.words_evidence(hits.unionByName(context.grouped_hits(other, files)))
 
 
 @query("WITH " + _EVIDENCE)
 def context_evidence_scores(spark, root):
-    return context.rank(context.combine(_evidence(spark, root))).select("request_id", "path", "score", "relevance")
+    """Two passes: the best score of each request from the words alone, then all pairs, none of which is shuffled."""
+    plain, other = context.worded(_asks(spark, root))
+    files = live(spark, root, "project_id", "relative_path").select("project_id", F.col("relative_path").alias("path"))
+    held = context.asked_words(plain, files)
+    top = context.most_hits(plain, held).select("request_id", context.words_score(F.col("n")).alias("_top"))
+    score = context.words_score(F.col("n"))
+    rows = context.path_hits(plain.join(top, "request_id"), held).select("request_id", "path", score.alias("score"), context.share_of(score, F.col("_top")).alias("relevance"))
+    rest = context.rank(context.combine(context.words_evidence(context.grouped_hits(other, files)))).select("request_id", "path", "score", "relevance")
+    return rows.unionByName(rest)
 
 
 def _all_evidence(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:

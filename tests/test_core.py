@@ -308,3 +308,42 @@ def test_context_takes_all_evidence_within_projects(spark, tmp_path):
     docs = spark.createDataFrame([(1, "p", "walrus feed", "x"), (2, "p", "feeding feeding walruses", "y"), (3, "p", "other", "walrus"), (4, "p", "none", "none"), (5, "q", "walrus", "walrus")], "id long, project_id string, a string, b string")
     many = {(r.id, round(r.score, 5), r.relevance) for r in search.search_many(asks, docs, {"a": 3, "b": 1}).collect()}
     assert many == {(r.id, round(r.score, 5), r.relevance) for r in search.search(docs.where("project_id = 'p'"), "walrus feeding", {"a": 3, "b": 1}).collect()}
+
+
+def shuffled(spark, run):
+    """What ``run`` gives, and the most rows that one of its stages shuffled."""
+    def stages():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    rows = run()
+    return rows, max(n for k, n in stages().items() if k not in before)
+
+
+def crowded(spark, root, asks=60, files=600):
+    """Tables in which every request shares a word with every path of its project; some requests are repeated, of two projects or of many words."""
+    requests = [(f"r{k}", "p", f"fix walrus w{k % 7}word in depot{k % 5}") for k in range(asks)]
+    requests += [requests[0], ("two", "p", "walrus depot1"), ("two", "q", "depot2 walrus"), ("wide", "p", " ".join(f"many{k}" for k in range(40)) + " walrus depot3"), ("none", "q", "say hi"), ("lost", None, "walrus")]
+    held = [(k, "p", f"walrus/depot{k % 5}/W{k % 7}word_f{k % 211}.x{k}") for k in range(files)] + [(files + k, "q", f"walrus/depot{k % 5}/W{k % 7}word_f{k % 211}.x{k}") for k in range(40)] + [(files + 50, "p", "walrus/depot0/W0word_f0.x0"), (files + 51, "p", "other.ts")]
+    at = lambda i: START + dt.timedelta(days=i * 37 % 101)
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{root}/{name}.parquet")
+    save(requests, "id string, project_id string, task string", "context_cache")
+    save([(i, p, r, "typescript", 400 + i, "h", at(i), START, "active", i % 3) for i, p, r in held], "id long, project_id string, relative_path string, language string, size long, hash string, last_modified timestamp, indexed_at timestamp, status string, symbol_count long", "files")
+    return requests, held
+
+
+def against_sql(spark, root, name):
+    import compare
+
+    rows, most = shuffled(spark, lambda: reference_queries.QUERIES[name](spark, root).toPandas())
+    assert compare.normal(rows) == compare.normal(compare.connect(root).execute(reference_queries.SQL[name]).df())
+    return rows, most
+
+
+def test_evidence_scores_shuffle_no_pairs(spark, tmp_path):
+    crowded(spark, str(tmp_path))
+    rows, most = against_sql(spark, str(tmp_path), "context_evidence_scores")
+    assert len(rows) > 36_000 and most < 5_000
