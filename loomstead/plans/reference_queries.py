@@ -439,12 +439,17 @@ def _asks(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
 
 
-def _evidence(spark: SparkSession, root: str, *, k: int | None = None) -> DataFrame:
-    """Path evidence of every cached request at once: files whose path holds words of the request; with ``k``, enough of it for the ``k`` best."""
+def _evidence(spark: SparkSession, root: str, *, k: int | None = None, others: DataFrame | None = None) -> DataFrame:
+    """Path evidence of every cached request at once: files whose path holds words of the request.
+
+    With ``k`` it is enough for the ``k`` best files of each request if ``others`` are the ``(request_id, path)`` for which something else speaks.
+    """
     plain, other = context.worded(_asks(spark, root))
     files = live(spark, root, "project_id", "relative_path").select("project_id", F.col("relative_path").alias("path"))
     held = context.asked_words(plain, files)
     hits = context.path_hits(plain, held) if k is None else context.best_path_hits(plain, held, k=k)
+    if others is not None:
+        hits = hits.unionByName(context.hits_of(others, plain).select("request_id", "path", "n"))
     return context.words_evidence(hits.unionByName(context.grouped_hits(other, files)))
 
 
@@ -524,11 +529,14 @@ fill AS (SELECT request_id, CAST(0 AS BIGINT) AS i, CAST(max(header) AS BIGINT)
 @query(f"WITH RECURSIVE {_FILL} SELECT request_id, path, level, tokens, CAST(taken - 1 AS BIGINT) AS position, bool_or(stop) OVER (PARTITION BY request_id) AS truncated FROM fill WHERE i > 0 QUALIFY NOT stop")
 def context_fill_by_path(spark, root):
     """Context of every cached request from path words and recent changes: ranking, header, four files with source, six in all, 1,500 tokens."""
-    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct()
-    files = live(spark, root).select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
-    ranked = context.rank(context.combine(_evidence(spark, root).unionByName(context.recent_changes(asks, files))))
+    most = 6
+    asks = _asks(spark, root)
+    files = live(spark, root, "project_id", "relative_path", "size", "symbol_count", "last_modified").select("project_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
+    recent = context.recent_changes(asks, files)
+    # only the best files of a request can be taken: the words in all other paths need not be ranked
+    ranked = context.rank(context.combine(recent.unionByName(_evidence(spark, root, k=most + 1, others=recent))))
     costed = ranked.join(asks.select("request_id", "project_id", (40 + F.length("task")).alias("header_tokens")), "request_id").join(_costs(files), ["project_id", "path"])
-    found = context.fill_budget(costed, budget=1500, max_files=6, sources=4)
+    found = context.fill_budget(costed, budget=1500, max_files=most, sources=4)
     return found.withColumn("position", F.col("position").cast("long"))
 
 
