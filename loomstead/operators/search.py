@@ -86,12 +86,22 @@ def search_many(asks: DataFrame, docs: DataFrame, columns: dict[str, float], *,
     heads = F.broadcast(wanted.withColumn("_head", F.substring("term", 1, 4)))
     met = spread.withColumn("_head", F.substring("word", 1, 4)).join(heads, ["project_id", "_head"])
     met = met.where(F.when(F.col("prefix"), F.col("word").startswith(F.col("term"))).otherwise(F.col("word") == F.col("term")))
-    hits = met.groupBy("project_id", key, "term", "prefix").agg(F.sum("w").alias("_f"), F.first("_size").alias("_size"))
-    counts = hits.groupBy("project_id", "term", "prefix").agg(F.count("*").alias("_d"))
-    rarity = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col("_d") + 0.5) / (F.col("_d") + 0.5)))
-    saturation = F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("_size") / F.col("_avg")))
-    scored = hits.join(counts, ["project_id", "term", "prefix"]).join(figures, "project_id").select("project_id", key, "term", "prefix", (rarity * saturation).alias("_s"))
-    found = asked.join(scored, ["project_id", "term", "prefix"]).groupBy("request_id", "project_id", key).agg(F.round(F.sum("_s"), 6).alias("score"))
+    sums = [F.coalesce(F.sum(F.when(F.col("prefix") == p, F.col("w"))), F.lit(0.0)) for p in (False, True)]
+    hits = met.groupBy("project_id", key, "term").agg(sums[0].alias("_f0"), sums[1].alias("_f1"), F.first("_size").alias("_size"))
+    counts = hits.groupBy("project_id", "term").agg(F.count_if(F.col("_f0") > 0).alias("_d0"), F.count_if(F.col("_f1") > 0).alias("_d1"))
+    rarity = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)))
+    saturation = lambda i: F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + K1 * (1 - B + B * F.col("_size") / F.col("_avg")))
+    told = lambda i: F.when(F.col(f"_f{i}") > 0, rarity(i) * saturation(i)).otherwise(0.0)
+    scored = hits.join(F.broadcast(counts.join(figures, "project_id")), ["project_id", "term"]).select("project_id", key, "term", (told(0) + told(1)).alias("_s"))
+    # A row that would not come up to the k-th best of some term, were all other terms of the request at their best, is no use: the k best are met without it
+    place = Window.partitionBy("project_id", "term").orderBy(F.col("_s").desc())
+    heads = scored.select("project_id", "term", "_s").withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k)
+    bounds = heads.groupBy("project_id", "term").agg(F.max("_s").alias("_most"), F.when(F.count("*") >= k, F.min("_s")).otherwise(0.0).alias("_kth"))
+    whole = Window.partitionBy("request_id", "project_id")
+    asked = asked.where("NOT prefix").select("request_id", "project_id", "term").join(bounds, ["project_id", "term"])
+    asked = asked.select("request_id", "project_id", "term", (F.max("_kth").over(whole) - F.sum("_most").over(whole) + F.col("_most") - 1e-5).alias("_least"))
+    useful = scored.join(asked, ["project_id", "term"]).where(F.col("_s") >= F.col("_least"))
+    found = useful.groupBy("request_id", "project_id", key).agg(F.round(F.sum("_s"), 6).alias("score"))
     order = Window.partitionBy("request_id").orderBy(F.col("score").desc(), key)
     best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
     group = Window.partitionBy("request_id")

@@ -466,10 +466,10 @@ def context_evidence_scores(spark, root):
     return rows.unionByName(rest)
 
 
-def _all_evidence(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(asks, files, evidence)``: all kinds of evidence but the neighbours, for every cached request within its project."""
-    asks = table(spark, root, "context_cache").where("task IS NOT NULL").select(F.col("id").alias("request_id"), "project_id", "task").distinct().withColumn("intent", T.detect_intent(F.col("task")))
-    files = live(spark, root).select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
+def _all_evidence(spark: SparkSession, root: str, *, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(asks, files, evidence)``: all kinds of evidence but the neighbours, for every cached request within its project; with ``k``, of path words what the ``k`` best files need."""
+    asks = _asks(spark, root).withColumn("intent", T.detect_intent(F.col("task")))
+    files = live(spark, root, "project_id", "relative_path", "size", "symbol_count", "last_modified").select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
     own = files.select("project_id", "file_id", "path")
     symbols = table(spark, root, "symbols").select("id", "file_id", "name", "qualified_name", "signature").dropDuplicates(["id"]).join(own, "file_id")
     texts = table(spark, root, "file_search").select("file_id", "content", "identifiers").dropDuplicates(["file_id"]).join(own, "file_id")
@@ -479,19 +479,27 @@ def _all_evidence(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     hit = lambda rows, share, why: rows.select("request_id", "path", F.lit("search").alias("component"), (F.col("relevance") * share).alias("strength"), F.lit(why).alias("reason"))
     memories = table(spark, root, "documents").where("kind = 'memory' AND text IS NOT NULL").select(F.col("source").alias("project_id"), F.col("doc_id").alias("id"), "text", F.lit(0.9).alias("importance"))
     found = [
-        _evidence(spark, root), context.named_paths(asks, files), context.named_symbols(asks, symbols), hit(by_symbol, 1.0, "symbol match"), hit(by_text, 0.8, "content match"),
+        context.named_paths(asks, files), context.named_symbols(asks, symbols), hit(by_symbol, 1.0, "symbol match"), hit(by_text, 0.8, "content match"),
         context.recent_changes(asks, files), context.remembered(asks, memories, files),
     ]
-    return asks, files, reduce(DataFrame.unionByName, found)
+    others = reduce(DataFrame.unionByName, found)
+    if k is None:
+        return asks, files, others.unionByName(_evidence(spark, root))
+    others = materialise(others)
+    return asks, files, others.unionByName(_evidence(spark, root, k=k, others=others))
 
 
-def _ranked_context(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    asks, files, found = _all_evidence(spark, root)
+def _ranked_context(spark: SparkSession, root: str, *, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(ranked, files)``; with ``k``, the ``k`` best files of each request are among those ranked, in their order."""
+    asks, files, found = _all_evidence(spark, root, k=k)
     found = materialise(found)
     scored = context.combine(found).join(asks.select("request_id", "project_id", "intent"), "request_id")
     names = files.select("file_id", "path")
     edges = _edges(spark, root).join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
-    ranked = context.rank(context.combine(found.unionByName(context.neighbours(scored, edges))))
+    near = context.neighbours(scored, edges)
+    if k is not None:
+        near = near.unionByName(context.words_evidence(context.hits_of(near, context.worded(asks)[0])))
+    ranked = context.rank(context.combine(found.unionByName(near)))
     return ranked.join(asks.select("request_id", "project_id"), "request_id"), files
 
 
@@ -508,7 +516,7 @@ def _costs(files: DataFrame) -> DataFrame:
 @query()
 def context_budget_fill(spark, root):
     """Context of every cached request: all evidence, neighbours in the import graph, ranking, budget."""
-    ranked, files = _ranked_context(spark, root)
+    ranked, files = _ranked_context(spark, root, k=13)  # one more than can be taken
     return context.fill_budget(ranked.join(_costs(files), ["project_id", "path"]).select("request_id", "path", "relevance", "full_tokens", "outline_tokens"))
 
 

@@ -354,3 +354,16 @@ def test_fill_by_path_ranks_few_pairs(spark, tmp_path):
     crowded(spark, str(tmp_path))
     rows, most = against_sql(spark, str(tmp_path), "context_fill_by_path", but="two")  # the SQL leaves open in which order it fills an id of two projects
     assert len(rows) > 100 and most < 20_000
+
+
+def test_search_many_leaves_rows_that_cannot_be_found(spark):
+    draw = random.Random(5)
+    words = ["walrus", "seal", "otter", "fur"]
+    docs = spark.createDataFrame([(i, "p", " ".join([w for w in words for _ in range(draw.randint(0, 40) if draw.random() < 0.4 else 0)] + ["ice"] * draw.randint(1, 90))) for i in range(600)], "id long, project_id string, a string")
+    tasks = ["walrus", "walrus seal", "otter fur seals", "walrus seal otter fur ice"]
+    asks = spark.createDataFrame([(f"r{k}", "p", tasks[k] if k < 4 else "walrus") for k in range(100)], "request_id string, project_id string, task string")
+    found, most = shuffled(spark, lambda: search.search_many(asks, docs, {"a": 1}).collect())
+    assert most < 8_000
+    for k, task in enumerate(tasks):
+        want = [(r.id, round(r.score, 4)) for r in search.search(docs, task, {"a": 1}, k=20).collect()]
+        assert {(r.id, round(r.score, 4)) for r in found if r.request_id == f"r{k}"} == set(want)
