@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import detect_intent, estimate_tokens, looks_like_test, redact, request_paths, request_symbols, request_terms
-from loomstead.operators.search import search_many
+from loomstead.operators.search import best_sums, search_many
 
 # The weight of each kind of evidence.
 WEIGHTS = {"explicit": 1.0, "symbol": 0.9, "pathMatch": 0.85, "search": 0.7, "memory": 0.6, "dependency": 0.4, "recent": 0.3, "test": 0.25}
@@ -51,7 +51,11 @@ def expand(scored: DataFrame, edges: DataFrame, *, seeds: int = 6, depth: int =
     return found if found is not None else scored.select("request_id", "path", F.lit("dependency").alias("component"), F.lit(0.0).alias("strength"), F.lit("").alias("reason")).limit(0)
 
 
-def neighbours(scored: DataFrame, edges: DataFrame, *, seeds: int = 6) -> DataFrame:
+# The best files of a request, whose neighbours are looked at.
+SEEDS = 6
+
+
+def neighbours(scored: DataFrame, edges: DataFrame, *, seeds: int = SEEDS) -> DataFrame:
     """Evidence from the direct neighbours of the best seeds, within the project of each request.
 
     ``scored`` has ``(request_id, project_id, intent, path, score)``, ``edges`` ``(project_id, source, target)`` paths, the source importing
@@ -185,6 +189,13 @@ def best_path_hits(plain: DataFrame, held: DataFrame, *, k: int) -> DataFrame:
     return one.select("request_id", "path", F.lit(1).alias("n")).unionByName(more.select("request_id", "path", F.size(common).alias("n")))
 
 
+def top_path_hits(plain: DataFrame, held: DataFrame, *, k: int) -> DataFrame:
+    """``(request_id, path, n)``: the ``k`` best paths of each request, by words (3 count as many as more) and then by path. No other pairs are shuffled."""
+    sizes = held.groupBy("project_id").agg(F.count("*").alias("_n"))
+    best = best_sums(held.withColumnRenamed("held", "terms"), plain.select("request_id", "project_id", F.col("words").alias("terms")), sizes, "path", k=k, cap=3.0)
+    return best.select("request_id", "path", F.col("sum").cast("int").alias("n"))
+
+
 def most_hits(plain: DataFrame, held: DataFrame) -> DataFrame:
     """``(request_id, n)``: the most words, 3 at most, that a path of the project shares with a request. Groups of words are held against each other, not paths."""
     def groups(c):

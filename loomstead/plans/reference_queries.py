@@ -467,15 +467,20 @@ def context_evidence_scores(spark, root):
 
 
 def _all_evidence(spark: SparkSession, root: str, *, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(asks, files, evidence)``: all kinds of evidence but the neighbours, for every cached request within its project; with ``k``, of path words what the ``k`` best files need."""
+    """``(asks, files, evidence)``: all kinds of evidence but the neighbours, for every cached request within its project.
+
+    With ``k``, the evidence is kept, and of path words it has those of the ``k`` best files of each request and of the files for which something else speaks.
+    """
     asks = _asks(spark, root).withColumn("intent", T.detect_intent(F.col("task")))
     files = live(spark, root, "project_id", "relative_path", "size", "symbol_count", "last_modified").select("project_id", "file_id", F.col("relative_path").alias("path"), "size", "symbol_count", "last_modified")
+    files = files if k is None else materialise(files)
     own = files.select("project_id", "file_id", "path")
-    symbols = table(spark, root, "symbols").select("id", "file_id", "name", "qualified_name", "signature").dropDuplicates(["id"]).join(own, "file_id")
+    # rows that repeat an id are left out last, so that those left lie by the key of the search
+    symbols = table(spark, root, "symbols").select("id", "file_id", "name", "qualified_name", "signature").join(own, "file_id").dropDuplicates(["id"])
     texts = table(spark, root, "file_search").select("file_id", "content", "identifiers").dropDuplicates(["file_id"]).join(own, "file_id")
-    named = symbols.select("id", "project_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified"), "signature", F.col("path").alias("relative_path"))
-    by_symbol = search.search_many(asks, named, {"name": 10, "qualified": 6, "signature": 1, "relative_path": 2}).join(symbols.select("id", "path"), "id")
-    by_text = search.search_many(asks, texts, {"path": 8, "content": 1, "identifiers": 4}, key="file_id").join(own.select("file_id", "path"), "file_id")
+    named = symbols.select("id", "project_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified"), "signature", "path")
+    by_symbol = search.search_many(asks, named, {"name": 10, "qualified": 6, "signature": 1, "path": 2}, keep=("path",)).where("id IS NOT NULL")
+    by_text = search.search_many(asks, texts, {"path": 8, "content": 1, "identifiers": 4}, key="file_id", keep=("path",))
     hit = lambda rows, share, why: rows.select("request_id", "path", F.lit("search").alias("component"), (F.col("relevance") * share).alias("strength"), F.lit(why).alias("reason"))
     memories = table(spark, root, "documents").where("kind = 'memory' AND text IS NOT NULL").select(F.col("source").alias("project_id"), F.col("doc_id").alias("id"), "text", F.lit(0.9).alias("importance"))
     found = [
@@ -486,27 +491,44 @@ def _all_evidence(spark: SparkSession, root: str, *, k: int | None = None) -> tu
     if k is None:
         return asks, files, others.unionByName(_evidence(spark, root))
     others = materialise(others)
-    return asks, files, others.unionByName(_evidence(spark, root, k=k, others=others))
+    plain, other = context.worded(asks)
+    hits = context.top_path_hits(plain, context.asked_words(plain, own), k=k).unionByName(context.hits_of(others, plain).select("request_id", "path", "n"))
+    return asks, files, others.unionByName(context.words_evidence(materialise(hits.unionByName(context.grouped_hits(other, own)))))
 
 
-def _ranked_context(spark: SparkSession, root: str, *, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(ranked, files)``; with ``k``, the ``k`` best files of each request are among those ranked, in their order."""
-    asks, files, found = _all_evidence(spark, root, k=k)
-    found = materialise(found)
-    scored = context.combine(found).join(asks.select("request_id", "project_id", "intent"), "request_id")
+def _spoken(spark: SparkSession, root: str, *, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(asks, files, evidence)``: all kinds of evidence for the ``k`` best files of each request and for all others but those for which only words in their path speak."""
+    asks, files, found = _all_evidence(spark, root, k=max(k, context.SEEDS))
+    scored = context.combine(found.repartition("request_id")).join(asks.select("request_id", "project_id", "intent"), "request_id")
     names = files.select("file_id", "path")
     edges = _edges(spark, root).join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
-    near = context.neighbours(scored, edges)
-    if k is not None:
-        near = near.unionByName(context.words_evidence(context.hits_of(near, context.worded(asks)[0])))
-    ranked = context.rank(context.combine(found.unionByName(near)))
-    return ranked.join(asks.select("request_id", "project_id"), "request_id"), files
+    near = materialise(context.neighbours(scored, edges))
+    near = near.unionByName(context.words_evidence(context.hits_of(near, context.worded(asks)[0])))
+    return asks, files, found.unionByName(near).repartition("request_id")
+
+
+def _ranked_context(spark: SparkSession, root: str, *, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(ranked, files)``; the ``k`` best files of each request are among those ranked, in their order."""
+    asks, files, spoken = _spoken(spark, root, k=k)
+    return context.rank(context.combine(spoken)).join(asks.select("request_id", "project_id").distinct(), "request_id"), files
 
 
 @query()
 def context_all_evidence(spark, root):
-    """Every file that speaks for a cached request, from all kinds of evidence."""
-    return _ranked_context(spark, root)[0].select("request_id", "project_id", "path", "score", "relevance", "reasons")
+    """Every file that speaks for a cached request, from all kinds of evidence. Of the pairs for which only words in the path speak, none is shuffled."""
+    asks, files, spoken = _spoken(spark, root, k=1)
+    own = asks.select("request_id", "project_id").distinct()
+    columns = ["request_id", "project_id", "path", "score", "relevance", "reasons"]
+    scored = context.combine(spoken)
+    ranked = context.rank(scored).join(own, "request_id").select(*columns)
+    # the best file of each request is among those that are scored, so that its score is the request's best
+    top = scored.groupBy("request_id").agg(F.max("score").alias("_top"))
+    plain = context.worded(asks)[0]
+    asked = plain.join(top, "request_id").withColumn("_project", F.col("project_id"))
+    score = context.words_score(F.col("n"))
+    rest = context.path_hits(asked, context.asked_words(plain, files), but=context.hits_of(spoken, plain))
+    rest = rest.select("request_id", F.col("_project").alias("project_id"), "path", score.alias("score"), context.share_of(score, F.col("_top")).alias("relevance"), F.array(F.lit(context.WORDS_REASON)).alias("reasons"))
+    return ranked.unionByName(rest)
 
 
 def _costs(files: DataFrame) -> DataFrame:

@@ -367,3 +367,39 @@ def test_search_many_leaves_rows_that_cannot_be_found(spark):
     for k, task in enumerate(tasks):
         want = [(r.id, round(r.score, 4)) for r in search.search(docs, task, {"a": 1}, k=20).collect()]
         assert {(r.id, round(r.score, 4)) for r in found if r.request_id == f"r{k}"} == set(want)
+
+
+def test_all_evidence_shuffles_no_pairs(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    held = crowded(spark, root)[1]
+    draw = random.Random(7)
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{root}/{name}.parquet")
+    save([(i, p, r, " ".join(draw.choices(["walrus", "fix", "seal", "depot1", "w3word"], k=9)), None) for i, p, r in held], "file_id long, project_id string, path string, content string, identifiers string", "file_search")
+    save([(i, p, i, f"walrusDepot{i % 3}", f"a.walrusDepot{i % 3}", None) for i, p, _ in held[::3]], "id long, project_id string, file_id long, name string, qualified_name string, signature string", "symbols")
+    save([(i, "p", i, (i * 7) % 600, "static") for i in range(0, 600, 2)], "id long, project_id string, file_id long, resolved_file_id long, kind string", "imports")
+    save([(i, "memory", "p", f"walrus {'depot1 ' * (i % 4)} in {held[i][2]}") for i in range(30)], "doc_id long, kind string, source string, text string", "documents")
+    columns = ["request_id", "path", "score", "relevance", "reasons"]
+
+    # all pairs at once: what the query gave when it ranked each of them
+    asks, files, found = reference_queries._all_evidence(spark, root)
+    names = files.select("file_id", "path")
+    edges = reference_queries._edges(spark, root).join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
+    near = context.neighbours(context.combine(found).join(asks.select("request_id", "project_id", "intent"), "request_id"), edges)
+    want = context.rank(context.combine(found.unionByName(near))).select(*columns).collect()
+    want = sorted((r.request_id, r.path, round(r.score, 5), round(r.relevance, 2), tuple(r.reasons)) for r in want)
+
+    monkeypatch.setattr(search, "BLOCK", 200)  # requests meet the files of a project in several blocks
+    rows, most = shuffled(spark, lambda: reference_queries.context_all_evidence(spark, root).collect())
+    got = sorted((r.request_id, r.path, round(r.score, 5), round(r.relevance, 2), tuple(r.reasons)) for r in rows if r.request_id != "two" or r.project_id == "p")
+    assert got == want and len(want) > 36_000
+    assert most < 15_000
+
+
+def test_best_sums_hold_order_and_cap(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    posted = spark.createDataFrame([("p", f"k{i:02}", [w for w, n in (("a", 1), ("b", 2), ("c", 3), ("d", 5)) if i % n == 0]) for i in range(31)] + [("q", "x", ["a"]), ("q", "z", [])], "project_id string, path string, terms array<string>")
+    asks = spark.createDataFrame([("r1", "p", ["a", "b", "c", "d"]), ("r2", "p", ["d", "lost"]), ("r3", "q", ["a"]), ("r4", "p", ["lost"]), ("r5", "none", ["a"])], "request_id string, project_id string, terms array<string>")
+    got = search.best_sums(posted, asks, posted.groupBy("project_id").agg(F.count("*").alias("_n")), "path", k=4, cap=3.0).collect()
+    assert sorted((r.request_id, r.path, r["sum"]) for r in got) == [
+        ("r1", "k00", 3.0), ("r1", "k06", 3.0), ("r1", "k10", 3.0), ("r1", "k12", 3.0), ("r2", "k00", 1.0), ("r2", "k05", 1.0), ("r2", "k10", 1.0), ("r2", "k15", 1.0), ("r3", "x", 1.0),
+    ]
