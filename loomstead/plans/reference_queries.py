@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
 from loomstead.operators import context, extract, graph, ingest, knowledge, orphans, search
-from loomstead.session import materialise, normal_path, table
+from loomstead.session import materialise, normal_path, release, table
 from loomstead.streaming import watch
 
 QUERIES: dict = {}
@@ -480,7 +480,9 @@ def _all_evidence(spark: SparkSession, root: str, *, k: int | None = None) -> tu
     texts = table(spark, root, "file_search").select("file_id", "content", "identifiers").dropDuplicates(["file_id"]).join(own, "file_id")
     named = symbols.select("id", "project_id", T.split_identifier(F.col("name")).alias("name"), T.split_identifier(F.col("qualified_name")).alias("qualified"), "signature", "path")
     by_symbol = search.search_many(asks, named, {"name": 10, "qualified": 6, "signature": 1, "path": 2}, keep=("path",)).where("id IS NOT NULL")
+    release(spark)
     by_text = search.search_many(asks, texts, {"path": 8, "content": 1, "identifiers": 4}, key="file_id", keep=("path",))
+    release(spark)
     hit = lambda rows, share, why: rows.select("request_id", "path", F.lit("search").alias("component"), (F.col("relevance") * share).alias("strength"), F.lit(why).alias("reason"))
     memories = table(spark, root, "documents").where("kind = 'memory' AND text IS NOT NULL").select(F.col("source").alias("project_id"), F.col("doc_id").alias("id"), "text", F.lit(0.9).alias("importance"))
     found = [
@@ -491,9 +493,12 @@ def _all_evidence(spark: SparkSession, root: str, *, k: int | None = None) -> tu
     if k is None:
         return asks, files, others.unionByName(_evidence(spark, root))
     others = materialise(others)
+    release(spark)
     plain, other = context.worded(asks)
     hits = context.top_path_hits(plain, context.asked_words(plain, own), k=k).unionByName(context.hits_of(others, plain).select("request_id", "path", "n"))
-    return asks, files, others.unionByName(context.words_evidence(materialise(hits.unionByName(context.grouped_hits(other, own)))))
+    hits = materialise(hits.unionByName(context.grouped_hits(other, own)))
+    release(spark)
+    return asks, files, others.unionByName(context.words_evidence(hits))
 
 
 def _spoken(spark: SparkSession, root: str, *, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -503,6 +508,7 @@ def _spoken(spark: SparkSession, root: str, *, k: int) -> tuple[DataFrame, DataF
     names = files.select("file_id", "path")
     edges = _edges(spark, root).join(names.withColumnsRenamed({"file_id": "source", "path": "_s"}), "source").join(names.withColumnsRenamed({"file_id": "target", "path": "_t"}), "target").select("project_id", F.col("_s").alias("source"), F.col("_t").alias("target")).distinct()
     near = materialise(context.neighbours(scored, edges))
+    release(spark)
     near = near.unionByName(context.words_evidence(context.hits_of(near, context.worded(asks)[0])))
     return asks, files, found.unionByName(near).repartition("request_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of steps that are over removed; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utc_micros(column: Column) -> Column:
     """Microseconds since 1970-01-01 of a zone-less (or UTC) timestamp column, whatever the session's zone is."""
     return F.unix_micros(F.from_utc_timestamp(column.cast("timestamp"), F.current_timezone()))
